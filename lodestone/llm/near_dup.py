@@ -7,9 +7,9 @@ and its maximum, so 64 evaluations give 128 values.  They are banded by four
 Links are confirmed on the full shingle sets.  Sets that are equal are one
 class from the start.  In a bucket, members are first compared with the
 bucket's smallest id alone; after connected components only members that are
-still in different components are paired, so a large group of copies is never
-expanded into all its pairs, yet every pair that shares a bucket is either
-compared or already connected.
+still in different components are compared, in large buckets block by block
+inside tasks, so a large group is never expanded into rows of all its pairs,
+yet every pair that shares a bucket is either compared or already connected.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
 SHINGLE = 5
 #: Exact share of common shingles that links two documents: 100*|A&B| >= PERCENT*|A|B|.
 PERCENT = 75
+#: Mixed buckets of at most so many members are compared pair by pair.
+SMALL_BUCKET = 8
+#: Members of a larger bucket that meet in one task: of the minor components, and of all.
+BLOCK_MINOR, BLOCK_ALL = 500, 1000
 _PERM = B.mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -124,6 +128,56 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_confirm, "a long, b long")
 
 
+def _meet(table: pa.Table) -> pa.Table:
+    """Links between the `minor` rows of a block and all its other rows, by exact intersection counts.
+
+    The counts are products of 0/1 matrices over the shingles that several
+    rows share, a few thousand shingles at a time.
+    """
+    data, off = B.column_bytes(table["text"])
+    values, at = shingle_sets(data, off)
+    n, owner = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
+    minor = table["minor"].to_numpy().astype(bool)
+    ids, part, size = table["doc_id"].to_numpy(), table["part"].to_numpy(), np.diff(at)
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    code = (np.cumsum(shared) - 1)[code] * shared[code] - ~shared[code]
+    use = code >= 0
+    code, owner = code[use], owner[use]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    row, col = np.flatnonzero(minor), np.flatnonzero(~minor)
+    place = np.empty(n, dtype=np.int64)
+    place[row], place[col] = np.arange(len(row)), np.arange(len(col))
+    both = np.zeros((len(row), len(col)), dtype=np.float32)
+    for first in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(code, [first, first + 4096])
+        width, c, o = min(4096, int(shared.sum()) - first), code[lo:hi] - first, owner[lo:hi]
+        left, right = np.zeros((len(row), width), dtype=np.float32), np.zeros((len(col), width), dtype=np.float32)
+        m = minor[o]
+        left[place[o[m]], c[m]] = 1
+        right[place[o[~m]], c[~m]] = 1
+        both += left @ right.T
+    both = both.astype(np.int64)
+    hit = 100 * both >= PERCENT * (size[row][:, None] + size[col][None, :] - both)
+    hit &= part[row][:, None] != part[col][None, :]
+    i, j = np.nonzero(hit)
+    return pa.table({"a": pa.array(ids[row[i]], pa.int64()), "b": pa.array(ids[col[j]], pa.int64())})
+
+
+def _linked_in_blocks(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links across components within buckets: the members outside a bucket's largest component meet all members."""
+    near = F.xxhash64("doc_id")
+    n_minor = F.ceil((F.col("m") - F.col("top")) / BLOCK_MINOR)
+    n_all = F.ceil(F.col("m") / BLOCK_ALL)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    base = members.withColumn("n_minor", n_minor).withColumn("n_all", n_all)
+    a = base.select("bucket", F.pmod(near, "n_all").alias("block"), every(F.col("n_minor")).alias("minor_block"), F.lit(False).alias("minor"), "doc_id", "part")
+    r = base.where("part <> major").select("bucket", every(F.col("n_all")).alias("block"), F.pmod(near, "n_minor").alias("minor_block"), F.lit(True).alias("minor"), "doc_id", "part")
+    rows = a.unionByName(r).join(docs.select("doc_id", "text").hint("merge"), "doc_id")
+    return rows.groupBy("bucket", "minor_block", "block").applyInArrow(_meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -142,15 +196,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settle(_linked(star, docs))
     found = connected_components(links)
 
-    # What shares a bucket and is still apart: every such pair is compared, those of heads are done.
+    # What shares a bucket and is still apart is compared too: in small buckets pair by pair, in large
+    # ones block by block inside tasks, which hand on confirmed links alone.
     of = found.select("node", "component")
-    placed = buckets.join(of, buckets.doc_id == of.node, "left").select("bucket", "doc_id", "head", F.coalesce("component", "doc_id").alias("part"))
-    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    apart = settle(placed.where("doc_id <> head").join(mixed, "bucket"))
-    x = apart.select("bucket", F.col("doc_id").alias("a"), F.col("part").alias("pa"))
-    y = apart.select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("pb"))
+    placed = buckets.join(of, buckets.doc_id == of.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    parts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("bucket").agg(F.sum("c").alias("m"), F.max("c").alias("top"), F.max_by("part", F.struct("c", "part")).alias("major")).where("top < m")
+    apart = settle(placed.join(mixed, "bucket"))
+    small = apart.where(F.col("m") <= SMALL_BUCKET)
+    x = small.select("bucket", F.col("doc_id").alias("a"), F.col("part").alias("pa"))
+    y = small.select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("pb"))
     rest = x.join(y, "bucket").where("a < b and pa <> pb").select("a", "b").distinct()
-    more = settle(_linked(rest, docs))
+    more = settle(_linked(rest, docs).union(_linked_in_blocks(apart.where(F.col("m") > SMALL_BUCKET), docs)))
     if not more.isEmpty():
         found = connected_components(links.union(more))
 
