@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near_dup, packing, pii, quality, topk, toxicity
+from . import decontaminate, language, near_dup, packing, pii, quality, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(_table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -65,12 +73,38 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
 
 
+OP2_SQL = """
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 1, item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')
+  FROM benchmark WHERE text IS NOT NULL
+), items AS (
+  SELECT DISTINCT id AS item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram
+  FROM (SELECT id, w, least(len(w), 5) AS size FROM words WHERE kind = 1 AND len(w) > 0)
+), n AS (
+  SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id
+), sizes AS (
+  SELECT DISTINCT size FROM items
+), grams AS (
+  SELECT DISTINCT id AS doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram
+  FROM words, sizes WHERE kind = 0 AND len(w) >= size
+)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item
+FROM grams JOIN items USING (size, gram) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 75
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_pii_disclosure,
+            op2_benchmark_containment,
             op4_ordinal_quality,
+            op5_url_language_model,
             op6_exact_topk,
             op7_vector_packing,
             op8_counterfactual_toxicity,
@@ -81,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": OP6_SQL}
+    return {"op2_benchmark_containment": OP2_SQL, "op6_exact_topk": OP6_SQL}
