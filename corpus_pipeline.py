@@ -6,8 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import near_dup
+from lodestone.llm import decontaminate, near_dup, packing, pii, toxicity
 from lodestone.llm._spark import shared_folder
+from lodestone.llm.queries import tokenizer_path
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the documents it is given and their labels."""
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,15 +21,34 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.keep_one(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that disclose it, are replaced by their kind."""
+    return pii.sanitise(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are cut and packed into training sequences: one row per piece."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("near-dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_folder(spark)}/lodestone/pipeline-{uuid.uuid4().hex}-{k}"
+    for _, stage in STAGES:
+        path = f"{shared_folder(spark)}/lodestone/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
