@@ -1,3 +1,3 @@
 """The operators applied to the driver tables; importing this package fills the catalog."""
 
-from . import measurement, population  # noqa: F401
+from . import measurement, pipeline_facts, population  # noqa: F401
