@@ -31,25 +31,32 @@ def _high(a: Column) -> Column:
     return F.shiftrightunsigned(a, 32)
 
 
-def add(a: Column, b: Column) -> Column:
-    low = _low(a) + _low(b)
-    return F.shiftleft(_high(a) + _high(b) + _high(low), 32).bitwiseOR(_low(low))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a bound variable instead of a repeated expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
+def add(a: Column, b: Column) -> Column:
+    def both(x, y):
+        low = _low(x) + _low(y)
+        return F.shiftleft(_high(x) + _high(y) + _high(low), 32).bitwiseOR(_low(low))
 
-def _mul32(x: Column, b: int) -> Column:
-    """x < 2**32 times a constant."""
-    out = None
-    for k in range(4):
-        part = (b >> (16 * k)) & 0xFFFF
-        if part:
-            term = F.shiftleft(x * F.lit(part).cast("long"), 16 * k)
-            out = term if out is None else add(out, term)
-    return out if out is not None else F.lit(0).cast("long")
+    return let(a, lambda x: let(b, lambda y: both(x, y)))
 
 
 def mul(a: Column, b: int) -> Column:
     """a times an unsigned constant, modulo 2**64."""
-    return add(_mul32(_low(a), b), F.shiftleft(_mul32(_high(a), b), 32))
+    b &= (1 << 64) - 1
+    part = lambda x, k: x * F.lit((b >> 16 * k) & 0xFFFF).cast("long")  # noqa: E731  below 2**48 for x < 2**32
+    low16 = lambda x: x.bitwiseAND(F.lit(0xFFFF).cast("long"))
+
+    def product(x):
+        low, high = _low(x), _high(x)
+        # Of the cross terms only the low 32 bits count.
+        cross = part(high, 0) + F.shiftleft(low16(part(high, 1)), 16) + part(low, 2) + F.shiftleft(low16(part(low, 3)), 16)
+        return add(add(part(low, 0), F.shiftleft(part(low, 1), 16)), F.shiftleft(cross, 32))
+
+    return let(a, product)
 
 
 def xor(a: Column, b: Column) -> Column:
@@ -62,9 +69,9 @@ def rotate_left(a: Column, k: int) -> Column:
 
 def mix64(a: Column) -> Column:
     """SplitMix64 finaliser."""
-    a = mul(xor(a, F.shiftrightunsigned(a, 30)), 0xBF58476D1CE4E5B9)
-    a = mul(xor(a, F.shiftrightunsigned(a, 27)), 0x94D049BB133111EB)
-    return xor(a, F.shiftrightunsigned(a, 31))
+    a = mul(let(a, lambda x: xor(x, F.shiftrightunsigned(x, 30))), 0xBF58476D1CE4E5B9)
+    a = mul(let(a, lambda x: xor(x, F.shiftrightunsigned(x, 27))), 0x94D049BB133111EB)
+    return let(a, lambda x: xor(x, F.shiftrightunsigned(x, 31)))
 
 
 def to_decimal(a: Column) -> Column:
