@@ -32,9 +32,9 @@ def mix64_keys(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS (SELECT p_partkey, CAST((((CAST(1442695040888963407 AS UHUGEINT) + p_partkey) % {_P}) * 6364136223846793005::UHUGEINT + 1442695040888963407) % {_P} AS UBIGINT) AS state FROM part),
-w AS (SELECT p_partkey, state, (xor(state >> 18, state) >> 27) & 4294967295 AS x, state >> 59 AS r FROM s)
-SELECT p_partkey, CAST(((x >> r) | (x << ((32 - r) & 31))) & 4294967295 AS BIGINT) AS word FROM w
+WITH s AS (SELECT p_partkey, CAST((((CAST(1442695040888963407 AS UHUGEINT) + CAST(p_partkey AS UHUGEINT)) % {_P}) * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % {_P} AS UBIGINT) AS state FROM part),
+w AS (SELECT p_partkey, state, (xor(state >> 18, state) >> 27) & 4294967295::UBIGINT AS x, state >> 59 AS r FROM s)
+SELECT p_partkey, CAST(((x >> r) | (x << ((32::UBIGINT - r) & 31::UBIGINT))) & 4294967295::UBIGINT AS BIGINT) AS word FROM w
 """)
 def pcg_words(spark, sf_dir):
     """The first word of the generator seeded by each key."""
