@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 OFFSET, PRIME = 14695981039346656037, 1099511628211
 _M64 = (1 << 64) - 1
@@ -32,13 +33,13 @@ def text_form(value: int) -> str:
     return f"fnv1a64-v1:{value & _M64:016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a_text(values: pd.Series) -> pd.Series:
     """Fingerprint text of each string's bytes alone; null stays null."""
     return values.map(lambda v: None if v is None else text_form(fnv1a(v.encode() if isinstance(v, str) else bytes(v))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a_record(values: pd.Series) -> pd.Series:
     """Fingerprint text of an array of strings, each with its length: field borders count."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The control bytes, backslash and colon that a relative path must not hold.
 _BAD_PATH = r"[\x00-\x1F\x7F\\:]"
@@ -95,13 +96,13 @@ def strict_long(text: Column) -> Column:
     return F.when(text.rlike(r"\A(0|[1-9][0-9]*)\z"), F.try_to_number(text, F.lit("9" * 38)).cast("decimal(38,0)")).try_cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def double_text(values: pd.Series) -> pd.Series:
     """17 significant digits, the evidence form of doubles."""
     return values.map(lambda v: format(v, ".17g"), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strict_json_problem(values: pd.Series) -> pd.Series:
     """Null for a strict JSON document; else what is wrong: syntax, duplicate-key or depth (over 64)."""
     import json

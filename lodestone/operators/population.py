@@ -60,8 +60,8 @@ def byte_diversity(df: DataFrame, group: str, genome: str) -> DataFrame:
     differ, so counts of (group, place, byte) are all that is shuffled.  Genomes
     of a group have one length.  The numerator is a whole number, divided once.
     """
-    bytes_ = df.select(group, F.posexplode(F.sequence(F.lit(1), F.octet_length(genome))).alias("place", "k"), F.col(genome).alias("g"))
-    counts = bytes_.select(group, "place", F.expr("substring(g, k, 1)").alias("byte")).groupBy(group, "place", "byte").agg(F.count(F.lit(1)).alias("c"))
+    bytes_ = df.select(group, F.explode(F.sequence(F.lit(1), F.octet_length(genome))).alias("place"), F.col(genome).alias("_genome"))
+    counts = bytes_.select(group, "place", F.expr("substring(_genome, place, 1)").alias("byte")).groupBy(group, "place", "byte").agg(F.count(F.lit(1)).alias("c"))
     places = counts.groupBy(group, "place").agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1) div 2")).alias("same"))
     out = places.groupBy(group).agg(F.max("n").alias("valid_count"), F.count(F.lit(1)).alias("size"), F.sum(F.expr("n * (n - 1) div 2 - same")).alias("mismatches"))
     pairs = F.expr("valid_count * (valid_count - 1) div 2")
