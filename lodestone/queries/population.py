@@ -115,14 +115,14 @@ WITH g AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) A
 r AS (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY valid DESC, o_totalprice DESC, o_orderkey) AS k FROM g)
 SELECT generation, count(*) AS population, CAST(count_if(valid) AS BIGINT) AS valid_count, CAST(count_if(NOT valid) AS BIGINT) AS invalid_count,
        coalesce(max(CASE WHEN k = 1 AND valid THEN o_orderkey END), -1) AS best_index, coalesce(max(CASE WHEN k = 1 AND valid THEN o_totalprice END), 0) AS best_total,
-       round(coalesce(sum(CASE WHEN valid THEN o_totalprice END), 0), 2) AS total_sum, round(coalesce(avg(CASE WHEN valid THEN o_totalprice END), 0), 2) AS mean_total
+       round(coalesce(sum(CASE WHEN valid THEN o_totalprice END), 0), 2) AS total_sum, round(coalesce(avg(CASE WHEN valid THEN o_totalprice END), 0), 4) AS mean_total
 FROM r GROUP BY generation
 """)
 def generation_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long").alias("generation"), "o_orderkey", "o_totalprice", (F.col("o_orderstatus") != "P").alias("valid"))
     out = population.generation_statistics(rows, "generation", "o_orderkey", "o_totalprice", "valid")
     out = out.fillna({"best_index": -1, "best_total": 0.0, "mean_total": 0.0})
-    return out.withColumn("total_sum", F.round("total_sum", 2)).withColumn("mean_total", F.round("mean_total", 2))
+    return out.withColumn("total_sum", F.round("total_sum", 2)).withColumn("mean_total", F.round("mean_total", 4))
 
 
 @query("""
