@@ -101,6 +101,42 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 75
 """
 
 
+def _op5_sql() -> str:
+    """The rules and the same blended model, with the lookup as a join."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    pick = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(h, p, v)}'" for h, p, v in ordered) + " END"
+    a, chars = url_filter.ALPHABET, url_filter.CHARACTERS
+    model = url_filter._TABLE.strip().removeprefix("WITH ").replace("explode_outer(cells)", "unnest(cells)").replace("DIV", "//").replace("1D / {a}", "1.0::DOUBLE / {a}")
+    model, _, last = model.rpartition("\nSELECT cell")
+    model = model.format(labelled="labelled", grid=f"(SELECT range AS id FROM range(0, {a**3}))", a=a, unit=url_filter.UNIT)
+    return f"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM p
+), x AS (
+  SELECT page_id, url, {low.format("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h
+), coded AS (
+  SELECT page_id, host, path, {pick(lambda h, p, v: h + p)} AS rule, {pick(lambda h, p, v: v)} AS verdict,
+         list_concat([0, 0], list_transform(list_filter(string_split({low.format("url")}, ''), lambda c: c <> ''), lambda c: CASE WHEN instr('{chars}', c) > 0 THEN instr('{chars}', c) ELSE {a - 1} END)) AS codes
+  FROM x
+), rows AS (
+  SELECT page_id, host, path, rule, verdict, list_transform(range(3, len(codes) + 1), lambda i: (codes[i - 2] * {a} + codes[i - 1]) * {a} + codes[i]) AS cells FROM coded
+), labelled AS (SELECT * FROM rows WHERE verdict IS NOT NULL),
+{model}, diffs AS (
+  SELECT cell{last.format(unit=url_filter.UNIT)}
+), scored AS (
+  SELECT page_id, CAST(sum(diff) AS DOUBLE) / count(*) AS score FROM (SELECT page_id, unnest(cells) AS cell FROM rows) AS u JOIN diffs ON u.cell = diffs.cell GROUP BY page_id
+), cut AS (
+  SELECT coalesce((avg(CASE WHEN verdict = 'allow' THEN coalesce(score, 0) END) + avg(CASE WHEN verdict = 'block' THEN coalesce(score, 0) END)) / 2, 0) AS cut FROM labelled LEFT JOIN scored ON labelled.page_id = scored.page_id
+)
+SELECT rows.page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(score, 0) >= (SELECT cut FROM cut) THEN 'allow' ELSE 'block' END) AS verdict
+FROM rows LEFT JOIN scored ON rows.page_id = scored.page_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -120,4 +156,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_containment": OP2_SQL, "op6_exact_topk": OP6_SQL}
+    return {"op2_benchmark_containment": OP2_SQL, "op5_url_language_model": _op5_sql(), "op6_exact_topk": OP6_SQL}
