@@ -192,6 +192,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = settle(reps.select("doc_id", F.explode("bands").alias("bucket")))
     heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = settle(rows.join(heads, "bucket"))
+    # Only documents that share a bucket are ever compared: their texts alone are shuffled from here on.
+    docs = settle(docs.join(buckets.select(F.col("doc_id").alias("_met")).distinct(), F.col("doc_id") == F.col("_met"), "left_semi"))
     star = buckets.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = settle(_linked(star, docs))
     found = connected_components(links)
