@@ -38,6 +38,8 @@ _BLOCK = (_PLACES + 1) // 2
 HOT_RUNS = 1000
 #: Bytes of runs of different keys that share one suffix array at most.
 BATCH_BYTES = 1 << 16
+#: Bytes of runs that one task decides, about.
+TASK_BYTES = 1 << 20
 _LOW = np.uint64((1 << 30) - 1)
 
 
@@ -180,17 +182,23 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     return text, start - offsets[text], count, B.mix64(key).view(np.int64), whole.view(np.int64)
 
 
-_RUN = pa.schema([("rid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64())])
-_RUN_DDL = "rid long, start int, n int, key long, run long"
+_RUN = pa.schema([("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64())])
+_RUN_DDL = "rid long, starts array<int>, n int, key long, run long"
 
 
 def _runs_task(batches):
+    """One row for each different run of a text, with all its places: a text that repeats itself gives no hot key."""
     for batch in batches:
         rid = batch.column(0).to_numpy(zero_copy_only=False)
         data, off = B.column_bytes(batch.column(1))
         for i, j in B.steps(off):
             text, start, count, key, whole = runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][text]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(whole)], schema=_RUN)
+            same = B.mix64(key.view(np.uint64) + B.mix64(whole.view(np.uint64) + B.mix64(text.astype(np.uint64))))
+            order = np.argsort(same, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(order) else order
+            lead = order[first]
+            starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][text[lead]]), starts, pa.array(count[lead].astype(np.int32)), pa.array(key[lead]), pa.array(whole[lead])], schema=_RUN)
 
 
 def _cut(batches):
@@ -280,17 +288,20 @@ def _repeated(docs: DataFrame) -> DataFrame:
     """(rid, spans): where strings start that occur elsewhere too, as half-open spans of byte places."""
     found = docs.where(F.octet_length("text") >= LENGTH).select("rid", "text").mapInArrow(_runs_task, _RUN_DDL)
     by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "run")
-    met = found.select("*", F.count(F.lit(1)).over(by_key).alias("total"), F.min("run").over(by_key).alias("lo"), F.max("run").over(by_key).alias("hi")).where("total > 1")
-    met = met.select(*found.columns, (F.col("lo") < F.col("hi")).alias("mixed"), F.count(F.lit(1)).over(by_run).alias("same"), F.row_number().over(by_run.orderBy("rid", "start")).alias("nth"))
-    met = settle(met)
-    whole = met.where("same > 1").select("rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    places = F.size("starts")
+    met = found.select("*", F.sum(places).over(by_key).alias("total"), F.min("run").over(by_key).alias("lo"), F.max("run").over(by_key).alias("hi")).where("total > 1")
+    met = met.select(*found.columns, (F.col("lo") < F.col("hi")).alias("mixed"), F.sum(places).over(by_run).alias("same"), F.row_number().over(by_run.orderBy("rid")).alias("nth"))
+    # A key all of whose runs are repeated as they are has nothing left to decide.
+    met = settle(met.withColumn("mixed", F.col("mixed") & (F.min("same").over(by_key) == 1)))
+    whole = met.where("same > 1").select("rid", F.explode("starts").alias("a"), "n").select("rid", "a", (F.col("a") + F.col("n")).alias("b"))
 
     open_runs = met.where("mixed and nth = 1").withColumn("n_runs", F.count(F.lit(1)).over(by_key))
-    parts = open_runs.groupBy("rid").agg(F.collect_list(F.struct("key", "run", "start", "n", "n_runs")).alias("parts"))  # a text's own runs
+    parts = open_runs.groupBy("rid").agg(F.collect_list(F.struct("key", "run", F.get("starts", F.lit(0)).alias("start"), "n", "n_runs")).alias("parts"))  # a text's own runs
     bytes_of = lambda hot: F.filter("parts", lambda p: (p["n_runs"] > HOT_RUNS) if hot else (p["n_runs"] <= HOT_RUNS))
     held = parts.join(docs.select("rid", "text").dropDuplicates(["rid"]), "rid")
     cut = settle(held.select("rid", "text", bytes_of(False).alias("parts")).where(F.size("parts") > 0).mapInArrow(_cut, "key long, run long, bytes binary"))
-    decided = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_decide, "key long, run long, spans array<int>")
+    size = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    decided = cut.repartition(max(1, -(-size // TASK_BYTES)), "key").sortWithinPartitions("key").mapInArrow(_decide, "key long, run long, spans array<int>")
     pair = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
     decided = decided.where(F.size("spans") > 0).select("key", "run", F.explode_outer(pair).alias("x")).select("key", "run", "x.a", "x.b")
 
@@ -300,7 +311,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
         twice = single.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
         decided = decided.union(single.join(twice, "hash").select("key", "run", F.col("place").alias("a"), (F.col("place") + 1).alias("b")))
 
-    alone = met.where("mixed and same = 1").select("rid", "start", "key", "run")
+    alone = met.where("mixed and same = 1").select("rid", F.get("starts", F.lit(0)).alias("start"), "key", "run")
     some = alone.join(decided, ["key", "run"]).select("rid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     return whole.union(some).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # a text's own spans
 
