@@ -97,3 +97,13 @@ def schedule_counters(rows: DataFrame, run: str, valid: Column, failed: Column)
         F.when(F.count_if(valid & failed) == 0, F.count_if(valid)).otherwise(0).cast("long").alias("committed"),
         F.coalesce(F.min(F.when(valid & failed, F.col("index"))), F.lit(-1)).cast("long").alias("first_failure"),
     )
+
+
+def rejection(accepted: Column, correct: Column, assured: Column, measured: Column) -> Column:
+    """Why a candidate is refused: the first of provider, correctness, assurance, measurement; else none."""
+    return F.when(~accepted, "provider").when(~correct, "correctness").when(~assured, "assurance").when(~measured, "measurement").otherwise("none")
+
+
+def baseline_state(configured: Column, compiled: Column, correct: Column, benchmarked: Column) -> Column:
+    """Configure, compile, correctness, benchmark run in order and stop at the first failure."""
+    return F.when(~configured | ~compiled, "build-failed").when(~correct, "correctness-failed").when(~benchmarked, "benchmark-ineligible").otherwise("eligible")

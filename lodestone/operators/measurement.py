@@ -136,3 +136,12 @@ def weighted_fitness(workloads: DataFrame, weights: dict[str, float], weight: st
     out = workloads.agg(*[mean(c) for c in parts])
     total = F.lit(weights["correctness"]) + F.col("runtime_improvement") * weights["performance"] + F.col("memory_improvement") * weights["memory_use"]
     return out.withColumn("total", total)
+
+
+def lower_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The lower of the two middle values (or the middle one), found like integer_medians()."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value))
+    placed = counts.withColumn("_hi", upto).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    first = F.expr("(_n - 1) div 2")
+    return placed.where((F.col("_hi") - F.col("_c") <= first) & (first < F.col("_hi"))).select(*keys, value)
