@@ -1,3 +1,3 @@
 """The operators applied to the driver tables; importing this package fills the catalog."""
 
-from . import measurement, pipeline_facts, population, random, source, storage  # noqa: F401
+from . import measurement, models, pipeline_facts, population, random, source, storage  # noqa: F401
