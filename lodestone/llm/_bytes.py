@@ -32,7 +32,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Tables that each process makes for itself: they never travel with a task."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
