@@ -36,8 +36,8 @@ _PLACES = LENGTH - GRAM + 1
 _BLOCK = (_PLACES + 1) // 2
 #: Different runs of one key that meet in one suffix array at most.
 HOT_RUNS = 1000
-#: Bytes of runs of different keys that share one suffix array at most.
-BATCH_BYTES = 1 << 16
+#: Bytes of runs of different keys that share one suffix array, about: its lists stay in the processor cache.
+BATCH_BYTES = 1 << 13
 #: Bytes of runs that one task decides, about.
 TASK_BYTES = 1 << 20
 _LOW = np.uint64((1 << 30) - 1)
@@ -45,7 +45,8 @@ _LOW = np.uint64((1 << 30) - 1)
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffix array of positive integers, by Lyndon grouping; the end counts as smaller than all symbols."""
-    text = np.append(np.asarray(symbols, dtype=np.int64), 0)
+    # A smallest symbol before the text ends every walk to the left; one after it is the end.
+    text = np.concatenate([[-1], np.asarray(symbols, dtype=np.int64), [0]])
     n = len(text)
     by_symbol = np.argsort(text, kind="stable")
     place = np.empty(n, dtype=np.int64)
@@ -53,35 +54,37 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     first = np.searchsorted(text[by_symbol], text, side="left")
     sizes = np.bincount(first, minlength=n)
     sa, at, group, size = by_symbol.tolist(), place.tolist(), first.tolist(), sizes.tolist()
-    smaller = [-1] * n
+    smaller = [0] * n
 
     # Groups in descending order; all above `end` are final.
     end = n
-    while end:
+    while end > 1:
         start = group[sa[end - 1]]
         if end - start == 1:
             i = sa[start]
             j = i - 1
-            while j >= 0 and group[j] >= start:
+            while group[j] >= start:
                 j = smaller[j]
             smaller[i] = j
-            if j >= 0:
-                g = group[j]
-                s = size[g] - 1
-                if s:
-                    last, here = g + s, at[j]
-                    other = sa[last]
-                    sa[here], sa[last], at[other], at[j] = other, j, here, last
-                    group[j], size[g], size[last] = last, s, 1
+            g = group[j]
+            s = size[g] - 1
+            if s:
+                last, here = g + s, at[j]
+                other = sa[last]
+                sa[here] = other
+                sa[last] = j
+                at[other] = here
+                at[j] = group[j] = last
+                size[g] = s
+                size[last] = 1
         else:
             times: dict[int, int] = {}
             for i in sorted(sa[start:end]):
                 j = i - 1
-                while j >= 0 and group[j] >= start:
+                while group[j] >= start:
                     j = smaller[j]
                 smaller[i] = j
-                if j >= 0:
-                    times[j] = times.get(j, 0) + 1
+                times[j] = times.get(j, 0) + 1
             parts: dict[int, list[tuple[int, int]]] = {}
             for j, k in times.items():
                 parts.setdefault(group[j], []).append((k, j))
@@ -111,17 +114,17 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
     # Emit: a suffix, once in place, puts those in place whose next smaller suffix it is.
     out, slot, placed = [0] * n, list(range(n)), bytearray(n)
-    out[0] = n - 1
-    placed[n - 1] = 1
-    for k in range(n):
+    out[1] = n - 1
+    placed[0] = placed[n - 1] = 1
+    for k in range(1, n):
         j = out[k] - 1
-        while j >= 0 and not placed[j]:
+        while not placed[j]:
             g = group[j]
             out[slot[g]] = j
             slot[g] += 1
             placed[j] = 1
             j = smaller[j]
-    return np.array(out[1:], dtype=np.int64)
+    return np.array(out[2:], dtype=np.int64) - 1
 
 
 def repeated_strings(runs: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
