@@ -1,23 +1,28 @@
 """Vectorised byte and word hashing shared by the text operators.
 
 Every function works on whole texts held as one numpy byte array; nothing here
-is limited to a prefix.  Hashes are 64-bit and the same on every machine.
+is limited to a prefix.  Hashes are 64-bit, depend on a seed, and are the same
+on every machine.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step handles at most (a longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
+#: Spans of more bytes are hashed one by one.
+_LONG = 256
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,57 +36,60 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
-
-
-class _Cache(dict):
-    """Tables that each process makes for itself: they never travel with a task."""
-
-    def __reduce__(self):
-        return _Cache, ()
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each place of data as a little-endian word; zeros follow the end."""
+    room = np.zeros(len(data) + 8, dtype=np.uint8)
+    room[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=room.data, strides=(1,))
 
 
-_POWERS = _Cache()
+def span_hash(words: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the spans [start, end) of bytes whose eights() are given.
 
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, STEP_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", _INV)):
-            out = np.ones(size, dtype=np.uint64)
-            done, step = 1, base
-            while done < size:  # doubling: the second part is the first times base**done
-                k = min(done, size - done)
-                out[done : done + k] = out[:k] * U(pow(base, done, 1 << 64))
-                done += k
-            _POWERS[key] = out
-    return _POWERS["up"], _POWERS["down"]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with len(data)+1 entries; span_hash() reads the hash of any span from it."""
-    up, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    Eight bytes at a time are mixed into a state that starts from the length,
+    so spans of one length of at most eight bytes never share a hash.
+    """
+    size = (end - start).astype(np.int64)
+    out = mix64(size.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    at, left, live = np.asarray(start, dtype=np.int64), size, np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = at[live], left[live]
+    every = len(live) == len(out)
+    while len(live):
+        word = words[at] & _MASK[np.minimum(left, 8)]
+        if every:
+            out = mix64(out ^ word)
+        else:
+            out[live] = mix64(out[live] ^ word)
+        go = np.flatnonzero(left > 8)
+        live, at, left, every = live[go], at[go] + 8, left[go] - 8, False
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        raw = np.ndarray(len(words) + 7, dtype=np.uint8, buffer=words.base if words.base is not None else words.data)
+        for k in long:
+            digest = hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+            out[k] = int.from_bytes(digest.digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Position-independent 64-bit hashes of the spans data[start:end]."""
-    _, down = _powers(len(prefix))
-    raw = (prefix[end] - prefix[start]) * down[start]
-    return mix64(raw + (end - start).astype(np.uint64))
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true places; a run never crosses a text's border."""
+    if not len(inside):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    full = offsets[1:] > offsets[:-1]
+    first, last = offsets[:-1][full], offsets[1:][full] - 1
+    edge = inside.copy()
+    edge[1:] &= ~inside[:-1]
+    edge[first] = inside[first]
+    starts = np.flatnonzero(edge)
+    edge = inside.copy()
+    edge[:-1] &= ~inside[1:]
+    edge[last] = inside[last]
+    return starts, np.flatnonzero(edge) + 1
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs without ASCII white space."""
-    edge = np.empty(len(data) + 2, dtype=bool)
-    edge[0] = edge[-1] = False
-    np.logical_not(_SPACE[data], out=edge[1:-1])
-    at = np.flatnonzero(edge[1:] != edge[:-1])
-    return at[0::2], at[1::2]
+    return runs_of(~_SPACE[data], offsets)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -116,18 +124,13 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For consecutive texts: hashes of all their words in order, and each text's n+1 word offsets.
 
     A-Z is lower-cased.  A word never crosses a text's border.
     """
-    n = len(offsets) - 1
-    glued = np.full(len(data) + n, 32, dtype=np.uint8)  # a space after each text keeps words apart
-    shift = np.repeat(np.arange(n), np.diff(offsets))
-    glued[np.arange(len(data)) + shift] = _LOWER[data]
-    starts, ends = words(glued)
-    hashes = span_hash(prefix_hash(glued), starts, ends)
-    return hashes, np.searchsorted(starts, offsets + np.arange(n + 1))
+    starts, ends = word_spans(data, offsets)
+    return span_hash(eights(_LOWER[data]), starts, ends, seed), np.searchsorted(starts, offsets)
 
 
 #: Weights of the words of a shingle, by place.
