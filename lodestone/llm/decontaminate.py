@@ -1,19 +1,23 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact counts.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingles.
 
 A test item of n shingles is contained in a document that holds at least
 ceil(0.75 n) of them.  Items are partitioned by size (powers of two); each item
 is sketched by the k = n - ceil(0.75 n) + 1 smallest hashes of its shingles, its
-bottom-k MinHash.  A document that contains the item must hit that sketch, so a
-sketch hit gives all candidates, however long the document is, and documents
-too short for a partition meet none of its items.  Candidates are verified by
-the exact number of the item's distinct shingles that the document has.
-
-All of it is DataFrame operations: one scan of the documents, whose shingle
-hashes meet the items' in a join on the hash.
+bottom-k MinHash.  A document that contains the item must hit that sketch, so
+the sketch alone, a quarter of the items' shingles, finds all candidates however
+long a document is, and documents too short for a partition meet none of its
+items.  Candidate pairs alone are then verified: the shingles of candidate
+documents are compared as text with those of their items.
+
+All of it is DataFrame operations.  The sketch is broadcast in blocks of at most
+SKETCH_ROWS rows, one pass over the documents for each, so documents' shingles
+are never shuffled; the items are the query set, the documents the table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,55 +26,68 @@ from ._spark import settle
 SHINGLE = 5
 #: An item is in a document with at least so many per cent of its shingles.
 PERCENT = 75
-#: Item shingles (24 bytes each) that are broadcast at most; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of the sketch (32 bytes each) that one pass broadcasts, about.
+SKETCH_ROWS = 500_000
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ITEM = ["item_id", "item_key"]
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _CAPITALS, _SMALL), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _grams(words: Column, n_words: Column, size: int) -> Column:
-    """Hashes of all runs of `size` words of an array column."""
-    hashes = F.transform(F.sequence(F.lit(0), n_words - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-    return F.when(n_words >= size, hashes).otherwise(F.array().cast("array<bigint>"))
+def _each(words: Column, n_words: Column, size: int, make) -> Column:
+    """make() of all runs of `size` words of an array column."""
+    runs = F.transform(F.sequence(F.lit(0), n_words - size), lambda i: make([F.get(words, i + k) for k in range(size)]))
+    return F.when(n_words >= size, runs).otherwise(F.slice(F.array(make([F.lit("")] * size)), 1, 0))
+
+
+def _hash(words: list[Column]) -> Column:
+    return F.xxhash64(*words)
 
 
-def _shingled(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, n_words, grams (of all the sizes, one after the other)."""
-    words = df.select(key, _words(F.col("text")).alias("words"))
-    counted = words.select(key, "words", F.size("words").alias("n_words"))
-    grams = [_grams(F.col("words"), F.col("n_words"), s) for s in sizes]
-    return counted.select(key, "n_words", (F.concat(*grams) if len(grams) > 1 else grams[0]).alias("grams"))
+def _text(words: list[Column]) -> Column:
+    return F.concat_ws(" ", *words)
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, size (words of its shingles), n_item, class_min, gram, in_sketch: a row for each distinct shingle."""
+def _shingled(df: DataFrame, sizes: list[int], make, *keys: str) -> DataFrame:
+    """The keys, n_words, grams (of all the sizes, one after the other)."""
+    words = df.select(*keys, _words(F.col("text")).alias("words"))
+    counted = words.select(*keys, "words", F.size("words").alias("n_words"))
+    grams = [_each(F.col("words"), F.col("n_words"), s, make) for s in sizes]
+    return counted.select(*keys, "n_words", (F.concat(*grams) if len(grams) > 1 else grams[0]).alias("grams"))
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_key, size (words of its shingles), n_item, class_min, gram, shingle, in_sketch: a row for each distinct shingle."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    parts = _shingled(items, "item_id", [1, 2, 3, 4, SHINGLE])
-    # An item with fewer than SHINGLE words is one shingle of that many words.
-    size = F.least(F.col("n_words"), F.lit(SHINGLE))
-    before = F.lit(0)
-    for s in range(1, SHINGLE):
-        before = before + F.when(size > s, F.greatest(F.col("n_words") - s + 1, F.lit(0))).otherwise(0)
-    own = F.array_sort(F.array_distinct(F.slice("grams", before + 1, F.greatest(F.col("n_words") - size + 1, F.lit(1)))))
-    rows = parts.where("n_words > 0").select("item_id", size.alias("size"), own.alias("own")).withColumn("n_item", F.size("own").cast("long"))
-    need = F.ceil(F.col("n_item") * PERCENT / 100)
+    words = items.select("item_id", F.xxhash64("text").alias("item_key"), _words(F.col("text")).alias("words"))
+    words = words.withColumn("n_words", F.size("words"))
+    both = lambda w: F.struct(_hash(w).alias("gram"), _text(w).alias("shingle"))
+    parts = []
+    for size in range(1, SHINGLE + 1):  # an item with fewer than SHINGLE words is one shingle of that many words
+        mine = words.where(F.least("n_words", F.lit(SHINGLE)) == size)
+        own = F.array_sort(F.array_distinct(_each(F.col("words"), F.col("n_words"), size, both)))
+        parts.append(mine.select(*_ITEM, F.lit(size).alias("size"), own.alias("own")))
+    rows = reduce(DataFrame.union, parts).distinct().withColumn("n_item", F.size("own").cast("long"))
     low = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_item").cast("double"))))  # the size partition's smallest size
-    rows = rows.withColumn("depth", F.col("n_item") - need + 1).withColumn("class_min", F.ceil(low * PERCENT / 100).cast("long"))
-    return rows.select("item_id", "size", "n_item", "class_min", "depth", F.posexplode_outer("own").alias("place", "gram")).withColumn("in_sketch", F.col("place") < F.col("depth"))
+    rows = rows.withColumn("depth", F.expr(f"n_item - (n_item * {PERCENT} + 99) div 100 + 1")).withColumn("class_min", F.ceil(low * PERCENT / 100).cast("long"))
+    out = rows.select(*_ITEM, "size", "n_item", "class_min", "depth", F.posexplode("own").alias("place", "x"))
+    return out.select(*_ITEM, "size", "n_item", "class_min", "x.gram", "x.shingle", (F.col("place") < F.col("depth")).alias("in_sketch"))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item: the items that a document contains.
-
-    Null texts, and texts without words, contain nothing and are contained in
-    nothing.  Items with fewer than five words are found as that run of words.
-    Rows of docs that share doc_id but not text are judged apart; equal rows of
-    either table give one result row for each id.  Extra columns are ignored.
-    """
-    return _contained(docs, benchmark).select("doc_id", "item_id", "n_shared", "n_item").distinct()
+def candidates(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, key, item_id, item_key: documents that hit an item's sketch.  rows: doc_id, key, text."""
+    sketch = items.where("in_sketch").select(*_ITEM, "class_min", "gram")
+    passes = max(1, -(-sketch.count() // SKETCH_ROWS))
+    grams = _shingled(rows, sizes, _hash, "doc_id", "key")
+    # The outer explode keeps the optimizer from inferring a filter that would split every text anew for each shingle.
+    every = grams.select("doc_id", "key", "n_words", F.explode_outer("grams").alias("gram"))
+    found = []
+    for b in range(passes):
+        block = F.broadcast(sketch.where(F.pmod(F.xxhash64("item_id", "item_key", "gram"), F.lit(passes)) == b))
+        found.append(every.join(block, "gram").where(F.col("n_words") >= F.col("class_min")).select("doc_id", "key", *_ITEM).distinct())
+    return reduce(DataFrame.union, found).distinct() if passes > 1 else found[0]
 
 
 def _key() -> Column:
@@ -78,24 +95,38 @@ def _key() -> Column:
 
 
 def _contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    items = settle(_items(benchmark))
-    few = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # sizes: 1 to 5
-    sizes = sorted(few["sizes"]) or [SHINGLE]
-    slim = items.select("item_id", "n_item", "class_min", "gram", "in_sketch")
-    if few["n"] <= BROADCAST_ROWS:
-        slim = F.broadcast(slim)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    keyed = rows.select("doc_id", F.struct("doc_id", _key().alias("key")).alias("id"), "text")
-    grams = _shingled(keyed, "id", sizes)
-    # The outer explode keeps the optimizer from inferring a filter that would split every text anew for each shingle.
-    hits = grams.select("id", "n_words", F.explode_outer("grams").alias("gram")).join(slim, "gram").where(F.col("n_words") >= F.col("class_min"))
-    distinct = hits.groupBy("id", "item_id", "gram").agg(F.first("n_item").alias("n_item"), F.max("in_sketch").alias("in_sketch"))
-    pairs = distinct.groupBy("id", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("candidate"))
-    verified = pairs.where("candidate").where(F.col("n_shared") * 100 >= F.col("n_item") * PERCENT)
-    return verified.select("id.doc_id", "id.key", "item_id", "n_shared", "n_item")
+    """doc_id, key, item_id, n_shared, n_item of the verified pairs; key is _key() of the document's row."""
+    items = settle(items_of(benchmark))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [SHINGLE]  # 1 to 5
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key")).where("text is not null")
+    pairs = settle(candidates(rows, items, sizes))
+    met = rows.join(pairs.select(F.col("key").alias("_met")).distinct(), F.col("key") == F.col("_met"), "left_semi")
+    shingles = _shingled(met, sizes, _text, "doc_id", "key").select("doc_id", "key", F.explode_outer("grams").alias("shingle"))
+    hits = shingles.join(items.select(*_ITEM, "n_item", "shingle"), "shingle").distinct()
+    p = pairs.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("item_id").alias("_i"), F.col("item_key").alias("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_key") == F.col("_t"))
+    counted = hits.join(p, same, "left_semi").groupBy("doc_id", "key", *_ITEM, "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
+    return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * PERCENT).select("doc_id", "key", "item_id", "n_shared", "n_item")
+
+
+def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item: the items that a document contains.
+
+    Null texts, and texts without words, contain nothing and are contained in
+    nothing.  Items with fewer than five words are found as that run of words.
+    Rows of either table that share an id but not the text are judged apart;
+    equal rows, and equal results of such rows, give one result row.  Rows
+    without doc_id or item_id are judged like the others, with a null id in the
+    result.  Extra columns are ignored.  No rows give no rows.
+    """
+    return _contained(docs, benchmark).select("doc_id", "item_id", "n_shared", "n_item").distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item, all columns as they were."""
+    """The rows of docs that contain no item, all columns as they were.
+
+    Rows without text or words contain nothing and stay; so do rows that repeat,
+    each for itself, unless they contain an item.  Without items all rows stay.
+    """
     gone = settle(_contained(docs, benchmark).select(F.col("key").alias("_gone")).distinct())
     return docs.join(gone, _key() == F.col("_gone"), "left_anti")
