@@ -6,17 +6,21 @@ equal strings together without one suffix array over everything:
 1. Each string of LENGTH bytes has an anchor, its smallest GRAM-byte hash (the
    rightmost, if tied), so equal strings have it at the same place.  Strings
    that follow each other with one anchor, and lie in one of two blocks of
-   places, share a core of bytes; its hash is their key.
-2. Runs are shuffled by key.  A key that occurs once holds nothing repeated.
-   Runs equal as a whole are repeated as a whole.  What is left, different runs
-   with one core, is decided on suffix arrays of the runs' bytes.
+   places, are a run and share a core of bytes; its hash is their key.
+2. Runs meet by key.  A key that occurs once holds nothing repeated.  Runs
+   equal as a whole (by 128 bits of hashes of all their bytes, besides the key)
+   are repeated as a whole.  What is left, different runs with one core, is
+   decided on suffix arrays of the runs' bytes.
 3. The suffix array is linear grouping construction: suffixes are grouped by
    their Lyndon prefix, groups are taken in descending order, and each sends its
    members' previous-smaller positions into finer groups; then the order within
    all groups is emitted in one ascending pass, without recursion or renaming.
 
-A key with more than HOT_RUNS different runs is decided by the hashes of its
-single strings instead, so no group grows with the input.
+So that no group grows with the input, the runs of a key with more than
+SPLIT_RUNS different ones are cut into their single strings, each a run with a
+core of its own: equal strings are then runs equal as a whole.  Runs of a batch
+of texts are put together before they are shuffled, counts are partial
+aggregations, and they come back by joins, which Spark splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -25,17 +29,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import settle, texts
+from ._spark import lean, settle, texts
 
 LENGTH, GRAM = 200, 32
 _PLACES = LENGTH - GRAM + 1
 _BLOCK = (_PLACES + 1) // 2
-#: Different runs of one key that meet in one suffix array at most.
-HOT_RUNS = 1000
+#: Different runs of one key that meet in one suffix array at most; more are cut into single strings.
+SPLIT_RUNS = 1000
 #: Bytes of runs of different keys that share one suffix array, about: its lists stay in the processor cache.
 BATCH_BYTES = 1 << 13
 #: Bytes of runs that one task decides, about.
@@ -138,9 +142,10 @@ def repeated_strings(runs: list[bytes], length: int = LENGTH) -> list[np.ndarray
     mark = np.zeros(len(joined), dtype=bool)
     if len(starts) > 1:
         data = np.where(joined > 1, joined - 2, 0).astype(np.uint8)
-        hashes = B.span_hash(B.prefix_hash(data), starts, starts + length)
-        same = np.flatnonzero(hashes[1:] == hashes[:-1])
-        for i in range(0, len(same), 4096):  # equal bytes, not only equal hashes
+        words = B.eights(data)  # neighbours that differ in their first or last eight bytes need no closer look
+        head, tail = words[starts], words[starts + length - 8]
+        same = np.flatnonzero((head[1:] == head[:-1]) & (tail[1:] == tail[:-1]))
+        for i in range(0, len(same), 4096):
             k = same[i : i + 4096]
             equal = (data[starts[k][:, None] + np.arange(length)] == data[starts[k + 1][:, None] + np.arange(length)]).all(axis=1)
             mark[starts[k[equal]]] = mark[starts[k[equal] + 1]] = True
@@ -158,20 +163,23 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray):
-    """(text, first string's start in the text, strings, key, hash of the run's bytes) of all runs."""
+    """(text, first string's start in the text, strings, key, two hashes of the run's bytes) of all runs."""
     empty = np.zeros(0, dtype=np.int64)
     if len(data) < LENGTH:
-        return empty, empty, empty, empty, empty
-    prefix = B.prefix_hash(data)
-    i = np.arange(len(data) - GRAM + 1)
-    grams = (B.span_hash(prefix, i, i + GRAM) & ~_LOW) | (_LOW - i.astype(np.uint64))
+        return (empty,) * 6
+    words = B.eights(data)
+    n = len(data) - GRAM + 1
+    grams = words[:n] * _PLACE[0]  # anchors only bring strings together: a plain hash will do
+    for k in range(1, GRAM // 8):
+        grams += words[8 * k : 8 * k + n] * _PLACE[k]
+    grams = (B.mix64(grams) & ~_LOW) | (_LOW - np.arange(n, dtype=np.uint64))
     anchor = (_LOW - (_sliding_min(grams, _PLACES) & _LOW)).astype(np.int64)
     p = np.arange(len(anchor))
     text = np.searchsorted(offsets, p, side="right") - 1
     ok = p + LENGTH <= offsets[text + 1]
     p, text, anchor = p[ok], text[ok], anchor[ok]
     if not len(p):
-        return empty, empty, empty, empty, empty
+        return (empty,) * 6
     block = (p - anchor + _PLACES - 1) // _BLOCK
     new = np.ones(len(p), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]) | (text[1:] != text[:-1])
@@ -180,42 +188,72 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     start, text, anchor, block = p[at], text[at], anchor[at], block[at]
     low = anchor - _PLACES + 1 + block * _BLOCK  # the block's first place; its last one is the core's start
     last = np.minimum(low + _BLOCK - 1, anchor)
-    key = B.span_hash(prefix, last, low + LENGTH) + block.astype(np.uint64)
-    whole = B.mix64(B.span_hash(prefix, start, start + count + LENGTH - 1) + (start - anchor).astype(np.uint64))
-    return text, start - offsets[text], count, B.mix64(key).view(np.int64), whole.view(np.int64)
+    key = B.mix64(_span(words, last, low + LENGTH, 0) + block.astype(np.uint64))
+    place = (start - anchor).astype(np.uint64)
+    whole = [B.mix64(_span(words, start, start + count + LENGTH - 1, seed) + place).view(np.int64) for seed in (1, 2)]
+    return text, start - offsets[text], count, key.view(np.int64), *whole
 
 
-_RUN = pa.schema([("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64())])
-_RUN_DDL = "rid long, starts array<int>, n int, key long, run long"
+#: Weights of the eight-byte words of a gram.
+_PLACE = B.mix64(np.arange(1, GRAM // 8 + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def _span(words: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of spans of at least eight bytes: eight bytes at a time into a mixed state, the last eight from the end."""
+    state = B.mix64((end - start).astype(np.uint64) + np.uint64(seed << 32))
+    at, last = start.copy(), end - 8
+    live = np.arange(len(start))
+    while len(live):
+        state[live] = B.mix64(state[live] ^ words[np.minimum(at[live], last[live])])
+        at[live] += 8
+        live = live[at[live] < last[live] + 8]
+    return state
+
+
+_RUN = pa.schema([("texts", pa.list_(pa.struct([("doc", pa.int64()), ("rid", pa.int64()), ("starts", pa.list_(pa.int32()))]))), ("places", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64())])
+_RUN_DDL = "texts array<struct<doc: long, rid: long, starts: array<int>>>, places int, n int, key long, run long, twin long"
+
+
+@lean
 def _runs_task(batches):
-    """One row for each different run of a text, with all its places: a text that repeats itself gives no hot key."""
+    """One row for each different run of some texts, with all its places: what repeats near itself is one row."""
     for batch in batches:
-        rid = batch.column(0).to_numpy(zero_copy_only=False)
-        data, off = B.column_bytes(batch.column(1))
+        doc, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        data, off = B.column_bytes(batch.column(2))
         for i, j in B.steps(off):
-            text, start, count, key, whole = runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            same = B.mix64(key.view(np.uint64) + B.mix64(whole.view(np.uint64) + B.mix64(text.astype(np.uint64))))
-            order = np.argsort(same, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(order) else order
-            lead = order[first]
-            starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][text[lead]]), starts, pa.array(count[lead].astype(np.int32)), pa.array(key[lead]), pa.array(whole[lead])], schema=_RUN)
+            text, start, count, key, run, twin = runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            order = np.lexsort((text, twin, run, key))
+            text, start, count, key, run, twin = (x[order] for x in (text, start, count, key, run, twin))
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1]) | (twin[1:] != twin[:-1])
+            first = np.flatnonzero(new)
+            other = new.copy()
+            other[1:] |= text[1:] != text[:-1]
+            inner = np.flatnonzero(other)
+            starts = pa.ListArray.from_arrays(pa.array(np.append(inner, len(key)).astype(np.int32)), pa.array(start.astype(np.int32)))
+            cells = pa.StructArray.from_arrays([pa.array(doc[i:j][text[inner]]), pa.array(rid[i:j][text[inner]]), starts], fields=list(_RUN.field(0).type.value_type))
+            bounds = np.append(np.searchsorted(inner, first), len(inner)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), cells)
+            places = np.diff(np.append(first, len(key))).astype(np.int32)
+            columns = [lists, pa.array(places), pa.array(count[first].astype(np.int32)), *(pa.array(x[first]) for x in (key, run, twin))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _RUN)], schema=_RUN)
+
+
+_CUT = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64()), ("bytes", pa.binary())])
+_CUT_DDL = "key long, run long, twin long, bytes binary"
 
 
 def _cut(batches):
-    """(rid, text, parts) -> (key, run, bytes)."""
-    schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("bytes", pa.binary())])
+    """(text, parts) -> (key, run, twin, bytes)."""
     for batch in batches:
-        data, off = B.column_bytes(batch.column(1))
-        for k, parts in enumerate(batch.column(2).to_pylist()):
+        data, off = B.column_bytes(batch.column(0))
+        for k, parts in enumerate(batch.column(1).to_pylist()):
             own = data[off[k] : off[k + 1]]
-            cells = [(p["key"], p["run"], own[p["start"] : p["start"] + p["n"] + LENGTH - 1].tobytes()) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells), schema)], schema=schema)
+            cells = [(p["key"], p["run"], p["twin"], own[p["start"] : p["start"] + p["n"] + LENGTH - 1].tobytes()) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells), _CUT)], schema=_CUT)
 
 
-_DECIDED = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("spans", pa.list_(pa.int32()))])
+_DECIDED = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
 def _spans(mark: np.ndarray) -> list[int]:
@@ -223,39 +261,38 @@ def _spans(mark: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8))).tolist()
 
 
+@lean
 def _decide(batches):
     """Rows in the order of their keys -> the repeated strings of each run; all runs of a key share a suffix array."""
-    keys: list[int] = []
-    names: list[int] = []
+    names: list[tuple] = []
     held: list[bytes] = []
     size = 0
 
     def out():
         spans = [_spans(m) for m in repeated_strings(held)]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], schema=_DECIDED)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*names)), pa.array(spans, pa.list_(pa.int32()))], schema=_DECIDED)
 
     for batch in batches:
-        for key, run, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            if keys and key != keys[-1] and size > BATCH_BYTES:
+        for *name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if names and name[0] != names[-1][0] and size > BATCH_BYTES:
                 yield out()
-                keys, names, held, size = [], [], [], 0
-            keys.append(key)
-            names.append(run)
+                names, held, size = [], [], 0
+            names.append(name)
             held.append(raw)
             size += len(raw)
-    if keys:
+    if names:
         yield out()
 
 
 def _singles(batches):
-    """(key, run, bytes) -> (key, run, place, hash) of each string."""
-    schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("place", pa.int32()), ("hash", pa.int64())])
+    """(key, run, twin, bytes) -> a row for each string: the run it is in, its place there and two hashes of its bytes."""
+    schema = pa.schema([*_CUT][:3] + [pa.field("place", pa.int32()), pa.field("hash", pa.int64()), pa.field("other", pa.int64())])
     for batch in batches:
-        for key, run, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for *name, raw in zip(*(c.to_pylist() for c in batch.columns)):
             data = np.frombuffer(raw, dtype=np.uint8)
             i = np.arange(len(data) - LENGTH + 1)
-            h = B.span_hash(B.prefix_hash(data), i, i + LENGTH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(i), pa.int64()), pa.array([run] * len(i), pa.int64()), pa.array(i.astype(np.int32)), pa.array(h)], schema=schema)
+            hashes = [_span(B.eights(data), i, i + LENGTH, seed).view(np.int64) for seed in (3, 4)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(i), pa.int64()) for x in name), pa.array(i.astype(np.int32)), *map(pa.array, hashes)], schema=schema)
 
 
 _REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -270,6 +307,7 @@ def _covered(size: int, spans) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+@lean
 def _remove(batches):
     for batch in batches:
         data, off = B.column_bytes(batch.column(1))
@@ -284,39 +322,46 @@ def _remove(batches):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
+    """Rows are named by their doc_id and a hash of their text, together."""
+    return texts(docs).select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("rid"))
+
+
+_NAME = ["key", "run", "twin"]
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """(rid, spans): where strings start that occur elsewhere too, as half-open spans of byte places."""
-    found = docs.where(F.octet_length("text") >= LENGTH).select("rid", "text").mapInArrow(_runs_task, _RUN_DDL)
-    by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "run")
-    places = F.size("starts")
-    met = found.select("*", F.sum(places).over(by_key).alias("total"), F.min("run").over(by_key).alias("lo"), F.max("run").over(by_key).alias("hi")).where("total > 1")
-    met = met.select(*found.columns, (F.col("lo") < F.col("hi")).alias("mixed"), F.sum(places).over(by_run).alias("same"), F.row_number().over(by_run.orderBy("rid")).alias("nth"))
+    """(doc, rid, spans): where strings start that occur elsewhere too, as half-open spans of byte places."""
+    found = settle(docs.where(F.octet_length("text") >= LENGTH).select("doc", "rid", "text").mapInArrow(_runs_task, _RUN_DDL))
+    keys = found.groupBy("key").agg(F.sum("places").alias("total")).where("total > 1").select("key")
+    met = settle(found.join(keys.hint("merge"), "key"))
+    lead = F.min(F.struct(F.get("texts", F.lit(0))["doc"].alias("doc"), F.get("texts", F.lit(0))["rid"].alias("rid"), F.get(F.get("texts", F.lit(0))["starts"], F.lit(0)).alias("start")))
+    by_run = settle(met.groupBy(*_NAME).agg(F.sum("places").alias("same"), F.first("n").alias("n"), lead.alias("lead")))
     # A key all of whose runs are repeated as they are has nothing left to decide.
-    met = settle(met.withColumn("mixed", F.col("mixed") & (F.min("same").over(by_key) == 1)))
-    whole = met.where("same > 1").select("rid", F.explode("starts").alias("a"), "n").select("rid", "a", (F.col("a") + F.col("n")).alias("b"))
-
-    open_runs = met.where("mixed and nth = 1").withColumn("n_runs", F.count(F.lit(1)).over(by_key))
-    parts = open_runs.groupBy("rid").agg(F.collect_list(F.struct("key", "run", F.get("starts", F.lit(0)).alias("start"), "n", "n_runs")).alias("parts"))  # a text's own runs
-    bytes_of = lambda hot: F.filter("parts", lambda p: (p["n_runs"] > HOT_RUNS) if hot else (p["n_runs"] <= HOT_RUNS))
-    held = parts.join(docs.select("rid", "text").dropDuplicates(["rid"]), "rid")
-    cut = settle(held.select("rid", "text", bytes_of(False).alias("parts")).where(F.size("parts") > 0).mapInArrow(_cut, "key long, run long, bytes binary"))
+    by_key = by_run.groupBy("key").agg(F.count(F.lit(1)).alias("n_runs"), F.min("same").alias("least")).where("n_runs > 1 and least = 1")
+    status = settle(by_run.join(by_key.select("key", "n_runs").hint("merge"), "key"))
+
+    whole = met.join(by_run.where("same > 1").select(*_NAME).hint("merge"), _NAME).select(F.explode("texts").alias("x"), "n")
+    whole = whole.select("x.doc", "x.rid", F.explode("x.starts").alias("a"), "n").select("doc", "rid", "a", (F.col("a") + F.col("n")).alias("b"))
+
+    part = F.struct(*_NAME, F.col("lead.start").alias("start"), "n", "n_runs")
+    parts = status.groupBy(F.col("lead.doc").alias("doc"), F.col("lead.rid").alias("rid")).agg(F.collect_list(part).alias("parts"))  # a text's own runs
+    held = parts.join(docs.select("doc", "rid", "text").dropDuplicates(["doc", "rid"]), ["doc", "rid"])
+    few = lambda hot: F.filter("parts", lambda p: (p["n_runs"] > SPLIT_RUNS) if hot else (p["n_runs"] <= SPLIT_RUNS))
+    cut = settle(held.select("text", few(False).alias("parts")).where(F.size("parts") > 0).mapInArrow(_cut, _CUT_DDL))
     size = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    decided = cut.repartition(max(1, -(-size // TASK_BYTES)), "key").sortWithinPartitions("key").mapInArrow(_decide, "key long, run long, spans array<int>")
+    decided = cut.repartition(max(1, -(-size // TASK_BYTES)), "key").sortWithinPartitions("key").mapInArrow(_decide, "key long, run long, twin long, spans array<int>")
     pair = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
-    decided = decided.where(F.size("spans") > 0).select("key", "run", F.explode_outer(pair).alias("x")).select("key", "run", "x.a", "x.b")
+    decided = decided.where(F.size("spans") > 0).select(*_NAME, F.explode(pair).alias("x")).select(*_NAME, "x.a", "x.b")
 
-    hot = settle(held.select("rid", "text", bytes_of(True).alias("parts")).where(F.size("parts") > 0).mapInArrow(_cut, "key long, run long, bytes binary"))
-    if not hot.isEmpty():
-        single = settle(hot.mapInArrow(_singles, "key long, run long, place int, hash long"))
-        twice = single.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
-        decided = decided.union(single.join(twice, "hash").select("key", "run", F.col("place").alias("a"), (F.col("place") + 1).alias("b")))
+    split = settle(held.select("text", few(True).alias("parts")).where(F.size("parts") > 0).mapInArrow(_cut, _CUT_DDL))
+    if not split.isEmpty():
+        single = settle(split.mapInArrow(_singles, "key long, run long, twin long, place int, hash long, other long"))
+        twice = single.groupBy("hash", "other").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash", "other")
+        decided = decided.union(single.join(twice.hint("merge"), ["hash", "other"]).select(*_NAME, F.col("place").alias("a"), (F.col("place") + 1).alias("b")))
 
-    alone = met.where("mixed and same = 1").select("rid", F.get("starts", F.lit(0)).alias("start"), "key", "run")
-    some = alone.join(decided, ["key", "run"]).select("rid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    return whole.union(some).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # a text's own spans
+    alone = status.where("same = 1").select(*_NAME, "lead")
+    some = alone.join(decided, _NAME).select("lead.doc", "lead.rid", (F.col("lead.start") + F.col("a")).alias("a"), (F.col("lead.start") + F.col("b")).alias("b"))
+    return whole.union(some).groupBy("doc", "rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # a text's own spans
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -324,9 +369,10 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty.  Texts shorter than LENGTH bytes lose nothing;
     strings never cross documents; rows that repeat count as each other's
-    copies.  Extra columns are ignored.  No rows give no rows.
+    copies, and so do equal texts of rows without doc_id.  Extra columns are
+    ignored.  No rows give no rows.
     """
     docs = _keyed(docs)
-    spans = settle(_repeated(docs)).withColumnRenamed("rid", "at")
-    rows = docs.join(spans, docs.rid == spans["at"], "left").select("doc_id", "text", "spans")
+    spans = settle(_repeated(docs)).select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), "spans")
+    rows = docs.join(spans, (docs.doc == spans._doc) & (docs.rid == spans._rid), "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
