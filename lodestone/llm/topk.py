@@ -4,8 +4,11 @@ A query row is sparse: its non-zero components are terms with weights.  A block
 of candidates holds, for each term, the postings (rows and weights).  For each
 term of the queries its weighted postings are scattered into dense score
 arrays, one for each query; partition selection keeps each block's k best, and
-a window over blocks merges them.  Queries and candidates meet block by block
-over an equi-join of block numbers.
+a merge of the blocks' best keeps each task's.
+
+Queries are taken in groups of bounded bytes.  A group goes to every task once,
+the candidates are scanned where they lie and are never shuffled, and a task
+hands on k rows for each query; a window over those ranks them.
 """
 
 from __future__ import annotations
@@ -15,84 +18,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of queries.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+from ._spark import lean, settle
+
 SCALE = 256
-_BLOB = "ids binary, dims int, components binary"
+#: Rows and components of a block of candidates at most (a longer vector is a block of its own).
+BLOCK_ROWS, BLOCK_COMPONENTS = 4096, 1 << 20
+#: Components (8 bytes each) and rows of a group of queries, about.
+GROUP_COMPONENTS, GROUP_ROWS = 1 << 22, 1 << 16
+#: Queries whose score arrays are filled together.
+TOGETHER = 64
+
+
+class Sparse:
+    """Vectors as rows of (term, integer weight); zeros are not held."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ids, self.at, self.terms, self.weights = ids, at, terms, weights
 
+    def __len__(self) -> int:
+        return len(self.ids)
 
-def _integers(batch_column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that take part, and floor(SCALE * x) of their components, as a zero-filled matrix of doubles."""
-    lists = batch_column
+    def part(self, i: int, j: int) -> Sparse:
+        lo, hi = self.at[i], self.at[j]
+        return Sparse(self.ids[i:j], self.at[i : j + 1] - lo, self.terms[lo:hi], self.weights[lo:hi])
+
+
+def integers(ids: np.ndarray, lists: pa.ListArray) -> Sparse:
+    """Rows that take part, in ascending id order, with floor(SCALE * x) of their components."""
     size = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    flat = lists.flatten()
-    values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
+    values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
     used = np.maximum(size, 0)
     owner = np.repeat(np.arange(len(size)), used)
     ok = size >= 0
     ok[owner[~np.isfinite(values)]] = False
-    width = int(size[ok].max()) if ok.any() else 0
-    out = np.zeros((len(size), width))
-    column = np.arange(len(values)) - np.repeat(np.cumsum(used) - used, used)
-    take = ok[owner]
-    out[owner[take], column[take]] = np.floor(SCALE * values[take])
-    return np.flatnonzero(ok), out[ok]
-
-
-_BLOB_ARROW = pa.schema([("ids", pa.binary()), ("dims", pa.int32()), ("components", pa.binary())])
-
-
-def _blobs(ids: np.ndarray, lists: pa.ListArray, rows: int):
-    """Cells (ids, dims, components) of blobs of at most `rows` vectors, each in ascending id order."""
-    at, matrix = _integers(lists)
-    ids = ids[at]
+    term = np.arange(len(values)) - np.repeat(np.cumsum(used) - used, used)
+    weight = np.floor(SCALE * np.where(ok[owner], values, 0.0))
+    take = np.flatnonzero(ok[owner] & (weight != 0))
+    rank = np.empty(len(size), dtype=np.int64)
     order = np.argsort(ids, kind="stable")
-    ids, matrix = ids[order], matrix[order]
-    for i in range(0, len(ids), rows):
-        part = np.ascontiguousarray(matrix[i : i + rows])
-        yield ids[i : i + rows].astype("<i8").tobytes(), part.shape[1], part.astype("<f8").tobytes()
-
-
-def _query_blobs(batches):
-    for batch in batches:
-        cells = list(_blobs(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), BLOCK_QUERIES))
-        yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], f.type) for k, f in enumerate(_BLOB_ARROW)], schema=_BLOB_ARROW)
-
-
-def _candidate_blobs(key, table):
-    table = table.combine_chunks()
-    lists = table["embedding"].combine_chunks() if isinstance(table["embedding"], pa.ChunkedArray) else table["embedding"]
-    cells = list(_blobs(table["vec_id"].to_numpy(), lists, BLOCK_ROWS))
-    blocks = pa.array([key[0].as_py()] * len(cells), pa.int64())
-    return pa.table([blocks, *(pa.array([c[k] for c in cells], f.type) for k, f in enumerate(_BLOB_ARROW))], names=["block", "ids", "dims", "components"])
+    rank[order] = np.arange(len(order))
+    take = take[np.argsort(rank[owner[take]], kind="stable")]
+    counts = np.bincount(rank[owner[take]], minlength=len(size))
+    kept = ok[order]
+    at = np.concatenate([[0], np.cumsum(counts[kept])])
+    return Sparse(ids[order][kept], at, term[take], weight[take])
 
 
-def _accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def accumulate(queries: Sparse, rows: Sparse) -> np.ndarray:
     """(queries, rows) integer inner products, term by term."""
-    dims = min(queries.shape[1], rows.shape[1])
-    if not dims:
-        return np.zeros((len(queries), len(rows)), dtype=np.int64)
-    bound = np.abs(queries[:, :dims]).sum(axis=1).max(initial=0) * np.abs(rows[:, :dims]).max(initial=0)
+    most = np.add.reduceat(np.abs(queries.weights), queries.at[:-1][np.diff(queries.at) > 0]).max(initial=0) if len(queries.weights) else 0.0
+    bound = most * np.abs(rows.weights).max(initial=0)
     # Doubles are exact to 2**53, floats to 2**24; beyond, Python's integers.
     kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
-    q, r = (np.array([[int(v) for v in x] for x in m[:, :dims].tolist()], dtype=object).reshape(len(m), dims) if kind is object else m[:, :dims].astype(kind) for m in (queries, rows))
-    scores = np.zeros((len(q), len(r)), dtype=kind)
-    for term in range(dims):
-        posting = np.flatnonzero(r[:, term])
-        using = np.flatnonzero(q[:, term])
-        if not len(posting) or not len(using):
+    as_kind = lambda x: np.array([int(v) for v in x], dtype=object) if kind is object else x.astype(kind)
+    scores = np.zeros((len(queries), len(rows)), dtype=kind)
+    by_term = np.argsort(rows.terms, kind="stable")
+    terms, first = np.unique(rows.terms[by_term], return_index=True)
+    last = np.append(first[1:], len(by_term))
+    owner = np.repeat(np.arange(len(rows)), np.diff(rows.at))[by_term]
+    weights = as_kind(rows.weights[by_term])
+    q_order = np.argsort(queries.terms, kind="stable")
+    q_owner = np.repeat(np.arange(len(queries)), np.diff(queries.at))[q_order]
+    q_terms, q_weights = queries.terms[q_order], as_kind(queries.weights[q_order])
+    lo, hi = np.searchsorted(q_terms, terms, side="left"), np.searchsorted(q_terms, terms, side="right")
+    for a, b, c, d in zip(first.tolist(), last.tolist(), lo.tolist(), hi.tolist()):
+        if c == d:
             continue
-        weights = np.ascontiguousarray(r[posting, term])
-        dense = len(posting) == len(r)
-        for k in using:
-            if dense:
-                scores[k] += q[k, term] * weights
-            else:
-                scores[k, posting] += q[k, term] * weights
+        posting, weight, using = owner[a:b], weights[a:b], q_owner[c:d]
+        added = q_weights[c:d, None] * weight[None]
+        if b - a == len(rows) and d - c == len(queries):
+            scores += added
+        elif b - a == len(rows):
+            scores[using] += added
+        else:
+            scores[using[:, None], posting[None]] += added
     return scores
 
 
-def _select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
+def select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     """Places of the k best by (score descending, id ascending); ids ascend.  The query's own row is left out."""
     valid = np.flatnonzero(ids != own)
     if len(valid) <= k:
@@ -105,23 +108,45 @@ def _select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray
     return place[np.lexsort((ids[place], -scores[place]))]
 
 
-def _search(k: int):
+def _blocks(batch: pa.RecordBatch):
+    """Slices of a batch with at most BLOCK_ROWS rows and about BLOCK_COMPONENTS components."""
+    size = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    i = 0
+    while i < batch.num_rows:
+        j = min(int(np.searchsorted(size, size[i] + BLOCK_COMPONENTS, side="right")) - 1, i + BLOCK_ROWS, batch.num_rows)
+        j = max(j, i + 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _search(shared, k: int):
+    """Candidates -> for each query of the group the k best of this task's rows."""
+
+    @lean
     def run(batches):
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        queries = Sparse(*shared.value)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object))] * len(queries)
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, r_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                q = np.frombuffer(row["q_components"], "<f8").reshape(len(q_ids), row["q_dims"])
-                r = np.frombuffer(row["components"], "<f8").reshape(len(r_ids), row["dims"])
-                out: list[list] = [[], [], []]
-                for i in range(0, len(q), 64):
-                    scores = _accumulate(q[i : i + 64], r)
-                    for own, s in zip(q_ids[i : i + 64], scores):
-                        best = _select(s, r_ids, own, k)
-                        out[0] += [own] * len(best)
-                        out[1] += r_ids[best].tolist()
-                        out[2] += [int(x) for x in s[best]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+            for block in _blocks(batch):
+                rows = integers(block.column(0).to_numpy(zero_copy_only=False), block.column(1))
+                if not len(rows):
+                    continue
+                for i in range(0, len(queries), TOGETHER):
+                    some = queries.part(i, min(len(queries), i + TOGETHER))
+                    for n, (own, s) in enumerate(zip(some.ids, accumulate(some, rows)), start=i):
+                        place = select(s, rows.ids, own, k)
+                        ids = np.concatenate([best[n][0], rows.ids[place]])
+                        found = np.concatenate([best[n][1], [int(x) for x in s[place]]])
+                        order = np.lexsort((ids, -found))[:k]
+                        best[n] = ids[order], found[order]
+        for i in range(0, len(queries), 4096):
+            part = best[i : i + 4096]
+            owners = np.repeat(queries.ids[i : i + 4096], [len(ids) for ids, _ in part])
+            cells = [owners, np.concatenate([ids for ids, _ in part]), [x for _, found in part for x in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], schema=_SCHEMA)
 
     return run
 
@@ -133,18 +158,25 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     that is null or holds a null or a non-finite component takes no part, nor
     does a row without vec_id.  A shorter vector counts as filled with zeros.
     Rows that share a vec_id are candidates each for itself, but never for a
-    query of that id.  Extra columns are ignored; no rows give no rows.  A
-    score beyond 64 bits is an error.
+    query of that id; equal query rows are one query, and an id with different
+    query rows gets the k best of all of them.  Extra columns are ignored; no
+    rows give no rows.  A score beyond 64 bits is an error.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
-    n_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    blobs = blocks.groupBy("block").applyInArrow(_candidate_blobs, f"block long, {_BLOB}")
-    # Every block of queries goes to every block of candidates.
-    asked = rows.where(is_query).mapInArrow(_query_blobs, _BLOB)
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("components").alias("q_components"))
-    sent = asked.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    best = blobs.join(sent, F.col("block") == F.col("to")).select("q_ids", "q_dims", "q_components", "ids", "dims", "components").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    asked = rows.where(is_query).distinct().withColumn("dealt", F.xxhash64("vec_id", "embedding"))
+    n, components = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    groups = max(1, -(-n // GROUP_ROWS), -(-components // GROUP_COMPONENTS))
+    asked = settle(asked) if groups > 1 else asked
+    found = None
+    for g in range(groups):
+        table = asked.where(F.pmod("dealt", F.lit(groups)) == g).select("vec_id", "embedding").toArrow().combine_chunks()
+        lists = table["embedding"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
+        group = integers(table["vec_id"].to_numpy(), lists)  # GROUP_COMPONENTS and GROUP_ROWS bound it
+        shared = spark.sparkContext.broadcast((group.ids, group.at, group.terms, group.weights))
+        best = rows.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long")
+        best = settle(best) if groups > 1 else best
+        found = best if found is None else found.union(best)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
