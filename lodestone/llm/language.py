@@ -15,17 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import crc_mod, texts
+from ._spark import crc_mod, lean, sample_of_each, texts
 
 #: Bytes of a window, embedding size, filters of each width.
 WINDOW, EMBED = 192, 6
 WIDTHS = {2: 8, 3: 8, 5: 12}
 WIDEST = max(WIDTHS)
 FILTERS = sum(WIDTHS.values())
-#: Learnt from at most so many documents of each language, by hash order, and so many windows of each document.
-SAMPLE, SAMPLE_WINDOWS = 400, 6
-#: At most so many languages are told apart (the most frequent ones).
-LANGUAGES = 64
+#: Learnt from at most so many documents of each language, by hash order, so many windows of each document (spread
+#: evenly over it), and about so many windows in all (with many languages each gets fewer documents, but at least 20).
+SAMPLE, SAMPLE_WINDOWS, SAMPLE_TOTAL = 400, 6, 100_000
 EPOCHS, BATCH, RATE = 8, 128, 0.004
 UNKNOWN = "und"
 
@@ -129,6 +128,7 @@ class Network:
         return best, np.where(np.diff(offsets) > 0, share[np.arange(n), best], 0.0)
 
 
+@lean
 def _sample_windows(batches):
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
     for batch in batches:
@@ -142,29 +142,30 @@ def _sample_windows(batches):
 
 
 def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> Network:
-    """Train on at most `sample` documents of each of the LANGUAGES most frequent values of lang."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null")
+    """Train on at most `sample` documents of each value of lang; all values are told apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("chosen"), F.col("lang").cast("string").alias("tongue")).where("tongue is not null and chosen is not null")
     if learn is not None:
         rows = rows.where(learn)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(r["tongue"] for r in rows.select("tongue").distinct().collect())  # the network's outputs
     net = Network(languages)
     if len(languages) < 2:
         return net
-    few = None
-    for lang in languages:  # LANGUAGES * sample ids at most
-        part = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id")).limit(sample).select(F.col("doc_id").alias("chosen")).distinct()
-        few = part if few is None else few.union(part)
-    picked = texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(few.distinct()), F.col("doc_id") == F.col("chosen")).where(F.col("lang").isin(languages))
+    each = max(20, min(sample, SAMPLE_TOTAL // (SAMPLE_WINDOWS * len(languages))))
+    few = sample_of_each(rows.distinct(), "tongue", "chosen", each)
+    picked = texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(few), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("tongue")))
+    # One text for each id and language, however often the id repeats.
+    picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = picked.select("lang", "text").mapInArrow(_sample_windows, "lang string, window binary").toArrow()
     pairs = sorted(set(zip(got["lang"].to_pylist(), got["window"].to_pylist())))
     if pairs:
+        number = {lang: k for k, lang in enumerate(languages)}
         x = np.frombuffer(b"".join(w for _, w in pairs), dtype=np.uint8).reshape(-1, WINDOW)
-        net.train(x, np.array([languages.index(lang) for lang, _ in pairs]))
+        net.train(x, np.array([number[lang] for lang, _ in pairs]))
     return net
 
 
 def _apply(net: Network):
+    @lean
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
         names = np.array([*net.languages, UNKNOWN], dtype=object)
@@ -192,8 +193,10 @@ def languages(docs: DataFrame) -> DataFrame:
 
     Learns from rows with a lang whose crc32(doc_id as text) mod 3 is not 1.
     With one learnt language it is predicted with score 1, with none every row
-    is `und`.  Extra columns are ignored; a null doc_id counts as not held out.
+    is `und`.  Of languages with one score the first by name is predicted.
+    Repeated rows are judged each for itself.  Extra columns are ignored; a
+    null doc_id counts as not held out.
     """
-    net = train(docs, learn=crc_mod("doc_id", 3) != 1)
+    net = train(docs, learn=crc_mod("chosen", 3) != 1)
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     return identify(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
