@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import crc_mod, texts
+from ._spark import crc_mod, lean, sample_of_each, texts
 
 FEATURES = 1 << 20
 #: Labelled rows of each class that are learnt from at most.
@@ -43,21 +43,16 @@ _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids of all words of consecutive texts, with the text each belongs to (repeats are kept)."""
-    n = len(offsets) - 1
-    glued = np.full(len(data) + n, 32, dtype=np.uint8)
-    glued[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = B.lower_ascii(data)
-    up = np.flatnonzero((glued[:-1] == 0xC3) & (glued[1:] >= 0x80) & (glued[1:] <= 0x9E) & (glued[1:] != 0x97)) + 1
-    glued[up] += 32  # capital letters of Latin-1
-    edge = np.zeros(len(glued) + 2, dtype=bool)
-    edge[1:-1] = _LETTER[glued]
-    at = np.flatnonzero(edge[1:] != edge[:-1])
-    starts, ends = at[0::2], at[1::2]
-    text = np.searchsorted(offsets[1:] + np.arange(1, n + 1), starts, side="right")
-    prefix = B.prefix_hash(glued)
-    ids, owner = [B.span_hash(prefix, starts, ends)], [text]
+    low = B.lower_ascii(data)
+    up = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
+    low[up] += 32  # capital letters of Latin-1
+    starts, ends = B.runs_of(_LETTER[low], offsets)
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    words = B.eights(low)
+    ids, owner = [B.span_hash(words, starts, ends)], [text]
     for size in PREFIXES:
         long = ends - starts > size
-        ids.append(B.span_hash(prefix, starts[long], starts[long] + size) + np.uint64(size << 40))
+        ids.append(B.span_hash(words, starts[long], starts[long] + size, seed=size))
         owner.append(text[long])
     return (np.concatenate(ids) & np.uint64(FEATURES - 1)).astype(np.int64), np.concatenate(owner)
 
@@ -67,16 +62,17 @@ def word_features(word: str) -> np.ndarray:
     return features(raw, np.array([0, len(raw)]))[0]
 
 
+@lean
 def _feature_rows(batches):
-    schema = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.list_(pa.int32()))])
     for batch in batches:
-        data, off = B.column_bytes(batch.column(1))
+        data, off = B.column_bytes(batch.column(2))
         for i, j in B.steps(off):
             ids, owner = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
             pair = np.unique(owner << 20 | ids)
             ends = np.searchsorted(pair >> 20, np.arange(j - i + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((pair & (FEATURES - 1)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int32()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i).cast(pa.int32()), lists], schema=schema)
 
 
 class Model:
@@ -102,9 +98,13 @@ def _sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n)
 
 
-def fit(toxic: np.ndarray, flat: np.ndarray, offsets: np.ndarray, prior: float) -> Model:
-    """Logistic regression over presence features; rows are weighted so that the classes have the stated prior."""
+def fit(toxic: np.ndarray, flat: np.ndarray, offsets: np.ndarray, prior: float, names: np.ndarray | None = None) -> Model:
+    """Logistic regression over presence features; rows are weighted so that the classes have the stated prior.
+
+    names (the rows' doc_ids, else their numbers) choose the words that stand in for identity terms.
+    """
     n, n1 = len(toxic), int(toxic.sum())
+    names = np.arange(n) if names is None else names
     if n1 == 0 or n1 == n:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.log(1e-6) if n1 == 0 else -np.log(1e-6))
     rows = np.repeat(np.arange(n), np.diff(offsets))
@@ -129,8 +129,9 @@ def fit(toxic: np.ndarray, flat: np.ndarray, offsets: np.ndarray, prior: float)
         own = terms[term][:1]
         if place[own[0]] < 0:
             continue
-        for doc in np.unique(r[c == place[own[0]]])[:200]:
-            for other in (IDENTITY[(k + 1 + int(doc)) % len(IDENTITY)], NEUTRAL[int(doc) % len(NEUTRAL)]):
+        for doc in np.unique(r[c == place[own[0]]]):  # every mention in the rows learnt from
+            turn = int(names[doc])
+            for other in (IDENTITY[(k + 1 + turn % (len(IDENTITY) - 1)) % len(IDENTITY)], NEUTRAL[turn % len(NEUTRAL)]):
                 for sign, word in ((-1.0, term), (1.0, other)):
                     for col in place[terms[word]]:
                         if col >= 0 and (sign < 0 or (int(doc), int(col)) not in held):
@@ -164,21 +165,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None)
     if learn is not None:
         rows = rows.where(learn)
     rows = rows.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    counts = dict(rows.groupBy("toxic").count().collect())
-    order = F.xxhash64("label_id")
-    few = rows.where("toxic = 1").orderBy(order).limit(sample).union(rows.where("toxic = 0").orderBy(order).limit(sample))
-    chosen = texts(docs).join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("toxic", "text")  # 2 * sample rows of two numbers
-    got = chosen.mapInArrow(_feature_rows, "toxic int, features array<int>").toArrow()
+    counts = dict(rows.groupBy("toxic").count().collect())  # two rows
+    few = sample_of_each(rows, "toxic", "label_id", sample)  # 2 * sample rows of two numbers
+    chosen = texts(docs).join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
+    # One text for each id, however often the id repeats: what comes to the driver is bounded by the sample.
+    chosen = chosen.groupBy("label_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    got = chosen.mapInArrow(_feature_rows, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
     lists = got["features"].combine_chunks()
-    toxic = got["toxic"].to_numpy().astype(np.int64)
+    names, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]) if len(toxic) else np.zeros(1, dtype=np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(toxic) else np.zeros(0, dtype=np.int64)
     total = max(1, sum(counts.values()))
     prior = min(max(counts.get(1, 0) / total, 1e-4), 1 - 1e-4)
-    return fit(toxic, flat, offsets, prior)
+    return fit(toxic, flat, offsets, prior, names)
 
 
 def _scorer(model: Model):
+    @lean
     def run(batches):
         table = model.table()
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -200,9 +203,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted.
 
     Learns from labels whose crc32(doc_id as text) mod 4 is not 2; where one
-    document has several labels, any toxic one counts.  Without labels of both
-    classes every score is that of the class there is (0 without any).  Extra
-    columns are ignored; a null doc_id is scored and counts as not held out.
+    document has several labels, any toxic one counts; of an id's texts the
+    smallest is learnt from.  Without labels of both classes every score is that
+    of the class there is (0 without any).  Repeated rows are scored each for
+    itself; a score of THRESHOLD is predicted 1.  Extra columns are ignored; a
+    null doc_id is scored and counts as not held out.
     """
     model = train(docs, labels, learn=crc_mod("label_id", 4) != 2)
     out = score(docs, model)
@@ -211,6 +216,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _filter(model: Model, text_at: int):
+    @lean
     def run(batches):
         table = model.table()
         for batch in batches:
@@ -223,6 +229,10 @@ def _filter(model: Model, text_at: int):
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs with a score below THRESHOLD, all columns as they were."""
+    """The rows of docs with a score below THRESHOLD, all columns as they were.
+
+    A null or empty text has the score of no evidence and is judged by it; rows
+    without doc_id are judged like the others, repeated rows each for itself.
+    """
     model = train(docs, labels, learn=crc_mod("label_id", 4) != 2)
     return docs.mapInArrow(_filter(model, docs.columns.index("text")), docs.schema)
