@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def test_repeats(spark, monkeypatch):
         spans = int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
         want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     for hot in (1000, 1):  # with 1, all mixed keys are decided string by string
-        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+        monkeypatch.setattr(suffix_dedup, "SPLIT_RUNS", hot)
         assert sorted(tuple(r) for r in suffix_dedup.repeats(frame(spark, docs).repartition(3)).collect()) == sorted(want)
     assert suffix_dedup.repeats(empty(spark)).count() == 0
 
@@ -336,7 +337,9 @@ def test_url_table_is_the_blended_model(spark):
 
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(topk, "BLOCK_COMPONENTS", 40)
+    monkeypatch.setattr(topk, "GROUP_ROWS", 2)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
     rng = random.Random(12)
     rows = [(k, [rng.uniform(-1, 1) if rng.random() < 0.7 else 0.0 for _ in range(6)]) for k in range(150)]
     rows += [(k, [0.5] * 6) for k in range(150, 210)] + [(210, None), (211, [1.0, None]), (212, [float("nan")] * 6), (213, []), (250, [3.0] * 6), (None, [1.0] * 6)]
@@ -353,8 +356,9 @@ def test_topk(spark, monkeypatch):
 
 
 def test_large_components_stay_exact():
-    q, r = np.array([[2.0**40, 1.0]]), np.array([[2.0**40, 3.0], [1.0, 1.0]])
-    assert [int(x) for x in topk._accumulate(q, r)[0]] == [2**80 + 3, 2**40 + 1]
+    sparse = lambda rows: topk.integers(np.arange(len(rows)), pa.array(rows, pa.list_(pa.float64())))
+    q, r = sparse([[2.0**32, 1 / 256]]), sparse([[2.0**32, 3 / 256], [1 / 256, 1 / 256]])
+    assert [int(x) for x in topk.accumulate(q, r)[0]] == [2**80 + 3, 2**40 + 1]
 
 
 def test_packer_limits():
