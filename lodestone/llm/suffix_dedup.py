@@ -174,10 +174,10 @@ def runs(data: np.ndarray, offsets: np.ndarray):
         grams += words[8 * k : 8 * k + n] * _PLACE[k]
     grams = (B.mix64(grams) & ~_LOW) | (_LOW - np.arange(n, dtype=np.uint64))
     anchor = (_LOW - (_sliding_min(grams, _PLACES) & _LOW)).astype(np.int64)
-    p = np.arange(len(anchor))
-    text = np.searchsorted(offsets, p, side="right") - 1
-    ok = p + LENGTH <= offsets[text + 1]
-    p, text, anchor = p[ok], text[ok], anchor[ok]
+    strings = np.maximum(np.diff(offsets) - LENGTH + 1, 0)  # of each text
+    text = np.repeat(np.arange(len(strings)), strings)
+    p = np.arange(len(text)) + np.repeat(offsets[:-1] - (np.cumsum(strings) - strings), strings)
+    anchor = anchor[p]
     if not len(p):
         return (empty,) * 6
     block = (p - anchor + _PLACES - 1) // _BLOCK
@@ -188,9 +188,9 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     start, text, anchor, block = p[at], text[at], anchor[at], block[at]
     low = anchor - _PLACES + 1 + block * _BLOCK  # the block's first place; its last one is the core's start
     last = np.minimum(low + _BLOCK - 1, anchor)
-    key = B.mix64(_span(words, last, low + LENGTH, 0) + block.astype(np.uint64))
+    key = B.mix64(_span(words, last, low + LENGTH, 0)[0] + block.astype(np.uint64))
     place = (start - anchor).astype(np.uint64)
-    whole = [B.mix64(_span(words, start, start + count + LENGTH - 1, seed) + place).view(np.int64) for seed in (1, 2)]
+    whole = [B.mix64(h + place).view(np.int64) for h in _span(words, start, start + count + LENGTH - 1, 1, 2)]
     return text, start - offsets[text], count, key.view(np.int64), *whole
 
 
@@ -198,16 +198,23 @@ def runs(data: np.ndarray, offsets: np.ndarray):
 _PLACE = B.mix64(np.arange(1, GRAM // 8 + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _span(words: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of spans of at least eight bytes: eight bytes at a time into a mixed state, the last eight from the end."""
-    state = B.mix64((end - start).astype(np.uint64) + np.uint64(seed << 32))
-    at, last = start.copy(), end - 8
-    live = np.arange(len(start))
+def _span(words: np.ndarray, start: np.ndarray, end: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """For each seed, hashes of spans of at least eight bytes: eight bytes at a time into a mixed state, the last eight from the end."""
+    size = (end - start).astype(np.uint64)
+    states = [B.mix64(size + np.uint64(seed << 32)) for seed in seeds]
+    steps = (end - start + 7) // 8  # the last one may overlap the one before
+    least = int(steps.min(initial=1 << 62)) - 1 if len(steps) else 0
+    for k in range(least):
+        word = words[start + 8 * k]
+        states = [B.mix64(h ^ word) for h in states]
+    live, k = np.arange(len(start)), least
     while len(live):
-        state[live] = B.mix64(state[live] ^ words[np.minimum(at[live], last[live])])
-        at[live] += 8
-        live = live[at[live] < last[live] + 8]
-    return state
+        word = words[np.minimum(start[live] + 8 * k, end[live] - 8)]
+        for h in states:
+            h[live] = B.mix64(h[live] ^ word)
+        k += 1
+        live = live[steps[live] > k]
+    return states
 
 
 _RUN = pa.schema([("texts", pa.list_(pa.struct([("doc", pa.int64()), ("rid", pa.int64()), ("starts", pa.list_(pa.int32()))]))), ("places", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64())])
@@ -291,32 +298,36 @@ def _singles(batches):
         for *name, raw in zip(*(c.to_pylist() for c in batch.columns)):
             data = np.frombuffer(raw, dtype=np.uint8)
             i = np.arange(len(data) - LENGTH + 1)
-            hashes = [_span(B.eights(data), i, i + LENGTH, seed).view(np.int64) for seed in (3, 4)]
+            hashes = [h.view(np.int64) for h in _span(B.eights(data), i, i + LENGTH, 3, 4)]
             yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(i), pa.int64()) for x in name), pa.array(i.astype(np.int32)), *map(pa.array, hashes)], schema=schema)
 
 
 _REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _covered(size: int, spans) -> np.ndarray:
-    """Which bytes lie in a string that starts in one of the spans [a, b)."""
-    change = np.zeros(size + 1, dtype=np.int64)
-    for s in spans or []:
-        change[s["a"]] += 1
-        change[min(size, s["b"] + LENGTH - 1)] -= 1
-    return np.cumsum(change[:-1]) > 0
-
-
 @lean
 def _remove(batches):
+    """(doc_id, text, from, to): the strings that start in [from, to) of the sorted spans go."""
     for batch in batches:
         data, off = B.column_bytes(batch.column(1))
+        lists = batch.column(2)
+        has = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        first = np.cumsum(has) - has
+        a, b = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
         rows = []
-        for k, spans in enumerate(batch.column(2).to_pylist()):
-            own = data[off[k] : off[k + 1]]
-            gone = _covered(len(own), spans)
-            kept = hashlib.sha256(own[~gone].tobytes()).hexdigest()
-            rows.append((len(own), int(gone.sum()), len(_spans(gone)) // 2, kept))
+        for k in range(batch.num_rows):
+            own, spans = data[off[k] : off[k + 1]], 0
+            gone, kept, last = 0, hashlib.sha256(), 0
+            lo, hi = first[k], first[k] + has[k]
+            if has[k]:
+                starts, ends = a[lo:hi], np.minimum(np.maximum.accumulate(b[lo:hi]) + LENGTH - 1, len(own))  # starts ascend
+                new = np.append(True, starts[1:] > ends[:-1])
+                at = np.flatnonzero(new)
+                for s, e in zip(starts[at].tolist(), ends[np.append(at[1:] - 1, len(starts) - 1)].tolist()):
+                    kept.update(own[last:s].data)
+                    gone, spans, last = gone + e - s, spans + 1, e
+            kept.update(own[last:].data)
+            rows.append((len(own), gone, spans, kept.hexdigest()))
         cells = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cells, list(_REMOVED)[1:]))], schema=_REMOVED)
 
@@ -361,7 +372,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
     alone = status.where("same = 1").select(*_NAME, "lead")
     some = alone.join(decided, _NAME).select("lead.doc", "lead.rid", (F.col("lead.start") + F.col("a")).alias("a"), (F.col("lead.start") + F.col("b")).alias("b"))
-    return whole.union(some).groupBy("doc", "rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # a text's own spans
+    return whole.union(some).groupBy("doc", "rid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))  # a text's own spans
 
 
 def repeats(docs: DataFrame) -> DataFrame:
