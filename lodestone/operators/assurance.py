@@ -107,3 +107,81 @@ def rejection(accepted: Column, correct: Column, assured: Column, measured: Colu
 def baseline_state(configured: Column, compiled: Column, correct: Column, benchmarked: Column) -> Column:
     """Configure, compile, correctness, benchmark run in order and stop at the first failure."""
     return F.when(~configured | ~compiled, "build-failed").when(~correct, "correctness-failed").when(~benchmarked, "benchmark-ineligible").otherwise("eligible")
+
+
+# Terminal reasons that a provider may state for a job.
+TERMINALS = (
+    "none", "success", "candidate-rejected", "start-failed", "timeout", "resource-limit", "signaled", "canceled", "provider-protocol", "cleanup-failed", "capability-unavailable",
+)
+#: What a recipe's status means for a search: limits and states of their own, everything else is an invalid recipe.
+RECIPE_REJECTIONS = {"ok": "none", "resource-limit": "resource-limit", "out-of-memory": "resource-limit", "state": "state"}
+
+
+def recipe_rejection(status: Column) -> Column:
+    out = F.lit("recipe-invalid")
+    for name, reason in RECIPE_REJECTIONS.items():
+        out = F.when(status == name, reason).otherwise(out)
+    return out
+
+
+def command_disposition(timed_out: Column, exit_code: Column) -> Column:
+    return F.when(timed_out, "timeout").when(exit_code != 0, "failed").otherwise("passed")
+
+
+def gate_records(outcomes: DataFrame) -> DataFrame:
+    """Evidence of gates from their recorded outcomes: disposition, and fingerprints as text; empty excerpts are null."""
+    c = F.col
+    text = lambda name: F.concat(F.lit("fnv1a64-v1:"), F.lower(F.lpad(F.hex(c(name)), 16, "0"))).alias(name)
+    kind = gate_disposition(c("unavailable"), c("policy_violation"), c("cleanup_failure"), c("resource_limit"), c("timed_out"), c("signal") != 0, c("exit_code"))
+    prints = ("stdout_fingerprint", "stderr_fingerprint", "toolchain_fingerprint")
+    rest = [x for x in outcomes.columns if x not in (*prints, "excerpt")]
+    return outcomes.select(*rest, *map(text, prints), F.when(c("excerpt") != "", c("excerpt")).alias("excerpt"), kind.alias("disposition"))
+
+
+def polled_terminal(polls: DataFrame, job: list[str], limit: int) -> DataFrame:
+    """The terminal reason of each job from its recorded polls(job, round, terminal boolean, reason), by round.
+
+    The first poll that ends the job counts: one that is terminal without a
+    reason, or has a reason without being terminal, breaks the protocol; so does
+    a job that no poll of the first `limit` rounds ended.
+    """
+    ending = F.col("terminal") | (F.col("reason") != "none")
+    reason = F.when(F.col("terminal") & (F.col("reason") != "none"), F.col("reason")).otherwise("provider-protocol")
+    seen = polls.where(F.col("round") < limit).groupBy(*job).agg(F.min_by(F.when(ending, reason), F.when(ending, F.col("round"))).alias("_reason"))
+    return polls.select(*job).distinct().join(seen, job, "left").select(*job, F.coalesce("_reason", F.lit("provider-protocol")).alias("terminal"))
+
+
+def joined_state(started: Column, polled: Column, joined: Column, cleaned: Column, cancel_requested: Column, capable: Column, evaluated: Column) -> tuple[Column, Column]:
+    """(terminal reason, state) of a job after its provider was joined.
+
+    Without cleanup nothing else counts.  A join that contradicts the polls
+    breaks the protocol, unless a cancel was asked for and met; then missing
+    capabilities, then a success without an evaluation that can be used.
+    """
+    agreed = (joined == polled) | (cancel_requested & (joined == "canceled"))
+    reason = (
+        F.when(~started, polled)
+        .when(~cleaned, "cleanup-failed")
+        .when(~capable, "capability-unavailable")
+        .when(~agreed, "provider-protocol")
+        .when((polled == "success") & ~evaluated, "provider-protocol")
+        .otherwise(polled)
+    )
+    state = F.when(~started, "not-started").when(~cleaned, "cleanup-failed").when(is_hard_failure(reason), "joined").otherwise("staged")
+    return reason, state
+
+
+def provider_available(kind: Column, sandbox: Column, compiler: Column) -> Column:
+    """Whether a registered provider can run: all need the sandbox, those that read or compile source the compiler too."""
+    return F.when(kind == "execution", sandbox).when(kind.isin("analysis", "syntax-tree", "evaluation"), sandbox & compiler).otherwise(F.lit(False))
+
+
+def identity_valid(value: Column, limit: int = 63) -> Column:
+    """A fingerprint or identity that an outcome may carry: not empty and within the limit."""
+    return F.coalesce(F.octet_length(value).between(1, limit), F.lit(False))
+
+
+def started_wave(jobs: DataFrame, index: str, workers: int, wave: int, refused: Column) -> DataFrame:
+    """The jobs of a wave after it was started: those whose provider refused end at once, the others run."""
+    mine = jobs.where(F.floor(F.col(index) / workers) == wave)
+    return mine.withColumn("started", ~refused).withColumn("terminal", F.when(refused, "start-failed").otherwise("none")).withColumn("state", F.when(refused, "terminal").otherwise("started"))

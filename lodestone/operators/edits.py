@@ -7,33 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.fingerprint import fnv1a, text_form
-from lodestone.functions.text import shift_of_power
-
-COMPOUND_OPERATORS = ("+", "&", "|", "^", "*", "-")
-
-
-def compound_assignment(target: Column) -> Column:
-    """`x = x op y` as `x op= y`, null where the text has another form."""
-    pattern = r"\A\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*([+&|^*-])\s*(.+?)\s*\z"
-    same = F.regexp_extract(target, pattern, 1)
-    return F.when((same != "") & (same == F.regexp_extract(target, pattern, 2)), F.concat(same, F.lit(" "), F.regexp_extract(target, pattern, 3), F.lit("= "), F.regexp_extract(target, pattern, 4)))
-
-
-def plain_condition(target: Column) -> Column:
-    """`!!e` as `e`, null where the text has another form."""
-    inner = F.regexp_extract(target, r"\A\s*!\s*!\s*(.+?)\s*\z", 1)
-    return F.when(inner != "", inner)
-
-
-def multiply_to_shift(target: Column, width: int = 32, limit: int = 31) -> Column:
-    """`x * 2^k` as `(x << k)` for 0 < k < width, k <= limit; null where the text has another form."""
-    pattern = r"\A\s*([A-Za-z_][A-Za-z0-9_]*)\s*\*\s*([0-9]{1,18})[uU]?\s*\z"
-    k = shift_of_power(F.when(F.regexp_extract(target, pattern, 2) != "", F.regexp_extract(target, pattern, 2)).cast("long"))
-    return F.when((k > 0) & (k < width) & (k <= limit), F.concat(F.lit("("), F.regexp_extract(target, pattern, 1), F.lit(" << "), k.cast("string"), F.lit(")")))
-
-
-TRANSFORMATIONS = {"assignment-to-compound": compound_assignment, "drop-double-negation": plain_condition, "multiply-to-shift": multiply_to_shift}
-
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """files(path, content) and edits(path, start, end, before, after, identity) -> the new contents.
@@ -71,6 +44,7 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "path string, content binary, status string, edit_count long, before_size long, after_size long, before_fingerprint string, after_fingerprint string")
 
 
+# The line forms of a unified patch.
 def whole_file_patch(path: Column, before: Column, after: Column) -> Column:
     """One hunk: all old lines removed, all new lines added; a text without a last line end says so."""
 

@@ -1,41 +1,51 @@
 """State that depends on its own past: patience and the adaptive rate, folded over a group's ordered rows.
 
-The rows of one run are gathered into an array, sorted and folded by
-`aggregate`; a run has as many rows as generations, which its configuration bounds.
+Rows are dealt by group and sorted; each task streams over its rows and keeps
+one group's state, so no group is gathered and the work is linear.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def _fold(df: DataFrame, group: str, item, first, then) -> DataFrame:
-    """group, z: each of a group's items in order (z.r) with the state after it (z.s)."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    states = rows.select(
-        group,
-        "_rows",
-        F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.array(first(F.element_at("_rows", 1))), lambda acc, r: F.concat(acc, F.array(then(F.element_at(acc, -1), r)))).alias("_states"),
-    )
-    return states.select(group, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_states").alias("s"))).alias("z"))
+def _fold(df: DataFrame, group: str, order: str, values: list[str], states: str, step: Callable[..., tuple]) -> DataFrame:
+    """df with the columns `states` (DDL) after each row: step(state before or None, *values) -> state."""
+    names = [c.split()[0] for c in states.split(", ")]
+    rows = df.select(group, order, *values)
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + f", {states}"
+
+    def run(parts):
+        last, state = None, None
+        for part in parts:
+            out = []
+            for key, *xs in zip(part[group].tolist(), *(part[v].tolist() for v in values)):
+                if key != last:
+                    last, state = key, None
+                state = step(state, *xs)
+                out.append(state)
+            yield pd.concat([part, pd.DataFrame(out, columns=names, index=part.index)], axis=1)
+
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
 
 
 def patience(df: DataFrame, group: str, order: str, value: str, tolerance: float, limit: int) -> DataFrame:
     """Adds reference and counter after each row: only value > reference + tolerance moves the reference and
     zeroes the counter; otherwise it grows up to `limit`.  stagnated: the counter is at the limit."""
 
-    def step(acc, r):
-        better = r["x"] > acc["reference"] + tolerance
-        return F.struct(
-            F.when(better, r["x"]).otherwise(acc["reference"]).alias("reference"),
-            F.when(better, F.lit(0).cast("long")).when(acc["counter"] < limit, acc["counter"] + 1).otherwise(acc["counter"]).alias("counter"),
-        )
+    def step(state, x):
+        if state is None:
+            return x, 0, limit <= 0
+        reference, counter, _ = state
+        if x > reference + tolerance:
+            return x, 0, limit <= 0
+        counter = min(counter + 1, limit)
+        return reference, counter, counter >= limit
 
-    first = lambda r: F.struct(r["x"].alias("reference"), F.lit(0).cast("long").alias("counter"))
-    item = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
-    both = _fold(df, group, item, first, step)
-    return both.select(group, F.col("z.r.o").alias(order), F.col("z.r.x").alias(value), "z.s.reference", "z.s.counter", (F.col("z.s.counter") >= limit).alias("stagnated"))
+    return _fold(df, group, order, [value], "reference double, counter long, stagnated boolean", step)
 
 
 def adaptive_rate(
@@ -49,24 +59,24 @@ def adaptive_rate(
     and is held otherwise.  Any other row counts as stagnant and adds a step.
     A step that would pass `high` gives exactly `high`.
     """
-    up = lambda rate: F.when(F.lit(step) > F.lit(high) - rate, F.lit(high)).otherwise(rate + step)
+    up = lambda rate: high if step > high - rate else rate + step
     start = min(max(initial, low), high)
 
-    def first(r):
-        poor = r["d"] <= threshold
-        return F.struct(F.when(poor, up(F.lit(start))).otherwise(F.lit(start)).alias("rate"), F.lit(0).cast("long").alias("stagnant"), F.when(poor, "low-diversity").otherwise("initial").alias("reason"))
-
-    def then(acc, r):
-        poor, better = r["d"] <= threshold, r["b"]
+    def then(state, d, better):
+        poor = d <= threshold
+        if state is None:
+            return (up(start), 0, "low-diversity") if poor else (start, 0, "initial")
+        rate, stagnant, _ = state
+        if not better:
+            return up(rate), stagnant + 1, "stagnation-low-diversity" if poor else "stagnation"
         if reset:
-            improved_rate, improved_reason = F.lit(low), F.lit("improvement-reset")
-        else:
-            improved_rate, improved_reason = F.when(poor, up(acc["rate"])).otherwise(acc["rate"]), F.when(poor, "low-diversity").otherwise("improvement-hold")
-        return F.struct(
-            F.when(better, improved_rate).otherwise(up(acc["rate"])).alias("rate"),
-            F.when(better, F.lit(0).cast("long")).otherwise(acc["stagnant"] + 1).alias("stagnant"),
-            F.when(better, improved_reason).when(poor, "stagnation-low-diversity").otherwise("stagnation").alias("reason"),
-        )
-
-    item = F.struct(F.col(order).alias("o"), F.col(diversity).cast("double").alias("d"), F.col(improved).alias("b"))
-    return _fold(df, group, item, first, then).select(group, F.col("z.r.o").alias(order), "z.s.rate", "z.s.stagnant", "z.s.reason")
+            return low, 0, "improvement-reset"
+        return (up(rate), 0, "low-diversity") if poor else (rate, 0, "improvement-hold")
+
+    out = _fold(df, group, order, [diversity, improved], "rate double, stagnant long, reason string", then)
+    return out.select(group, order, "rate", "stagnant", "reason")
+
+
+def rate_applies(generation_limit: int, population_size: int, elite_count: int | None) -> bool:
+    """Whether a run can mutate at all: it has a next generation, and not one row alone that is its own elite."""
+    return generation_limit > 0 and (population_size != 1 or elite_count == 0)

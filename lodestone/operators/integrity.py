@@ -27,9 +27,15 @@ def match_status(df: DataFrame, checks: list[tuple[Column, str]], fine: str = "o
     return out
 
 
-def compatible_pairs(left: DataFrame, right: DataFrame, on: Column, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that fit by `on` (an equality first, so that it is a hash join) and are not in `existing`."""
-    return left.join(right, on).join(existing.select(*keys), keys, "left_anti")
+def pairs_by_mask(left: DataFrame, kind: str, right: DataFrame, mask: str, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs whose left kind (one bit) is in the right mask, without those in `existing`.
+
+    Masks are taken apart into their bits, so that the pairs meet in a join on equality.
+    """
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda b: F.col(mask).cast("long").bitwiseAND(b) != 0)
+    allowed = right.withColumn("_bit", F.explode(bits))
+    out = left.join(allowed, left[kind].cast("long") == allowed["_bit"]).drop("_bit")
+    return out.join(existing.select(*keys), keys, "left_anti")
 
 
 def dependency_status(records: DataFrame, needs: DataFrame, owner: str, want: str, have: str, forbids: DataFrame) -> DataFrame:

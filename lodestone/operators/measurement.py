@@ -15,26 +15,38 @@ PPM_CAP = 4_294_967_295
 COMPARISONS = ("incomplete", "unstable", "slower", "faster", "equal")
 
 
+def _around_middle(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, _m (a measure), _v (its distinct values around the middle), _lo and _hi (rows before and with it), _n.
+
+    All measures are unpivoted and counted by value in one aggregation.  A
+    mergeable sketch gives bounds on both sides of each group's middle, so only
+    the few values between them are ordered, after a count of the rows below:
+    a group may be as large as the input.
+    """
+    pairs = ", ".join(f"'{v}', cast({v} as bigint)" for v in values)
+    long = df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) as (_m, _v)")).where("_v is not null")
+    by = [*keys, "_m"]
+    sketch = long.groupBy(*by).agg(F.percentile_approx("_v", [0.49, 0.51], 10000).alias("_b"))
+    bound = lambda k: F.get("_b", F.lit(k)).cast("decimal(38,0)")
+    # The sketch works in doubles: its bounds are moved out by more than a double can be off.
+    wider = lambda k, way: bound(k) + way * (F.floor(F.abs(bound(k)) / F.lit(1 << 48)) + 1)
+    bounds = sketch.select(*by, wider(0, -1).alias("_from"), wider(1, 1).alias("_to"))
+    counts = long.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).join(bounds, by)
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.sum(F.when(F.col("_v") < F.col("_from"), F.col("_c")).otherwise(0)).alias("_below"))
+    near = counts.where("_v between _from and _to").join(totals, by)
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")) + F.col("_below")
+    return near.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
+
+
 def integer_medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Exact lower-rounded medians of whole numbers for each group, one column each.
+    """Exact lower-rounded medians of whole numbers for each group, one column each (null without values).
 
-    Equal values are counted first, and a running count over the distinct
-    values finds the middle ones: a group's values are never gathered, so a
-    group may be as large as the input.  An even count gives the floor of the
-    mean of the two middle values, without overflow.
+    An even count gives the floor of the mean of the two middle values, without overflow.
     """
-    out = None
-    for v in values:
-        counts = df.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
-        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(v))
-        n = F.sum("_c").over(Window.partitionBy(*keys))
-        placed = counts.withColumn("_hi", upto).withColumn("_n", n).withColumn("_lo", F.col("_hi") - F.col("_c"))
-        first, second = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-        at = lambda k: F.max(F.when((F.col("_lo") <= k) & (k < F.col("_hi")), F.col(v)))  # noqa: B023,E731
-        middle = placed.groupBy(*keys).agg(at(first).alias("_a"), at(second).alias("_b"))
-        one = middle.select(*keys, _middle(F.col("_a"), F.col("_b")).alias(v))
-        out = one if out is None else out.join(one, keys, "full")
-    return out
+    at = lambda k: F.max(F.when((F.col("_lo") <= k) & (k < F.col("_hi")), F.col("_v")))
+    middle = _around_middle(df, keys, values).groupBy(*keys, "_m").agg(at(F.expr("(_n - 1) div 2")).alias("_a"), at(F.expr("_n div 2")).alias("_b"))
+    one = middle.select(*keys, "_m", _middle(F.col("_a"), F.col("_b")).alias("_x"))
+    return one.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == v, F.col("_x"))).alias(v) for v in values])
 
 
 def _middle(a: Column, b: Column) -> Column:
@@ -97,15 +109,19 @@ def improvement(baseline: Column, candidate: Column) -> Column:
     return F.when(baseline == 0, 0.0).otherwise((baseline.cast("double") - candidate.cast("double")) / baseline.cast("double"))
 
 
-def compare_workloads(marked: DataFrame, aggregates: DataFrame, tolerance_ppm: int, minimum_ppm: int, max_range_ppm: int, minimum_included: int) -> DataFrame:
+def compare_workloads(
+    marked: DataFrame, aggregates: DataFrame, tolerance_ppm: int, minimum_ppm: int, max_range_ppm: int, minimum_included: int, memory_mix: tuple[float, float] = (1.0, 1.0)
+) -> DataFrame:
     """One row per workload: complete, stable, comparison and the improvements of both subjects' medians.
 
     A workload with any incomplete sample, warm-ups included, or with a
-    condition mismatch is not complete.
+    condition mismatch is not complete.  memory_mix: the weights of peak memory
+    and of binary size in memory_improvement.  Measures in millionths
+    (reliability, maintainability) gain by their difference.
     """
     broken = marked.groupBy("workload").agg(F.bool_or(~(F.col("completed") & ~F.col("timed_out") & ~F.col("failed") & F.col("condition_ok"))).alias("_broken"))
     value = lambda c, who: F.max(F.when(F.col("subject") == who, F.col(c))).alias(f"{who}_{c}")
-    cols = ["included_count", "runtime_ns", "runtime_range_ppm", "peak_memory", "binary_size"]
+    cols = ["included_count", "runtime_ns", "runtime_range_ppm", "peak_memory", "binary_size", "reliability", "maintainability"]
     cols = [c for c in cols if c in aggregates.columns]
     wide = aggregates.groupBy("workload").agg(*[value(c, who) for c in cols for who in ("baseline", "candidate")]).join(broken, "workload")
     enough = lambda who: F.coalesce(F.col(f"{who}_included_count") >= minimum_included, F.lit(False))
@@ -116,7 +132,12 @@ def compare_workloads(marked: DataFrame, aggregates: DataFrame, tolerance_ppm: i
     gain = lambda c: F.when(F.col("stable"), improvement(F.col(f"baseline_{c}"), F.col(f"candidate_{c}"))).otherwise(0.0)
     out = wide.withColumn("comparison", verdict).withColumn("runtime_improvement", gain("runtime_ns"))
     if "peak_memory" in cols and "binary_size" in cols:
-        out = out.withColumn("memory_improvement", (gain("peak_memory") + gain("binary_size")) / 2)
+        peak, binary = (float(w) for w in memory_mix)
+        out = out.withColumn("memory_improvement", (gain("peak_memory") * peak + gain("binary_size") * binary) / (peak + binary))
+    for c in ("reliability", "maintainability"):
+        if c in cols:
+            grown = (F.col(f"candidate_{c}") - F.col(f"baseline_{c}")).cast("double") / float(PPM)
+            out = out.withColumn(f"{c}_improvement", F.when(F.col("stable"), grown).otherwise(0.0))
     return out.drop("_broken")
 
 
@@ -129,19 +150,28 @@ def overall(workloads: DataFrame) -> DataFrame:
     return workloads.agg(worst.alias("comparison"), F.when(usable, F.avg("runtime_improvement")).alias("performance"), usable.alias("fitness_available"))
 
 
-def weighted_fitness(workloads: DataFrame, weights: dict[str, float], weight: str = "weight") -> DataFrame:
-    """Weight-averaged component gains and the total = sum of component weights times components (correctness 1, penalty 0)."""
-    mean = lambda c: (F.sum(F.col(weight) * F.col(c)) / F.sum(weight)).alias(c)
-    parts = ("runtime_improvement", "memory_improvement")
-    out = workloads.agg(*[mean(c) for c in parts])
-    total = F.lit(weights["correctness"]) + F.col("runtime_improvement") * weights["performance"] + F.col("memory_improvement") * weights["memory_use"]
-    return out.withColumn("total", total)
+def weighted_fitness(workloads: DataFrame, weights: dict[str, float], weight: str = "weight", order: str | None = None) -> DataFrame:
+    """Weight-averaged component gains, and the total: component weights times components, less the weighted penalty.
+
+    Correctness is 1 and the penalty 0 for a candidate that got here; gains that
+    the rows do not have are 0.  order: sums run in this column's order, so they
+    have the same bits whatever the partitioning (workloads are few: a policy
+    bounds them).  fitness_available: the total is finite.
+    """
+    parts = {"performance": "runtime_improvement", "memory_use": "memory_improvement", "reliability": "reliability_improvement", "maintainability": "maintainability_improvement"}
+    item = F.struct(F.col(order or weight).alias("o"), F.col(weight).cast("double").alias("w"), *[F.col(c).alias(n) for n, c in parts.items() if c in workloads.columns])
+    rows = workloads.agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    summed = lambda f: F.aggregate("_rows", F.lit(0.0), lambda s, r: s + f(r))
+    mean = lambda n: summed(lambda r: r["w"] * r[n]) / summed(lambda r: r["w"])
+    out = rows.select(F.lit(1.0).alias("correctness"), *[(mean(n) if c in workloads.columns else F.lit(0.0)).alias(n) for n, c in parts.items()], F.lit(0.0).alias("constraint_penalty"))
+    total = F.lit(0.0)
+    for n in ("correctness", *parts):
+        total = total + F.col(n) * float(weights.get(n, 0.0))
+    out = out.withColumn("total", total - F.col("constraint_penalty") * float(weights.get("constraint_penalty", 0.0)))
+    return out.withColumn("fitness_available", ~F.isnan("total") & (F.abs("total") < float("inf")))
 
 
 def lower_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The lower of the two middle values (or the middle one), found like integer_medians()."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value))
-    placed = counts.withColumn("_hi", upto).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    """The lower of the two middle values (or the middle one) of whole numbers, found like integer_medians()."""
     first = F.expr("(_n - 1) div 2")
-    return placed.where((F.col("_hi") - F.col("_c") <= first) & (first < F.col("_hi"))).select(*keys, value)
+    return _around_middle(df, keys, [value]).where((F.col("_lo") <= first) & (first < F.col("_hi"))).select(*keys, F.col("_v").alias(value))

@@ -26,6 +26,41 @@ def evidence_valid(values: list[Column], penalty: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def rankable(valid: Column, evaluated: Column, values: list[Column], penalty: Column) -> Column:
+    """A row that takes part in rankings: valid, evaluated, and with evidence that is valid."""
+    return F.coalesce(valid & evaluated, F.lit(False)) & evidence_valid(values, penalty)
+
+
+def completed_problems(df: DataFrame, generation: str, stated: DataFrame) -> DataFrame:
+    """(generation, problem) of completed populations that break a rule, the first broken one each.
+
+    df(generation, population_index, valid, evaluated and COMPONENTS) are the
+    rows, stated(generation, population_size, valid_count, best_index) what a
+    run recorded; best_index is null without a valid row.  Rules: the rows are
+    as many as stated; an invalid row is not evaluated and all its components
+    are 0; a valid row is rankable; valid rows and the best row are as stated.
+    """
+    parts = [F.col(c) for c in COMPONENTS]
+    zero = parts[0] == 0
+    for c in parts[1:]:
+        zero = zero & (c == 0)
+    blank = F.coalesce(~F.col("evaluated") & zero, F.lit(False))
+    fine = rankable(F.col("valid"), F.col("evaluated"), parts, F.col("constraint_penalty"))
+    best = F.max_by("population_index", F.when(fine, F.struct("total", -F.col("population_index"))))
+    seen = df.groupBy(generation).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("valid") & ~blank).alias("_dirty"), F.count_if(F.col("valid") & ~fine).alias("_loose"), F.count_if("valid").alias("_valid"), best.alias("_best")
+    )
+    rows = stated.join(seen, generation, "left")
+    problem = (
+        F.when(F.coalesce("_n", F.lit(0)) != F.col("population_size"), "population-size")
+        .when(F.col("_dirty") > 0, "invalid-row-payload")
+        .when(F.col("_loose") > 0, "evidence")
+        .when(F.col("_valid") != F.col("valid_count"), "valid-count")
+        .when(~F.col("_best").eqNullSafe(F.col("best_index")), "best-index")
+    )
+    return rows.select(generation, problem.alias("problem")).where("problem is not null")
+
+
 def ordered_sum(index: str, value: str, where: Column | None = None) -> Column:
     """Sum of doubles in index order: the same bits whatever the partitioning.
 
@@ -36,8 +71,11 @@ def ordered_sum(index: str, value: str, where: Column | None = None) -> Column:
     return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + r["x"])
 
 
-def generation_statistics(df: DataFrame, generation: str, index: str, total: str, valid: str) -> DataFrame:
-    """Counts, best row (ties to the smaller index) and the ordered sum and mean of the total over valid rows."""
+def generation_statistics(df: DataFrame, generation: str, index: str, total: str, valid: str, components: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, best row (ties to the smaller index), and the ordered sum and mean of the total over valid rows.
+
+    components: more columns whose ordered sums over the valid rows are added as <name>_sum.
+    """
     ok = F.col(valid)
     best = F.max_by(F.struct(F.col(total).alias("t"), F.col(index).alias("i")), F.when(ok, F.struct(F.col(total), -F.col(index))))
     out = df.groupBy(generation).agg(
@@ -45,11 +83,12 @@ def generation_statistics(df: DataFrame, generation: str, index: str, total: str
         F.count_if(ok).alias("valid_count"),
         best.alias("_b"),
         ordered_sum(index, total, ok).alias("total_sum"),
+        *[ordered_sum(index, c, ok).alias(f"{c}_sum") for c in components],
     )
     return out.select(
         generation, "population", "valid_count", (F.col("population") - F.col("valid_count")).alias("invalid_count"),
         F.col("_b.i").alias("best_index"), F.col("_b.t").alias("best_total"), "total_sum",
-        F.when(F.col("valid_count") > 0, F.col("total_sum") / F.col("valid_count")).alias("mean_total"),
+        F.when(F.col("valid_count") > 0, F.col("total_sum") / F.col("valid_count")).alias("mean_total"), *[f"{c}_sum" for c in components],
     )
 
 
@@ -68,12 +107,15 @@ def byte_diversity(df: DataFrame, group: str, genome: str) -> DataFrame:
     return out.select(group, "valid_count", pairs.alias("pair_count"), "mismatches", F.when(pairs > 0, F.col("mismatches") / (pairs * F.col("size"))).otherwise(0.0).alias("diversity"))
 
 
-def pair_diversity(df: DataFrame, group: str, index: str, distance) -> DataFrame:
+def pair_diversity(df: DataFrame, group: str, index: str, distance, budget: int, unit_work: int = 1) -> DataFrame:
     """Mean of distance(a, b) over all unordered pairs of a group: for distances that have no other form.
 
     distance takes the columns' aliases "a" and "b".  The work is quadratic in a
-    group's size by definition; check_pair_budget() refuses what is too large.
+    group's size by definition: a group whose pairs, times unit_work, pass the
+    budget is refused before any pair is made.
     """
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    check_pair_budget(largest, unit_work, budget)
     a, b = df.alias("a"), df.alias("b")
     pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{index}") < F.col(f"b.{index}")))
     return pairs.groupBy(F.col(f"a.{group}").alias(group)).agg(F.count(F.lit(1)).alias("pair_count"), F.avg(distance).alias("diversity"))

@@ -28,8 +28,9 @@ def rank_intervals(df: DataFrame, group: str, index: str, total: str, base: int
 
 
 def weight_total(n: Column, base: int = 1, step: int = 1) -> Column:
-    """Closed form of the sum of rank weights over n rows."""
-    return n * base + F.expr("1") * step * (n * (n - 1) / 2).cast("long")
+    """Closed form of the sum of rank weights over n rows (a long, not negative); the even factor is halved first."""
+    pairs = F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
+    return n * F.lit(base).cast("long") + pairs * F.lit(step).cast("long")
 
 
 def pick_by_ticket(intervals: DataFrame, draws: DataFrame, group: str, ticket: str) -> DataFrame:
@@ -48,9 +49,10 @@ def valid_ordinals(df: DataFrame, group: str | None, index: str, valid: Column)
 def elites(df: DataFrame, group: str, index: str, total: str, k: int, population: int | None = None) -> DataFrame:
     """The k best rows of each group, with their slot at the end of the next population (best first)."""
     order = Window.partitionBy(group).orderBy(F.desc(total), F.asc(index))
-    out = df.withColumn("elite_rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("elite_rank") < k)
     size = F.lit(population) if population is not None else F.count(F.lit(1)).over(Window.partitionBy(group))
-    return out.withColumn("slot", (size - F.least(size, F.lit(k)) + F.col("elite_rank")).cast("long"))
+    ranked = df.withColumn("_size", size.cast("long")).withColumn("elite_rank", (F.row_number().over(order) - 1).cast("long"))
+    best = ranked.where(F.col("elite_rank") < k)
+    return best.withColumn("slot", F.col("_size") - F.least("_size", F.lit(k).cast("long")) + F.col("elite_rank")).drop("_size")
 
 
 def elite_counts(n: Column, valid: Column, explicit: Column) -> tuple[Column, Column, Column]:

@@ -9,9 +9,13 @@ are processed at once by applyInPandas over a recipe key.
 from __future__ import annotations
 
 import heapq
+import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions.fingerprint import fnv1a, fnv1a_text, text_form
 
 PHI64 = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -96,8 +100,18 @@ def duplicate(a: dict, b: dict) -> bool:
     return all(a[k] == b[k] for k in ("target", "transformation", "version"))
 
 
+def reference(x) -> tuple[str, int]:
+    """A catalogue reference as (transformation, version); a bare name means version 1."""
+    return (x, 1) if isinstance(x, str) else (x[0], x[1])
+
+
+def matches(need, record: dict) -> bool:
+    return reference(need) == (record["transformation"], record["version"])
+
+
 def conflict(a: dict, b: dict) -> bool:
-    return b["transformation"] in a.get("conflicts", ()) or a["transformation"] in b.get("conflicts", ())
+    """Whether either of two records names the other, version included, among its conflicts."""
+    return any(matches(x, b) for x in a.get("conflicts", ())) or any(matches(x, a) for x in b.get("conflicts", ()))
 
 
 def compatible(recipe: list[dict], opportunities: list[dict], catalogue: list[dict]) -> list[dict]:
@@ -125,8 +139,11 @@ def remove(recipe, selector):
     return recipe[:k] + recipe[k + 1 :]
 
 
-def parameterize(recipe, selector, schemas_of):
-    """Changes one parameter, counted over all records: flips, adds one (back to the minimum after the maximum), next choice."""
+def parameterize(recipe, selector, schemas_of, wrap: bool = True):
+    """Changes one parameter, counted over all records: flips, adds one, next choice.
+
+    At its maximum an integer goes back to its minimum, or without `wrap` one down.
+    """
     places = [(i, s) for i, r in enumerate(recipe) for s in schemas_of(r)]
     if not places:
         raise RecipeError("no parameter")
@@ -135,15 +152,21 @@ def parameterize(recipe, selector, schemas_of):
     if s["kind"] == "boolean":
         new = not old
     elif s["kind"] == "integer":
-        new = old + 1 if old < s["maximum"] else s["minimum"] if s["minimum"] < s["maximum"] else old
+        new = old + 1 if old < s["maximum"] else s["minimum"] if wrap else max(old - 1, s["minimum"])
     else:
+        if len(s["choices"]) < 2:
+            raise RecipeError("no other choice")
         new = s["choices"][(s["choices"].index(old) + 1) % len(s["choices"])]
     return [r if j != i else r | {"parameters": r["parameters"] | {s["name"]: new}} for j, r in enumerate(recipe)]
 
 
 def replace(recipe, selector, opportunities, catalogue):
-    """One record becomes another one that fits beside the rest; the k-th of all such replacements."""
-    options = [(i, x) for i in range(len(recipe)) for x in compatible(recipe[:i] + recipe[i + 1 :], opportunities, catalogue) if not duplicate(x, recipe[i])]
+    """One record becomes another transformation at the same place; the k-th of all such (record, entry) pairs."""
+    by_place = {o["location"]: o for o in opportunities}
+    options = []
+    for i, r in enumerate(recipe):
+        here = [by_place[r["target"]]] if r["target"] in by_place else []
+        options += [(i, x) for x in compatible(recipe[:i] + recipe[i + 1 :], here, catalogue) if not duplicate(x, r)]
     if not options:
         raise RecipeError("nothing to replace")
     i, x = options[selector % len(options)]
@@ -176,6 +199,18 @@ def cross(a: list, b: list, selector: int) -> tuple[list, list]:
     return a[:i] + b[j:], b[:j] + a[i:]
 
 
+def spliced(df: DataFrame, key: str, a: str, b: str, selector: str) -> DataFrame:
+    """(key, child_a, child_b): cross() of two list columns by a long selector, row by row."""
+    types = dict(df.dtypes)
+
+    def run(parts):
+        for part in parts:
+            out = [cross(list(x), list(y), int(s)) for x, y, s in zip(part[a], part[b], part[selector])]
+            yield pd.DataFrame({key: part[key], "child_a": [x for x, _ in out], "child_b": [y for _, y in out]})
+
+    return df.select(key, a, b, selector).mapInPandas(run, f"{key} {types[key]}, child_a {types[a]}, child_b {types[b]}")
+
+
 def initialize(count: int, selector: int, opportunities, catalogue) -> list[dict]:
     recipe: list[dict] = []
     for i in range(count):
@@ -184,25 +219,183 @@ def initialize(count: int, selector: int, opportunities, catalogue) -> list[dict
 
 
 def repair(recipe: list[dict], opportunities: list[dict], catalogue: list[dict], passes: int = 8) -> list[dict]:
-    """Until nothing changes: later duplicates and later conflicting records go, a dependency with one way to meet it is added."""
+    """Until a pass changes nothing: later duplicates go, then later conflicting records; then each dependency must
+    be met by exactly one record, and one without any is added where a single place allows it."""
+    recipe = list(recipe)
     for _ in range(passes):
         kept: list[dict] = []
         for r in recipe:
-            if not any(duplicate(r, k) or conflict(r, k) for k in kept):
+            if not any(duplicate(r, k) for k in kept):
                 kept.append(r)
-        for r in list(kept):
+        free: list[dict] = []
+        for r in kept:
+            if not any(conflict(r, k) for k in free):
+                free.append(r)
+        changed = len(free) != len(recipe)
+        for r in free:  # records that are added have their own dependencies met too
             for need in r["dependencies"]:
-                if any(k["transformation"] == need for k in kept):
-                    continue
-                ways = [x for x in compatible(kept, opportunities, catalogue) if x["transformation"] == need]
-                if len(ways) != 1:
-                    raise RecipeError(f"dependency {need} is {'missing' if not ways else 'ambiguous'}")
-                kept.append(ways[0])
-        if kept == recipe:
-            return named(kept)
-        recipe = kept
+                met = sum(matches(need, k) for k in free)
+                if met > 1:
+                    raise RecipeError(f"dependency {reference(need)[0]} is ambiguous")
+                if met == 0:
+                    ways = [x for x in compatible(free, opportunities, catalogue) if matches(need, x)]
+                    if len(ways) != 1:
+                        raise RecipeError(f"dependency {reference(need)[0]} is {'missing' if not ways else 'ambiguous'}")
+                    free.append(ways[0])
+                    changed = True
+        if not changed:
+            return named(free)
+        recipe = free
     raise RecipeError("repair did not settle")
 
 
 def named(recipe: list[dict]) -> list[dict]:
     return [r | {"identity": f"record-{i:06d}"} for i, r in enumerate(recipe)]
+
+
+# --- genomes: canonical JSON in a fixed number of bytes
+
+MAGIC, HEADER = b"RECIPE01", 16
+
+
+def canonical_json(recipe: list[dict]) -> bytes:
+    """Records in order, keys sorted, no blanks: one recipe has one form."""
+    return json.dumps(recipe, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+
+
+def to_genome(recipe: list[dict], size: int) -> bytes:
+    """Magic, payload size (8 bytes, little-endian), payload, zeros; a byte is left free after the payload."""
+    payload = canonical_json(recipe)
+    if HEADER + len(payload) >= size:
+        raise RecipeError("resource-limit")
+    return (MAGIC + len(payload).to_bytes(8, "little") + payload).ljust(size, b"\0")
+
+
+def from_genome(genome: bytes) -> list[dict]:
+    """The recipe of a genome in canonical form; anything else is an error."""
+    size = int.from_bytes(genome[8:HEADER], "little")
+    if genome[:8] != MAGIC or not 0 < size < len(genome) - HEADER or any(genome[HEADER + size :]):
+        raise RecipeError("genome")
+    try:
+        recipe = json.loads(genome[HEADER : HEADER + size])
+    except ValueError:
+        raise RecipeError("genome") from None
+    if not isinstance(recipe, list) or to_genome(recipe, len(genome)) != genome:
+        raise RecipeError("genome-noncanonical")
+    return recipe
+
+
+def recipe_fingerprint(recipe: list[dict]) -> str:
+    return text_form(fnv1a(canonical_json(recipe)))
+
+
+def genome_column(payload: Column, size: int) -> Column:
+    """to_genome() of a column of canonical JSON text; null where it does not fit."""
+    from lodestone.functions.canonical import number
+
+    raw = F.encode(payload, "utf-8")
+    fits = F.octet_length(raw) + HEADER < size
+    zeros = F.unhex(F.repeat(F.lit("00"), size - HEADER - F.octet_length(raw)))
+    return F.when(fits, F.concat(F.lit(MAGIC), number(F.octet_length(raw)), raw, zeros))
+
+
+def payload_column(genome: Column) -> Column:
+    """The canonical JSON text of a column of genomes; null for another header, a bad size, or bytes after the payload."""
+    digits = F.hex(F.substring(genome, 9, 8))
+    size = F.conv(F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)]), 16, 10).try_cast("long")
+    fine = (F.substring(genome, 1, 8) == F.lit(MAGIC)) & (size > 0) & (size < F.octet_length(genome) - HEADER)
+    rest = F.hex(genome.substr((size + HEADER + 1).cast("int"), F.octet_length(genome)))
+    return F.when(fine & ~F.coalesce(rest.rlike("[1-9A-F]"), F.lit(True)), genome.substr(F.lit(HEADER + 1), size.cast("int")).cast("string"))
+
+
+def fingerprint_column(payload: Column) -> Column:
+    return fnv1a_text(payload)
+
+
+# --- recipes of proposals, as joins
+
+def catalogue_problems(entries: DataFrame, kinds_mask: int) -> DataFrame:
+    """(transformation, version, problem) of catalogue entries that break a rule, the first one each.
+
+    entries(position, transformation, version, mask, dependencies and conflicts:
+    array<struct<transformation, version>>): versions and masks are positive,
+    masks within kinds_mask, entries sorted and unique, references name other
+    entries of the catalogue, and none is both needed and refused.
+    """
+    from pyspark.sql import Window
+
+    name = F.struct("transformation", "version")
+    before = F.lag(name).over(Window.orderBy("position"))  # a catalogue is one short list
+    rows = entries.withColumn("_before", before).withColumn("_all", F.concat("dependencies", "conflicts"))
+    known = entries.select(F.col("transformation").alias("_t"), F.col("version").alias("_v")).distinct()
+    wanted = rows.select("position", F.explode("_all").alias("r"))
+    lost = wanted.join(known, (F.col("r.transformation") == F.col("_t")) & (F.col("r.version") == F.col("_v")), "left_anti").select("position").distinct().withColumn("_lost", F.lit(True))
+    rows = rows.join(lost, "position", "left")
+    problem = (
+        F.when(~F.coalesce((F.length("transformation") > 0) & (F.col("version") > 0), F.lit(False)), "identity")
+        .when(~F.coalesce((F.col("mask") != 0) & (F.col("mask").bitwiseAND(F.lit(~kinds_mask)) == 0), F.lit(False)), "location-kinds")
+        .when(F.coalesce(F.col("_before") >= name, F.lit(False)), "order")
+        .when(F.exists("_all", lambda r: (r["transformation"] == F.col("transformation")) & (r["version"] == F.col("version"))), "refers-to-itself")
+        .when(F.coalesce("_lost", F.lit(False)), "unknown-reference")
+        .when(F.size(F.array_intersect("dependencies", "conflicts")) > 0, "needed-and-refused")
+    )
+    return rows.select("transformation", "version", problem.alias("problem")).where("problem is not null")
+
+
+def build_records(proposals: DataFrame, catalogue: DataFrame, locations: DataFrame, opportunities: DataFrame, missed: DataFrame, runtime: DataFrame, kind_bits: dict[str, int]) -> DataFrame:
+    """One row per proposal with what its record holds and its status: 'ok' or the first reason that refuses it.
+
+    proposals(recipe, identity, target, transformation, version);
+    catalogue(transformation, version, mask, dependencies, conflicts);
+    locations(identity, file, kind, ...); opportunities(location, rank,
+    missed_optimization_count, runtime_evidence_present); missed(location,
+    identity) and runtime(location, identity) are the evidence records.  Reasons
+    in order: recipe-invalid, unknown-transformation, stale-target,
+    analysis-stale, dependency-missing, dependency-ambiguous, conflict.
+    """
+    entry = catalogue.select(F.col("transformation").alias("_t"), F.col("version").alias("_v"), F.col("mask").alias("_mask"), F.col("dependencies").alias("_needs"), F.col("conflicts").alias("_clashes"))
+    place = locations.select(F.col("identity").alias("_place"), "file", F.col("kind").alias("location_kind"))
+    chance = opportunities.select(F.col("location").alias("_chance"), F.col("rank").alias("opportunity_rank"), F.col("missed_optimization_count").alias("_missed"), F.col("runtime_evidence_present").alias("_present"))
+    gather = lambda df, name: df.groupBy(F.col("location").alias(f"_{name}_at")).agg(F.sort_array(F.collect_list("identity")).alias(name))  # noqa: E731  one place's evidence, which budgets bound
+    compiler, samples = gather(missed, "compiler_records"), gather(runtime, "runtime_records")
+    rows = proposals.join(entry, (F.col("transformation") == F.col("_t")) & (F.col("version") == F.col("_v")), "left")
+    rows = rows.join(place, F.col("target") == F.col("_place"), "left").join(chance, F.col("target") == F.col("_chance"), "left")
+    rows = rows.join(compiler, F.col("target") == F.col("_compiler_records_at"), "left").join(samples, F.col("target") == F.col("_runtime_records_at"), "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("compiler_records", F.coalesce("compiler_records", none)).withColumn("runtime_records", F.coalesce("runtime_records", none))
+    # How many records of the recipe meet each need and each clash.
+    here = proposals.groupBy("recipe", F.col("transformation").alias("_ht"), F.col("version").alias("_hv")).agg(F.count(F.lit(1)).alias("_have"), F.min("identity").alias("_one"))
+
+    def met(column: str, name: str) -> DataFrame:
+        asked = rows.select("recipe", "identity", F.explode(column).alias("r"))
+        hits = asked.join(here, (asked.recipe == here.recipe) & (F.col("r.transformation") == F.col("_ht")) & (F.col("r.version") == F.col("_hv")), "left").select(asked.recipe, "identity", "r", F.coalesce("_have", F.lit(0)).alias("n"), "_one")
+        record = F.struct("_one", "r.transformation", "r.version")
+        return hits.groupBy("recipe", "identity").agg(F.min("n").alias(f"{name}_least"), F.max("n").alias(f"{name}_most"), F.sort_array(F.collect_list(record)).alias(f"{name}_records"))
+
+    rows = rows.join(met("_needs", "_need"), ["recipe", "identity"], "left").join(met("_clashes", "_clash"), ["recipe", "identity"], "left")
+    twice = proposals.groupBy("recipe", "identity").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.join(twice, ["recipe", "identity"])
+    bit = F.lit(0).cast("long")
+    for kind, value in kind_bits.items():
+        bit = F.when(F.col("location_kind") == kind, F.lit(value).cast("long")).otherwise(bit)
+    named_ = (F.length("identity") > 0) & (F.length("target") > 0) & (F.length("transformation") > 0) & (F.col("version") > 0) & (F.col("_copies") == 1)
+    status = (
+        F.when(~F.coalesce(named_, F.lit(False)), "recipe-invalid")
+        .when(F.col("_t").isNull(), "unknown-transformation")
+        .when(F.col("_place").isNull() | F.col("_chance").isNull() | (F.col("_mask").cast("long").bitwiseAND(bit) == 0), "stale-target")
+        .when((F.size("compiler_records") != F.col("_missed")) | ((F.size("runtime_records") > 0) != F.col("_present")), "analysis-stale")
+        .when(F.coalesce(F.col("_need_least") == 0, F.lit(False)), "dependency-missing")
+        .when(F.coalesce(F.col("_need_most") > 1, F.lit(False)), "dependency-ambiguous")
+        .when(F.coalesce(F.col("_clash_most") > 0, F.lit(False)), "conflict")
+        .otherwise("ok")
+    )
+    needs = F.coalesce(F.transform("_need_records", lambda x: x["_one"]), none)
+    return rows.select("recipe", "identity", "target", "transformation", "version", "file", "location_kind", "opportunity_rank", "compiler_records", "runtime_records", needs.alias("dependency_records"), status.alias("status"))
+
+
+def ordered_records(records: DataFrame) -> DataFrame:
+    """(recipe, position, identity) of recipes all of whose records are 'ok', in canonical order; position -1 for a cycle."""
+    broken = records.where("status <> 'ok'").select("recipe").distinct()
+    fine = records.join(broken, "recipe", "left_anti")
+    edges = fine.select("recipe", "identity", F.explode_outer("dependency_records").alias("dependency"))
+    return order_groups(edges, "recipe")

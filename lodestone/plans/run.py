@@ -11,11 +11,12 @@ import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.random import filled_rows
+from lodestone.functions.random import CROSSOVER, MUTATION, Streams, filled_rows
 from lodestone.operators import genetics, population, ranking
 
 
@@ -35,6 +36,7 @@ class Config:
     rank_step: int = 1
     crossover: str = "uniform"
     crossover_rate: float = 0.75
+    mutation: str = "byte-xor"
     mutation_rate: float = 0.35
     elite_count: int | None = None
     adaptive: bool = False
@@ -73,7 +75,7 @@ class Config:
                 raise ConfigError("rank weights")
             if self.selection == "tournament" and not 1 <= self.tournament_size <= self.population_size:
                 raise ConfigError("tournament size")
-            if self.crossover not in genetics.CROSSOVERS or not (0 <= self.crossover_rate <= 1 and 0 <= self.mutation_rate <= 1):
+            if self.crossover not in (*genetics.CROSSOVERS, "consumer") or self.mutation not in ("byte-xor", "consumer") or not (0 <= self.crossover_rate <= 1 and 0 <= self.mutation_rate <= 1):
                 raise ConfigError("operators")
             if self.elite_count is not None and not 0 <= self.elite_count <= self.population_size:
                 raise ConfigError("elites")
@@ -81,13 +83,33 @@ class Config:
 
 @dataclass(frozen=True)
 class Problem:
-    """fitness and valid: expressions over the column genome (binary); a natural hook for any DataFrame function is evaluate."""
+    """What a run is about.
+
+    fitness and valid are expressions over the column genome (binary); evaluate
+    is any DataFrame function that adds valid and total instead.  Consumer
+    operators work on one row: initialize(slot, genome) -> (genome, events),
+    cross(generation, pair, a, b) -> (a, b, events of a, events of b) and
+    mutate(generation, slot, rate, genome) -> (genome, events); an event is
+    (kind, parent_a, parent_b, result, status).  cross and mutate are used where
+    the configuration says "consumer".  distance(a, b) replaces the share of
+    differing bytes, within the diversity budget; a and b are column aliases.
+    Observers are called with what was committed: observer and stop with the
+    generation's statistics, storage and schedule with their rows, checkpoint
+    with the path that was written.
+    """
 
     fitness: Column | None = None
     valid: Column | None = None
     evaluate: Callable[[DataFrame], DataFrame] | None = None
     stop: Callable[[dict], bool] | None = None
     observer: Callable[[dict], None] | None = None
+    initialize: Callable | None = None
+    cross: Callable | None = None
+    mutate: Callable | None = None
+    distance: Callable[[str, str], Column] | None = None
+    storage: Callable[[DataFrame], None] | None = None
+    schedule: Callable[[DataFrame], None] | None = None
+    checkpoint: Callable[[str], None] | None = None
 
 
 @dataclass
@@ -124,14 +146,33 @@ def evaluate(df: DataFrame, problem: Problem) -> DataFrame:
     return population.hard_filter(df, problem.valid if problem.valid is not None else F.lit(True), {"total": problem.fitness.cast("double")}).drop("evaluated")
 
 
-def _statistics(df: DataFrame) -> dict:
+def _initialized(df: DataFrame, problem: Problem) -> DataFrame:
+    """The seeded rows after the consumer's initializer, with the events of each row."""
+    if problem.initialize is None:
+        return df
+    own = problem.initialize
+
+    def run(parts):
+        for part in parts:
+            out = [own(int(i), bytes(g)) for i, g in zip(part["population_index"], part["genome"])]
+            yield pd.DataFrame({"population_index": part["population_index"], "genome": [g for g, _ in out], "_events": [json.dumps(e) for _, e in out]})
+
+    return df.mapInPandas(run, "population_index long, genome binary, _events string")
+
+
+def _statistics(df: DataFrame, problem: Problem, config: Config) -> dict:
     """One job each: counts, best row and whether any total is not finite; byte diversity of the valid rows."""
     keyed = df.withColumn("_g", F.lit(0))
     best = F.max_by(F.struct("total", "population_index", "genome"), F.when(F.col("valid"), F.struct(F.col("total"), -F.col("population_index"))))
     row = keyed.agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid"), best.alias("b"), F.bool_and(~F.col("valid") | ranking.finite(F.col("total"))).alias("finite")).first()
     if not row["finite"]:
         raise ArithmeticError("a valid row's fitness is not finite")
-    diversity = population.byte_diversity(keyed.where("valid"), "_g", "genome").select("diversity").collect()
+    valid = keyed.where("valid")
+    if problem.distance is None:
+        diversity = population.byte_diversity(valid, "_g", "genome").select("diversity").collect()
+    else:
+        budget = config.diversity_budget if config.diversity_budget is not None else 1 << 24
+        diversity = population.pair_diversity(valid, "_g", "population_index", problem.distance("a", "b"), budget).select("diversity").collect()
     return {"population": row["n"], "valid": row["valid"], "best": row["b"], "diversity": diversity[0][0] if diversity else 0.0}
 
 
@@ -139,7 +180,42 @@ def _up(config: Config, rate: float) -> float:
     return config.adaptive_max if config.adaptive_step > config.adaptive_max - rate else rate + config.adaptive_step
 
 
-def _next(df: DataFrame, config: Config, state: State, valid: int) -> DataFrame:
+def _consumer_children(parents: DataFrame, config: Config, generation: int, offspring: int, rate: float, problem: Problem) -> DataFrame:
+    """parents(pair, a, b) -> (population_index, genome, _events) with the consumer's operators, gated by the same events
+    of the same streams as the built-in ones."""
+    cross = problem.cross if config.crossover == "consumer" else None
+    mutate = problem.mutate if config.mutation == "consumer" else None
+    seed, gates = config.seed, (config.crossover_rate, rate)
+
+    def run(parts):
+        for part in parts:
+            if not len(part):
+                continue
+            pairs = part["pair"].to_numpy()
+            every = np.arange(len(part))
+            meet = Streams.derived(seed, generation, pairs, CROSSOVER).event(every, gates[0])
+            out = []
+            for pair, a, b, hit in zip(pairs.tolist(), part["a"], part["b"], meet.tolist()):
+                a = bytes(a)
+                both = b is not None and 2 * pair + 1 < offspring
+                one, two, first, second = a, bytes(b) if both else None, [], []
+                if both and hit and cross is not None:
+                    one, two, first, second = cross(generation, pair, a, two)
+                out += [(2 * pair, one, first)] + ([(2 * pair + 1, two, second)] if both else [])
+            slots = np.array([s for s, _, _ in out])
+            change = Streams.derived(seed, generation, slots, MUTATION).event(np.arange(len(slots)), gates[1])
+            rows = []
+            for (slot, genome, events), hit in zip(out, change.tolist()):
+                if hit and mutate is not None:
+                    genome, more = mutate(generation, slot, gates[1], genome)
+                    events = [*events, *more]
+                rows.append((slot, genome, json.dumps(events)))
+            yield pd.DataFrame(rows, columns=["population_index", "genome", "_events"])
+
+    return parents.mapInPandas(run, "population_index long, genome binary, _events string")
+
+
+def _next(df: DataFrame, config: Config, state: State, valid: int, problem: Problem) -> DataFrame:
     """The next generation's (population_index, genome): offspring pairs, then the best rows at the end."""
     spark, n, generation = df.sparkSession, config.population_size, state.generation
     elites = min(config.elite_count if config.elite_count is not None else n % 2, valid)
@@ -158,9 +234,12 @@ def _next(df: DataFrame, config: Config, state: State, valid: int) -> DataFrame:
         chosen = met.groupBy("pair", "parent").agg(F.max_by("population_index", F.struct(F.col("total"), -F.col("population_index"))).alias("population_index"))
     genomes = chosen.select("pair", "parent", "population_index").join(df.select("population_index", "genome"), "population_index")
     parents = genomes.groupBy("pair").agg(F.max(F.when(F.col("parent") == 0, F.col("genome"))).alias("a"), F.max(F.when(F.col("parent") == 1, F.col("genome"))).alias("b"))
-    born = genetics.children(parents, config.seed, generation, offspring, config.crossover_rate, config.crossover, state.rate)
+    if "consumer" in (config.crossover, config.mutation):
+        born = _consumer_children(parents, config, generation, offspring, state.rate, problem)
+    else:
+        born = genetics.children(parents, config.seed, generation, offspring, config.crossover_rate, config.crossover, state.rate)
     kept = ranking.elites(candidates, "_g", "population_index", "total", elites).select((F.lit(offspring) + F.col("elite_rank")).cast("long").alias("population_index"), "genome")
-    return born.unionByName(kept) if elites else born
+    return born.unionByName(kept, allowMissingColumns=True) if elites else born
 
 
 def _commit(config: Config, state: State, stats: dict) -> None:
@@ -213,7 +292,7 @@ def _commit(config: Config, state: State, stats: dict) -> None:
 def run(spark: SparkSession, problem: Problem, config: Config, folder: str) -> State:
     """Run from the seeded population to a reason to stop."""
     config.validate()
-    return _loop(spark, problem, config, folder, State(), initial_population(spark, config))
+    return _loop(spark, problem, config, folder, State(), _initialized(initial_population(spark, config), problem))
 
 
 def resume(spark: SparkSession, problem: Problem, config: Config, folder: str, generation: int) -> State:
@@ -228,7 +307,7 @@ def resume(spark: SparkSession, problem: Problem, config: Config, folder: str, g
     state = State(**saved)
     df = spark.read.parquet(f"{folder}/generation={generation}")
     state.generation += 1
-    return _loop(spark, problem, config, folder, state, _next(df, config, _before(state), df.where("valid").count()))
+    return _loop(spark, problem, config, folder, state, _next(df, config, _before(state), df.where("valid").count(), problem))
 
 
 def _before(state: State) -> State:
@@ -238,9 +317,17 @@ def _before(state: State) -> State:
 def _loop(spark: SparkSession, problem: Problem, config: Config, folder: str, state: State, born: DataFrame) -> State:
     while True:
         path = f"{folder}/generation={state.generation}"
+        if "_events" in born.columns:  # consumer operators tell what they did: kept beside the population
+            told = f"{folder}/born={state.generation}"
+            born.write.mode("errorifexists").parquet(told)
+            born = spark.read.parquet(told)
+            _events(born, state.generation).write.mode("errorifexists").parquet(f"{folder}/events={state.generation}")
+            born = born.drop("_events")
         evaluate(born, problem).write.mode("errorifexists").parquet(path)
         df = spark.read.parquet(path)
-        stats = _statistics(df)
+        if problem.schedule is not None:
+            problem.schedule(ranking.wave_assignment(df.where("valid").select("population_index"), F.col("population_index"), config.workers))
+        stats = _statistics(df, problem, config)
         _commit(config, state, stats)
         if state.reason == "none" and problem.stop is not None and problem.stop(state.history[-1]):
             state.reason = "application"
@@ -248,12 +335,36 @@ def _loop(spark: SparkSession, problem: Problem, config: Config, folder: str, st
             problem.observer(state.history[-1])
         body = asdict(state) | {"best_genome": state.best_genome.hex(), "config": {k: v for k, v in asdict(config).items() if k != "generation_limit"}}
         spark.createDataFrame([(json.dumps(body),)], "state string").write.mode("errorifexists").json(f"{folder}/state={state.generation}")
+        if problem.storage is not None:
+            problem.storage(ranking.storage_registry(spark.createDataFrame([(state.generation,)], "generation long")))
+        if problem.checkpoint is not None:
+            problem.checkpoint(path)
         if state.reason != "none":
             return state
-        born = _next(df, config, state, stats["valid"])
+        born = _next(df, config, state, stats["valid"], problem)
         state.generation += 1
 
 
+def _events(born: DataFrame, generation: int) -> DataFrame:
+    """Rows of the events that consumer operators told, numbered within each row of the population."""
+    listed = born.select("population_index", F.posexplode(F.from_json("_events", "array<array<string>>")).alias("step", "e"))
+    names = ("kind", "parent_a", "parent_b", "result", "status")
+    return listed.select(F.lit(generation).cast("long").alias("generation"), "population_index", F.col("step").cast("long").alias("step"), *[F.get("e", F.lit(k)).alias(n) for k, n in enumerate(names)])
+
+
+def recycle(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
+    """Deletes written generations but for the last `keep` (a resume needs the last); returns those that went."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    numbers = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("generation="))
+    gone = numbers[: max(0, len(numbers) - keep)]
+    for g in gone:
+        for kind in ("generation", "born"):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}={g}"), True)
+    return gone
+
+
 def popcount(genome: str, size: int) -> Column:
     """Number of set bits of a binary column of `size` bytes."""
     return F.expr(f"aggregate(sequence(1, {size}), 0, (s, i) -> s + bit_count(conv(hex(substring({genome}, i, 1)), 16, 10) + 0L))")

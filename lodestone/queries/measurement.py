@@ -125,9 +125,38 @@ def measurement_overall(spark, sf_dir):
 
 @query((_CLEAN + _MARKED + _COMPARED).replace("@DEV@", str(_DEVIATION)).replace("@RANGE@", "4000000") + """,
 w AS (SELECT CASE workload WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.0 ELSE 3.0 END AS weight, CAST(br - cr AS DOUBLE) / br AS r, (CAST(bm - cm AS DOUBLE) / bm + CAST(bb - cb AS DOUBLE) / bb) / 2 AS y FROM verdicts)
-SELECT round(CAST(sum(weight * r) / sum(weight) AS DOUBLE), 6) AS runtime_improvement, round(CAST(sum(weight * y) / sum(weight) AS DOUBLE), 6) AS memory_improvement,
-       round(CAST(0.4 + sum(weight * r) / sum(weight) * 0.4 + sum(weight * y) / sum(weight) * 0.2 AS DOUBLE), 6) AS total FROM w""")
+SELECT round(CAST(sum(weight * r) / sum(weight) AS DOUBLE), 6) AS performance, round(CAST(sum(weight * y) / sum(weight) AS DOUBLE), 6) AS memory_use,
+       round(CAST(0.4 + sum(weight * r) / sum(weight) * 0.4 + sum(weight * y) / sum(weight) * 0.2 AS DOUBLE), 6) AS total, true AS fitness_available FROM w""")
 def measurement_fitness(spark, sf_dir):
     rows = _verdicts(spark, sf_dir, True, 4_000_000).withColumn("weight", F.expr("CASE workload WHEN 'A' THEN 1D WHEN 'N' THEN 2D ELSE 3D END"))
-    out = m.weighted_fitness(rows, {"correctness": 0.4, "performance": 0.4, "memory_use": 0.2})
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    out = m.weighted_fitness(rows, {"correctness": 0.4, "performance": 0.4, "memory_use": 0.2}, order="workload")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("performance", "memory_use", "total")], "fitness_available")
+
+
+_GAINS = """
+WITH p AS (SELECT p_brand AS workload, CAST(1 + p_size % 4 AS DOUBLE) AS weight, count(*) OVER (PARTITION BY p_brand) AS n, p_partkey, p_size, p_retailprice FROM part),
+m AS (SELECT workload, CAST(min(p_size) * 1000 AS BIGINT) AS bm, CAST(max(p_size) * 900 AS BIGINT) AS cm, CAST(min(p_partkey) + 5000 AS BIGINT) AS bb, CAST(max(p_partkey) + 100 AS BIGINT) AS cb,
+             CAST(900000 AS BIGINT) AS br, CAST(900000 + min(p_size) * 1000 AS BIGINT) AS cr FROM p GROUP BY workload),
+g AS (SELECT workload, (CAST(bm - cm AS DOUBLE) / bm * 3 + CAST(bb - cb AS DOUBLE) / bb * 1) / 4 AS memory, CAST(cr - br AS DOUBLE) / 1000000 AS reliability FROM m)"""
+
+
+@query(_GAINS + """
+SELECT workload, round(memory, 6) AS memory_improvement, round(reliability, 6) AS reliability_improvement FROM g""")
+def measurement_mix(spark, sf_dir):
+    """Memory gains with a policy's own mix of peak memory and binary size, and gains in millionths."""
+    return _mixed(spark, sf_dir).select("workload", F.round("memory_improvement", 6).alias("memory_improvement"), F.round("reliability_improvement", 6).alias("reliability_improvement"))
+
+
+def _mixed(spark, sf_dir):
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("workload")).agg(F.min("p_size").cast("long").alias("s"), F.max("p_size").cast("long").alias("t"), F.min("p_partkey").alias("k"), F.max("p_partkey").alias("l"))
+    side = lambda who, memory, size, reliability: p.select("workload", F.lit(who).alias("subject"), F.lit(3).alias("included_count"), F.lit(1000).cast("long").alias("runtime_ns"), F.lit(0).cast("long").alias("runtime_range_ppm"), memory.alias("peak_memory"), size.alias("binary_size"), reliability.cast("long").alias("reliability"))
+    aggregates = side("baseline", F.col("s") * 1000, F.col("k") + 5000, F.lit(900_000)).union(side("candidate", F.col("t") * 900, F.col("l") + 100, F.lit(900_000) + F.col("s") * 1000))
+    fine = [F.lit(True).alias(c) for c in ("completed", "condition_ok")] + [F.lit(False).alias(c) for c in ("timed_out", "failed")]
+    return m.compare_workloads(p.select("workload", *fine), aggregates, 1000, 5000, 100, 3, memory_mix=(3.0, 1.0))
+
+
+@query(_GAINS + """
+SELECT round(avg(memory), 6) AS memory_use, round(avg(reliability), 6) AS reliability, round(0.5 + avg(memory) * 0.3 + avg(reliability) * 0.2, 6) AS total FROM g""")
+def measurement_fitness_parts(spark, sf_dir):
+    out = m.weighted_fitness(_mixed(spark, sf_dir).withColumn("weight", F.lit(2.0)), {"correctness": 0.5, "memory_use": 0.3, "reliability": 0.2}, order="workload")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("memory_use", "reliability", "total")])

@@ -47,10 +47,20 @@ FROM orders GROUP BY o_custkey
 def rank_weight_totals(spark, sf_dir):
     i = rank_intervals(spark, sf_dir)
     n = i.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("s"))
-    closed = F.expr("n + n * (n - 1) div 2")
+    closed = ranking.weight_total(F.col("n"))
     return n.select("o_custkey", closed.alias("closed_form"), (F.col("s") == closed).alias("resolvable"))
 
 
+@query("""
+SELECT o_orderkey, CAST(n * 3 + 2 * (n * (n - 1) // 2) AS BIGINT) AS weight_total
+FROM (SELECT o_orderkey, (300000007 + o_orderkey * 71)::HUGEINT AS n FROM orders)
+""")
+def rank_weight_large(spark, sf_dir):
+    """Weights of more rows than doubles can count pairs of."""
+    n = F.col("o_orderkey") * 71 + 300_000_007
+    return table(spark, sf_dir, "orders").select("o_orderkey", ranking.weight_total(n, base=3, step=2).alias("weight_total"))
+
+
 @query("""
 WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS k,
                   count(*) OVER (PARTITION BY p_brand) AS n FROM part)
@@ -58,9 +68,7 @@ SELECT p_brand, p_partkey, p_retailprice, CAST(k AS BIGINT) AS elite_rank, CAST(
 """)
 def elite_top_k(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
-    sizes = rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    best = ranking.elites(rows, "p_brand", "p_partkey", "p_retailprice", 3).drop("slot").join(sizes, "p_brand")
-    return best.select("p_brand", "p_partkey", "p_retailprice", "elite_rank", (F.col("n") - F.least("n", F.lit(3)) + F.col("elite_rank")).cast("long").alias("slot"))
+    return ranking.elites(rows, "p_brand", "p_partkey", "p_retailprice", 3)
 
 
 @query("""
@@ -107,7 +115,8 @@ def fitness_evidence(spark, sf_dir):
     penalty = F.when(key % 97 == 0, -1.0).otherwise(F.greatest(-bal, F.lit(0.0)))
     performance = F.when(key % 89 == 0, float("nan")).when(key % 83 == 0, float("inf")).otherwise(bal)
     ok = population.evidence_valid([performance, bal], penalty)
-    return table(spark, sf_dir, "customer").select("c_custkey", ok.alias("evidence_valid"), (ok & (bal > 0)).alias("rankable"))
+    rankable = population.rankable(bal > 0, F.lit(True), [performance, bal], penalty)
+    return table(spark, sf_dir, "customer").select("c_custkey", ok.alias("evidence_valid"), rankable.alias("rankable"))
 
 
 @query("""
@@ -194,15 +203,15 @@ def adaptive_rate_hold(spark, sf_dir):
 
 
 _DIVERSITY_SQL = """
-WITH g AS (SELECT p_brand, p_partkey, rpad(p_name, 12, ' ') AS g FROM part WHERE @WHERE@),
-p AS (SELECT a.p_brand, list_sum(list_transform(range(1, 13), lambda i: CASE WHEN a.g[i] <> b.g[i] THEN 1 ELSE 0 END)) AS d
+WITH g AS (SELECT p_brand, p_partkey, rpad(p_name, 32, ' ') AS g FROM part WHERE @WHERE@),
+p AS (SELECT a.p_brand, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN a.g[i] <> b.g[i] THEN 1 ELSE 0 END)) AS d
       FROM g AS a JOIN g AS b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
-SELECT p_brand, CAST(count(*) AS BIGINT) AS pair_count, @MORE@ round(CAST(sum(d) AS DOUBLE) / (count(*) * 12), 6) AS diversity FROM p GROUP BY p_brand
+SELECT p_brand, CAST(count(*) AS BIGINT) AS pair_count, @MORE@ round(CAST(sum(d) AS DOUBLE) / (count(*) * 32), 6) AS diversity FROM p GROUP BY p_brand
 """
 
 
 def _genomes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.encode(F.rpad("p_name", 12, " "), "utf-8").alias("genome"))
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.encode(F.rpad("p_name", 32, " "), "utf-8").alias("genome"))
 
 
 @query(_DIVERSITY_SQL.replace("@WHERE@", "true").replace("@MORE@", "CAST(sum(d) AS BIGINT) AS mismatches,"))
@@ -215,10 +224,12 @@ def byte_distance(a: str, b: str, size: int):
     return F.expr(f"size(filter(sequence(1, {size}), i -> substring({a}, i, 1) <> substring({b}, i, 1)))")
 
 
-@query(_DIVERSITY_SQL.replace("@WHERE@", "p_partkey % 20 = 0").replace("@MORE@", ""))
+@query(_DIVERSITY_SQL.replace("@WHERE@", "true").replace("@MORE@", ""))
 def byte_diversity_pairs(spark, sf_dir):
-    few = _genomes(spark, sf_dir).where("p_partkey % 20 = 0")  # a population small enough for its pair budget
-    return population.pair_diversity(few, "p_brand", "p_partkey", byte_distance("a.genome", "b.genome", 12) / 12).select("p_brand", "pair_count", F.round("diversity", 6).alias("diversity"))
+    """The same by pairs, as a domain distance has to be; the budget is checked first."""
+    rows = _genomes(spark, sf_dir)
+    out = population.pair_diversity(rows, "p_brand", "p_partkey", byte_distance("a.genome", "b.genome", 32) / 32, budget=1 << 40, unit_work=32)
+    return out.select("p_brand", "pair_count", F.round("diversity", 6).alias("diversity"))
 
 
 @query("""
@@ -230,7 +241,7 @@ FROM e AS a JOIN e AS b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.
 def domain_diversity(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
     square = F.expr("aggregate(zip_with(a.embedding, b.embedding, (x, y) -> pow(cast(x as double) - cast(y as double), 2)), 0D, (s, v) -> s + v)")
-    return population.pair_diversity(rows, "label", "vec_id", F.sqrt(square) / 2).select("label", "pair_count", F.round("diversity", 6).alias("diversity"))
+    return population.pair_diversity(rows, "label", "vec_id", F.sqrt(square) / 2, budget=1 << 40, unit_work=64).select("label", "pair_count", F.round("diversity", 6).alias("diversity"))
 
 
 @query("""
@@ -264,3 +275,45 @@ SELECT l_returnflag, phase, CAST(pair_index AS BIGINT) AS pair_index, CAST(posit
 """)
 def measurement_plan(spark, sf_dir):
     return ranking.measurement_plan(table(spark, sf_dir, "lineitem").select("l_returnflag").distinct(), "l_returnflag", warmups=2, pairs=5)
+
+
+_PARTS = {"performance": "l_quantity", "memory_use": "l_discount", "reliability": "l_tax", "maintainability": "l_linenumber", "correctness": "1"}
+
+
+@query(f"""
+WITH g AS (SELECT l_returnflag || l_linestatus || CAST(month(l_shipdate) AS VARCHAR) AS generation, l_orderkey * 10 + l_linenumber AS i, l_extendedprice AS total, l_linenumber < 7 AS valid,
+           {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _PARTS.items())}, CAST(0 AS DOUBLE) AS constraint_penalty FROM lineitem)
+SELECT generation, CAST(count_if(valid) AS BIGINT) AS valid_count, {", ".join(f"round(coalesce(sum(CASE WHEN valid THEN {c} END), 0), 3) AS {c}_sum" for c in (*_PARTS, "constraint_penalty"))} FROM g GROUP BY generation
+""")
+def generation_components(spark, sf_dir):
+    """Ordered sums of all components over the valid rows."""
+    g = F.concat("l_returnflag", "l_linestatus", F.month("l_shipdate").cast("string"))
+    values = [F.expr(e).cast("double").alias(c) for c, e in _PARTS.items()]
+    rows = table(spark, sf_dir, "lineitem").select(g.alias("generation"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.col("l_extendedprice").alias("total"), (F.col("l_linenumber") < 7).alias("valid"), *values, F.lit(0.0).alias("constraint_penalty"))
+    names = (*_PARTS, "constraint_penalty")
+    out = population.generation_statistics(rows, "generation", "i", "total", "valid", names)
+    return out.select("generation", "valid_count", *[F.round(f"{c}_sum", 3).alias(f"{c}_sum") for c in names])
+
+
+@query("""
+WITH r AS (SELECT c_nationkey AS generation, c_custkey AS i, c_acctbal > 0 AS valid, c_acctbal > 0 AS evaluated, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END AS total,
+                  CASE WHEN c_acctbal <= 0 AND c_nationkey = 3 THEN 1 ELSE 0 END AS dirt, CASE WHEN c_nationkey = 5 AND c_acctbal > 0 THEN -1 ELSE 0 END AS penalty FROM customer),
+b AS (SELECT generation, max_by(i, struct_pack(t := total, i := -i)) AS best FROM r WHERE valid GROUP BY generation),
+s AS (SELECT generation, count(*) AS n, count_if(valid) AS v, count_if(NOT valid AND dirt <> 0) AS dirty, count_if(valid AND penalty < 0) AS loose FROM r GROUP BY generation)
+SELECT s.generation, CASE WHEN s.generation = 2 THEN 'population-size' WHEN dirty > 0 THEN 'invalid-row-payload' WHEN loose > 0 THEN 'evidence' WHEN s.generation = 7 THEN 'valid-count' ELSE 'best-index' END AS problem
+FROM s LEFT JOIN b ON s.generation = b.generation WHERE s.generation = 2 OR dirty > 0 OR loose > 0 OR s.generation = 7 OR (s.generation = 9 AND best IS NOT NULL)
+""")
+def completed_populations(spark, sf_dir):
+    """Customers as completed populations of their nations; some statements about them are wrong."""
+    bal, g = F.col("c_acctbal"), F.col("c_nationkey")
+    ok = bal > 0
+    rows = table(spark, sf_dir, "customer").select(
+        g.alias("generation"), F.col("c_custkey").alias("population_index"), ok.alias("valid"), ok.alias("evaluated"), F.when(ok, bal).otherwise(0.0).alias("total"),
+        F.when(~ok & (g == 3), 1.0).otherwise(0.0).alias("performance"), F.when(ok & (g == 5), -1.0).otherwise(0.0).alias("constraint_penalty"),
+        *[F.lit(0.0).alias(c) for c in ("correctness", "memory_use", "reliability", "maintainability")],
+    )
+    best = F.max_by("population_index", F.when(F.col("valid"), F.struct("total", -F.col("population_index"))))
+    stated = rows.groupBy("generation").agg(F.count(F.lit(1)).alias("population_size"), F.count_if("valid").alias("valid_count"), best.alias("best_index"))
+    stated = stated.withColumn("population_size", F.col("population_size") + F.when(F.col("generation") == 2, 1).otherwise(0)).withColumn("valid_count", F.col("valid_count") + F.when(F.col("generation") == 7, 1).otherwise(0))
+    stated = stated.withColumn("best_index", F.when(F.col("generation") != 9, F.col("best_index")))
+    return population.completed_problems(rows, "generation", stated)

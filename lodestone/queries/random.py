@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import query
 from lodestone.functions import fingerprint, u64
-from lodestone.functions.random import MUTATION, SELECTION, Streams
+from lodestone.functions.random import CROSSOVER, MUTATION, SELECTION, Streams
 from lodestone.operators import genetics
 from lodestone.plans import run as plan
 
+from . import _sql
 from ._tables import table
 
 _P = "18446744073709551616::UHUGEINT"
@@ -47,7 +47,14 @@ def pcg_words(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey").mapInPandas(run, "p_partkey long, word long")
 
 
-@query()
+def _draws_sql() -> str:
+    c = _sql.Chain("customer")
+    draw = c.stream(42, 7, "c_custkey", SELECTION).uniform(1000)
+    event = c.stream(42, 7, "c_custkey", MUTATION).event(0.35)
+    return f"SELECT c_custkey, {draw} AS draw, {event} AS event FROM ({c.sql()})"
+
+
+@query(_draws_sql())
 def uniform_draws(spark, sf_dir):
     """An unbiased draw below 1000 and a probability event for each customer, from derived streams."""
 
@@ -60,7 +67,23 @@ def uniform_draws(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(run, "c_custkey long, draw long, event boolean")
 
 
-@query()
+def _tickets_sql(source: str, offspring: str, bound: str, draws: int) -> str:
+    """pair, parent, draw, ticket of all pairs; source has one row for each pair."""
+    c = _sql.Chain(source)
+    stream = c.stream(42, 7, "pair", SELECTION)
+    rows = [f"SELECT pair, {parent} AS parent, {draw} AS draw, {stream.uniform(bound)} AS ticket FROM drawn WHERE 2 * pair + {parent} < {offspring}" for parent in (0, 1) for draw in range(draws)]
+    return f"drawn AS ({c.sql()}), tickets AS ({' UNION ALL '.join(rows)})"
+
+
+_PAIRS = "pairs AS (SELECT CAST(pair AS BIGINT) AS pair, n, m FROM (SELECT count(*) AS n, @M@ AS m FROM @FROM@) AS s, range(0, 1000000) AS r(pair) WHERE pair < (n + 1) // 2)"
+
+
+@query(f"""
+WITH {_PAIRS.replace("@M@", "count(*) + count(*) * (count(*) - 1) // 2").replace("@FROM@", "supplier")}, {_tickets_sql("pairs", "n", "m", 1)},
+w AS (SELECT s_suppkey, count(*) OVER () - row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) + 1 AS weight FROM supplier),
+i AS (SELECT s_suppkey, weight, sum(weight) OVER (ORDER BY s_suppkey) AS hi FROM w)
+SELECT pair, CAST(parent AS INTEGER) AS parent, ticket, s_suppkey AS population_index FROM tickets JOIN i ON ticket >= hi - weight AND ticket < hi
+""")
 def selection_pairs(spark, sf_dir):
     """Rank-selected parents: tickets placed among the weights of the suppliers by balance."""
     from lodestone.operators.ranking import rank_intervals
@@ -72,7 +95,12 @@ def selection_pairs(spark, sf_dir):
     return genetics.place_tickets(tickets, intervals.select("population_index", "ticket_from")).select("pair", "parent", "ticket", "population_index")
 
 
-@query()
+@query(f"""
+WITH {_PAIRS.replace("@M@", "count(*)").replace("@FROM@", "supplier WHERE s_acctbal > 0")}, {_tickets_sql("pairs", "n", "m", 3)},
+o AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) - 1 AS ordinal FROM supplier WHERE s_acctbal > 0),
+b AS (SELECT pair, parent, s_suppkey, row_number() OVER (PARTITION BY pair, parent ORDER BY s_acctbal DESC, s_suppkey) AS k FROM tickets JOIN o ON ticket = ordinal)
+SELECT pair, CAST(parent AS INTEGER) AS parent, s_suppkey AS population_index FROM b WHERE k = 1
+""")
 def tournament_pairs(spark, sf_dir):
     """Tournament-selected parents: three draws with replacement among the valid suppliers, the best one wins."""
     from lodestone.operators.ranking import valid_ordinals
@@ -85,30 +113,66 @@ def tournament_pairs(spark, sf_dir):
     return met.groupBy("pair", "parent").agg(F.max_by("population_index", F.struct(F.col("total"), -F.col("population_index"))).alias("population_index"))
 
 
+#: Bytes of a genome: names are filled with blanks to it, and none is as long.
+_WIDTH = 32
+
+
+def _crossed_sql(kind: str) -> str:
+    n = _WIDTH
+    c = _sql.Chain("parents")
+    stream = c.stream(42, 7, "pair", CROSSOVER)
+    hit = stream.event(0.75)
+    if kind == "one-point":
+        cut = c.let(f"1 + {stream.uniform(n - 1)}")
+        swapped = f"i - 1 >= {cut}"
+    elif kind == "two-point":
+        first, second = stream.uniform(n + 1), stream.uniform(n)
+        second = c.let(f"{second} + CASE WHEN {second} >= {first} THEN 1 ELSE 0 END")
+        swapped = f"i - 1 >= least({first}, {second}) AND i - 1 < greatest({first}, {second})"
+    elif kind == "uniform":
+        word = stream.word()
+        swapped = f"((CAST({word} AS BIGINT) >> CAST(i - 1 AS INTEGER)) & 1) = 1"
+    else:
+        swapped = "false"
+    take = lambda own, other: c.let(f"list_transform(range(1, {n + 1}), lambda i: CASE WHEN {hit} AND b IS NOT NULL AND ({swapped}) THEN {other}[i] ELSE {own}[i] END)")
+    one, two = take("a", "b"), take("b", "a")
+    m = _sql.Chain("born")
+    stream = m.stream(42, 7, "population_index", MUTATION)
+    hit, place, mask = stream.event(0.35), stream.uniform(n), stream.uniform(255)
+    genome = m.let(f"array_to_string(list_transform(range(1, {n + 1}), lambda i: printf('%02X', CASE WHEN {hit} AND i - 1 = {place} THEN xor(genome[i], 1 + {mask}) ELSE genome[i] END)), '')")
+    return f"""
+WITH names AS (SELECT p_partkey, (p_partkey - 1) // 2 AS pair, {_sql.ascii_bytes(f"rpad(p_name, {n}, ' ')")} AS g FROM part),
+parents AS (SELECT pair, min_by(g, p_partkey) AS a, max_by(g, p_partkey) AS b FROM names GROUP BY pair),
+crossed AS ({c.sql()}),
+born AS (SELECT 2 * pair AS population_index, {one} AS genome FROM crossed UNION ALL SELECT 2 * pair + 1, {two} FROM crossed),
+mutated AS ({m.sql()})
+SELECT population_index, {genome} AS genome FROM mutated"""
+
+
 def _crossed(spark, sf_dir, kind: str):
-    names = table(spark, sf_dir, "part").select("p_partkey", F.encode(F.rpad("p_name", 12, " "), "utf-8").alias("genome"))
+    names = table(spark, sf_dir, "part").select("p_partkey", F.encode(F.rpad("p_name", _WIDTH, " "), "utf-8").alias("genome"))
     pair = F.expr("(p_partkey - 1) div 2")
     parents = names.groupBy(pair.alias("pair")).agg(F.min_by("genome", "p_partkey").alias("a"), F.max_by("genome", "p_partkey").alias("b"))
     out = genetics.children(parents, 42, 7, 1 << 40, 0.75, kind, 0.35)
     return out.select("population_index", F.hex("genome").alias("genome"))
 
 
-@query()
+@query(_crossed_sql("one-point"))
 def crossover_one_point(spark, sf_dir):
     return _crossed(spark, sf_dir, "one-point")
 
 
-@query()
+@query(_crossed_sql("two-point"))
 def crossover_two_point(spark, sf_dir):
     return _crossed(spark, sf_dir, "two-point")
 
 
-@query()
+@query(_crossed_sql("uniform"))
 def crossover_uniform(spark, sf_dir):
     return _crossed(spark, sf_dir, "uniform")
 
 
-@query()
+@query(_crossed_sql("clone"))
 def crossover_clone_mutate(spark, sf_dir):
     return _crossed(spark, sf_dir, "clone")
 
@@ -131,11 +195,22 @@ def fnv1a_column(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("fnv1a64-v1:"), u64.hex16(fingerprint.fold_column(codes))).alias("fingerprint"))
 
 
-@query()
+# The published course of the bit-count search with seed 0: best totals and diversity in millionths.
+_ONEMAX_BEST = (76, 78, 80, 84, 85, 85, 92, 92, 94, 94, 96, 96, 101)
+_ONEMAX_DIVERSITY = (994330, 962072, 910156, 844128, 737399, 577747, 510837, 456149, 442288, 393523, 375882, 318170, 342238)
+_ONEMAX = ", ".join(f"({g}, {b}.0, {b}.0, {d})" for g, (b, d) in enumerate(zip(_ONEMAX_BEST, _ONEMAX_DIVERSITY)))
+
+
+@query(f"SELECT CAST(g AS BIGINT) AS generation, CAST(a AS DOUBLE) AS generation_best, CAST(b AS DOUBLE) AS global_best, CAST(d AS BIGINT) AS diversity_millionths FROM (VALUES {_ONEMAX}) AS t(g, a, b, d)")
 def onemax_run(spark, sf_dir):
     """Bit-count search over 12 generations of 32 genomes: one row per generation."""
     config = plan.Config(32, 16, 12, 0, elite_count=2, adaptive=True, adaptive_min=0.1, adaptive_max=0.8, adaptive_step=0.1, adaptive_threshold=0.35, adaptive_reset=True)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-")
-    state = plan.run(spark, plan.Problem(fitness=plan.popcount("genome", 16)), config, f"{base.rstrip('/')}/lodestone-run-{uuid.uuid4().hex}")
-    rows = [(h["generation"], float(h["generation_best"]), float(h["global_best"]), round(h["diversity"], 6), round(h["mutation_rate"], 6)) for h in state.history]
-    return spark.createDataFrame(rows, "generation long, generation_best double, global_best double, diversity double, mutation_rate double")
+    state = plan.run(spark, plan.Problem(fitness=plan.popcount("genome", 16)), config, run_folder(spark))
+    rows = [(h["generation"], float(h["generation_best"]), float(h["global_best"]), round(h["diversity"] * 1e6)) for h in state.history]
+    return spark.createDataFrame(rows, "generation long, generation_best double, global_best double, diversity_millionths long")
+
+
+def run_folder(spark) -> str:
+    """A new folder for a run: below spark.checkpoint.dir, or (unset) in the session's warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    return f"{base.rstrip('/')}/lodestone-run-{uuid.uuid4().hex}"

@@ -31,20 +31,6 @@ def shifts_and_identifiers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(text.shift_of_power(size), F.lit(-1).cast("long")).alias("shift"), text.is_identifier(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("identifier"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_size >= 2 AND bit_count(p_size) = 1 THEN '(v' || p_partkey || ' << ' || CAST(round(log2(p_size)) AS BIGINT) || ')' ELSE 'unchanged' END AS shifted,
-       'v' || p_partkey || ' += w' || p_size AS compound, 'ready' || p_partkey AS condition FROM part
-""")
-def source_transformations(spark, sf_dir):
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    return table(spark, sf_dir, "part").select(
-        "p_partkey",
-        F.coalesce(edits.multiply_to_shift(F.concat(F.lit("v"), key, F.lit(" * "), size, F.lit("U"))), F.lit("unchanged")).alias("shifted"),
-        edits.compound_assignment(F.concat(F.lit("v"), key, F.lit(" = v"), key, F.lit(" + w"), size)).alias("compound"),
-        edits.plain_condition(F.concat(F.lit("!!ready"), key)).alias("condition"),
-    )
-
-
 @query("SELECT doc_id, CAST(strlen(text) - strlen(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS lines FROM documents")
 def line_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).alias("lines"))
@@ -89,7 +75,7 @@ def names_and_paths(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.record_name(F.col("s_suppkey")).alias("record_name"), normal.alias("normal"))
 
 
-@query()
+@query("SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS BIGINT) AS position, printf('r%05d', CAST(s_suppkey AS INTEGER)) AS identity FROM supplier")
 def canonical_order(spark, sf_dir):
     """Dependency-first order of each nation's suppliers: every one needs its half, if that is of the nation."""
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")
@@ -101,16 +87,17 @@ def canonical_order(spark, sf_dir):
 
 @query("""
 WITH l AS (SELECT p_brand, list(p_partkey ORDER BY p_partkey) AS a FROM part WHERE p_size <= 10 GROUP BY p_brand), r AS (SELECT p_brand, list(p_partkey ORDER BY p_partkey) AS b FROM part WHERE p_size > 40 GROUP BY p_brand),
-c AS (SELECT p_brand, a, b, len(a) // 2 AS i, len(b) // 3 AS j FROM l JOIN r USING (p_brand))
+c AS (SELECT p_brand, a, b, CAST((len(b) // 3 * 4294967296 + len(a) // 2) % (len(a) + 1) AS BIGINT) AS i, len(b) // 3 AS j FROM l JOIN r USING (p_brand))
 SELECT p_brand, array_to_string(list_concat(a[1:i], b[j + 1:]), ',') AS child_a, array_to_string(list_concat(b[1:j], a[i + 1:]), ',') AS child_b FROM c
 """)
 def recipe_splice(spark, sf_dir):
     """Prefix of one list and suffix of another, both ways; lists are recipes, whose length is bounded."""
     p = table(spark, sf_dir, "part")
     pick = lambda where, name: p.where(where).groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias(name))
-    both = pick("p_size <= 10", "a").join(pick("p_size > 40", "b"), "p_brand").withColumn("i", F.expr("size(a) div 2")).withColumn("j", F.expr("size(b) div 3"))
-    splice = lambda x, k, y, m: F.array_join(F.concat(F.slice(x, F.lit(1), F.col(k)), F.slice(y, F.col(m) + 1, F.size(y))), ",")
-    return both.select("p_brand", splice("a", "i", "b", "j").alias("child_a"), splice("b", "j", "a", "i").alias("child_b"))
+    both = pick("p_size <= 10", "a").join(pick("p_size > 40", "b"), "p_brand")
+    both = both.withColumn("selector", F.expr("(size(b) div 3) * 4294967296L + size(a) div 2"))
+    out = recipes.spliced(both, "p_brand", "a", "b", "selector")
+    return out.select("p_brand", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("child_a", "child_b")])
 
 
 @query("""
@@ -124,10 +111,15 @@ def application_status(spark, sf_dir):
     return edits.application_status(p.select("record"), applied, "record")
 
 
-@query()
+@query("""
+WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS path, hex(encode(text)) AS old FROM documents),
+n AS (SELECT path, old, strlen(old) >= 24 AS edited, CASE WHEN strlen(old) >= 24 THEN '3C656469743E' || old[9:16] || '3C656469743E' || old[25:] ELSE old END AS new FROM h)
+SELECT path, CASE WHEN edited THEN 'changed' ELSE 'unchanged' END AS status, CAST(CASE WHEN edited THEN 2 ELSE 0 END AS BIGINT) AS edit_count, CAST(strlen(old) // 2 AS BIGINT) AS before_size,
+       CAST(strlen(new) // 2 AS BIGINT) AS after_size, md5(new) AS content_md5 FROM n
+""")
 def applied_edits(spark, sf_dir):
     """Two edits in every document: its first four bytes, and the four from place 8, if it has them."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
     cut = lambda start: F.struct(F.lit(start).alias("start"), F.lit(start + 4).alias("end"), F.substring("content", start + 1, 4).alias("before"), F.encode(F.lit("<edit>"), "utf-8").alias("after"), F.lit(f"e{start}").alias("identity"))
     todo = d.where(F.octet_length("content") >= 12).select("path", F.explode(F.array(cut(8), cut(0))).alias("e")).select("path", "e.*")
-    return edits.apply_edits(d, todo).select("path", "status", "edit_count", "before_size", "after_size", "before_fingerprint", "after_fingerprint")
+    return edits.apply_edits(d, todo).select("path", "status", "edit_count", "before_size", "after_size", F.md5(F.hex("content")).alias("content_md5"))

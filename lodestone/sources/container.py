@@ -77,3 +77,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "problem", *SECTIONS])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, problem string, " + ", ".join(f"{s} binary" for s in SECTIONS))
+
+
+#: One candidate of the section `evaluations`: valid, evaluated (a byte each), and seven components (doubles).
+CANDIDATE = struct.Struct("<??7d")
+COMPONENTS = ("correctness", "performance", "memory_use", "reliability", "maintainability", "constraint_penalty", "total")
+
+
+def candidates(df: DataFrame, column: str, genome_size: int) -> DataFrame:
+    """One row per candidate of each checkpoint: the other columns, population_index, valid, evaluated, the components and genome.
+
+    A checkpoint whose sections do not hold whole candidates is an error.
+    """
+    kept = [c for c in df.columns if c != column]
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in kept), "population_index long", "valid boolean", "evaluated boolean", *(f"{c} double" for c in COMPONENTS), "genome binary"])
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for head, raw in zip(part[kept].itertuples(index=False), part[column]):
+                sections = decode(bytes(raw))
+                told, genomes = sections["evaluations"], sections["genomes"]
+                n, left = divmod(len(told), CANDIDATE.size)
+                if left or len(genomes) != n * genome_size:
+                    raise ContainerError("candidates")
+                rows += [(*head, i, *CANDIDATE.unpack_from(told, i * CANDIDATE.size), genomes[i * genome_size : (i + 1) * genome_size]) for i in range(n)]
+            yield pd.DataFrame(rows, columns=[*kept, "population_index", "valid", "evaluated", *COMPONENTS, "genome"])
+
+    return df.mapInPandas(run, schema)

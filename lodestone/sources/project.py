@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.fingerprint import fnv1a_text
 from lodestone.functions.text import join_path, normalize_path, only_keys, relative_path_valid
 
+# The closed keys of a compilation record.
 COMMAND_KEYS = ["directory", "file", "output", "arguments", "command"]
 _COMMAND = "struct<directory: string, file: string, output: string, arguments: array<string>, command: string>"
 
@@ -22,6 +23,7 @@ MANIFEST_KEYS = {
     "target": ["language", "platforms"],
     "search": ["seed", "population", "generations", "workers"],
 }
+# The types of a manifest's parts.
 _MANIFEST = """schema string, manifest_id string,
 source struct<declared_identity: string, permitted_roots: array<string>, compilation_database: string, generated_source_policy: string>,
 build struct<frontend: string, configure: array<string>, compile: array<string>, correctness: array<string>, benchmark: array<string>, benchmark_required: boolean>,
@@ -131,16 +133,46 @@ def function_declarations(df: DataFrame, unit: str, tree: str) -> DataFrame:
     return df.select(unit, tree).mapInPandas(run, "unit string, name string, file string, line long, column long, linkage string, definition boolean").dropDuplicates(["unit", "name", "file", "line", "column"])
 
 
-FLAG_RULES = {"keep": r"\A-(std=|D|I|include)", "pair": ["-o", "-MF", "-MT"], "drop": r"\A(-c|-g|-O[0-3s]?|-W[a-z0-9-]*|-f[a-z-]+)\z", "forbid": r"\A(-x|@|-Xclang|-load|-fplugin)"}
+# Flags that a unit's analysis keeps, those it can do without, and prefixes that it refuses.
+KEPT_FLAG = r"\A(-std=[A-Za-z0-9+-]+|-[DU][^\x00-\x1F\x7F@]+)\z"
+IGNORED_FLAG = r"\A(-c|-g|-pipe|-pthread|-O.*|-W.*)\z"
+REFUSED_PREFIXES = (
+    "@", "-Xclang", "-load", "-fplugin", "-plugin", "-cc1", "--config", "-include", "-imacros", "-B", "--sysroot", "-isysroot", "-isystem", "-iquote", "-MJ", "-MF", "-MT", "-MQ",
+)
 
 
 def build_arguments(arguments: Column) -> tuple[Column, Column]:
-    """(kept flags, supported): standards, defines and includes stay; outputs, operands and ignorable flags go; a forbidden
-    or unknown flag makes the whole unit unsupported."""
-    pairs = F.array(*map(F.lit, FLAG_RULES["pair"]))
-    at = F.sequence(F.lit(1), F.size(arguments) - 1)
-    value_of_pair = lambda i: F.array_contains(pairs, F.get(arguments, i - 1))
-    kept = F.transform(F.filter(at, lambda i: F.get(arguments, i).rlike(FLAG_RULES["keep"]) & ~value_of_pair(i)), lambda i: F.get(arguments, i))
-    fine = lambda a: ~a.startswith("-") & ~a.startswith("@") | a.rlike(FLAG_RULES["keep"]) | a.rlike(FLAG_RULES["drop"]) | F.array_contains(pairs, a)
-    supported = F.forall(at, lambda i: (fine(F.get(arguments, i)) & ~F.get(arguments, i).rlike(FLAG_RULES["forbid"])) | value_of_pair(i))
-    return F.when(F.size(arguments) > 1, kept).otherwise(F.array().cast("array<string>")), F.when(F.size(arguments) > 1, supported).otherwise(True)
+    """(kept flags, supported) of a unit's command line.
+
+    Standards, definitions and include folders stay (a folder after `-I` with
+    it); `-o` goes with its operand, and so do ignorable flags and operands.  A
+    refused or unknown flag, an include folder that is not a safe relative path,
+    or a pair without its second half makes the whole unit unsupported (and its
+    flags null).
+    """
+    safe = lambda p: relative_path_valid(p)
+
+    def step(acc, a):
+        bad = lambda: F.struct(acc["kept"].alias("kept"), F.lit("bad").alias("state"))
+        put = lambda *more, state="": F.struct(F.concat(acc["kept"], F.array(*more)).alias("kept"), F.lit(state).alias("state"))
+        skip = lambda state="": F.struct(acc["kept"].alias("kept"), F.lit(state).alias("state"))
+        refused = F.lit(False)
+        for prefix in REFUSED_PREFIXES:
+            refused = refused | a.startswith(prefix)
+        return (
+            F.when(acc["state"] == "bad", acc)
+            .when(acc["state"] == "output", skip())
+            .when(acc["state"] == "include", F.when(safe(a), put(F.lit("-I"), a)).otherwise(bad()))
+            .when(F.coalesce(a == "", F.lit(True)) | refused, bad())
+            .when(a == "-o", skip("output"))
+            .when(a == "-I", skip("include"))
+            .when(a.startswith("-I"), F.when(safe(F.substr(a, F.lit(3))), put(a)).otherwise(bad()))
+            .when(a.rlike(KEPT_FLAG), put(a))
+            .when(a.rlike(IGNORED_FLAG) | ~a.startswith("-"), skip())
+            .otherwise(bad())
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("state"))
+    done = F.aggregate(F.slice(arguments, 2, F.greatest(F.size(arguments) - 1, F.lit(0))), start, step)
+    supported = F.coalesce((F.size(arguments) > 0) & (done["state"] == ""), F.lit(False))
+    return F.when(supported, done["kept"]), supported

@@ -46,13 +46,6 @@ def test_text_functions(spark):
     assert one(spark, text.double_text(F.lit(0.1))) == "0.10000000000000001"
 
 
-def test_transformations(spark):
-    assert one(spark, edits.multiply_to_shift(F.lit("value * 8U"))) == "(value << 3)"
-    assert one(spark, edits.compound_assignment(F.lit("total = total + ready"))) == "total += ready"
-    assert one(spark, edits.plain_condition(F.lit("!!ready"))) == "ready"
-    assert one(spark, edits.compound_assignment(F.lit("total = other + ready"))) is None
-
-
 def test_apply_edits(spark):
     files = spark.createDataFrame([("a", b"int x = y * 8;"), ("b", b"keep"), ("c", b"abcdef"), ("d", b"zz")], "path string, content binary")
     todo = spark.createDataFrame(
@@ -114,7 +107,9 @@ def test_diversity_forms_agree(spark):
     rows = [(0, i, bytes([i % 3, i % 2, 7])) for i in range(9)]
     df = spark.createDataFrame(rows, "g int, i long, genome binary")
     fast = population.byte_diversity(df, "g", "genome").first()
-    slow = population.pair_diversity(df, "g", "i", F.expr("size(filter(sequence(1, 3), k -> substring(a.genome, k, 1) <> substring(b.genome, k, 1))) / 3")).first()
+    slow = population.pair_diversity(df, "g", "i", F.expr("size(filter(sequence(1, 3), k -> substring(a.genome, k, 1) <> substring(b.genome, k, 1))) / 3"), budget=108, unit_work=3).first()
+    with pytest.raises(ValueError):
+        population.pair_diversity(df, "g", "i", F.lit(0), budget=107, unit_work=3)
     assert fast["pair_count"] == 36 and abs(fast["diversity"] - slow["diversity"]) < 1e-12
     with pytest.raises(ValueError):
         population.check_pair_budget(9, 3, 100)
