@@ -80,7 +80,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: One candidate of the section `evaluations`: valid, evaluated (a byte each), and seven components (doubles).
-CANDIDATE = struct.Struct("<??7d")
+CANDIDATE = "<??7d"
 COMPONENTS = ("correctness", "performance", "memory_use", "reliability", "maintainability", "constraint_penalty", "total")
 
 
@@ -93,16 +93,18 @@ def candidates(df: DataFrame, column: str, genome_size: int) -> DataFrame:
     types = dict(df.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in kept), "population_index long", "valid boolean", "evaluated boolean", *(f"{c} double" for c in COMPONENTS), "genome binary"])
 
+    size = struct.calcsize(CANDIDATE)
+
     def run(parts):
         for part in parts:
             rows = []
             for head, raw in zip(part[kept].itertuples(index=False), part[column]):
                 sections = decode(bytes(raw))
                 told, genomes = sections["evaluations"], sections["genomes"]
-                n, left = divmod(len(told), CANDIDATE.size)
+                n, left = divmod(len(told), size)
                 if left or len(genomes) != n * genome_size:
                     raise ContainerError("candidates")
-                rows += [(*head, i, *CANDIDATE.unpack_from(told, i * CANDIDATE.size), genomes[i * genome_size : (i + 1) * genome_size]) for i in range(n)]
+                rows += [(*head, i, *struct.unpack_from(CANDIDATE, told, i * size), genomes[i * genome_size : (i + 1) * genome_size]) for i in range(n)]
             yield pd.DataFrame(rows, columns=[*kept, "population_index", "valid", "evaluated", *COMPONENTS, "genome"])
 
     return df.mapInPandas(run, schema)

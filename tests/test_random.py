@@ -72,8 +72,8 @@ def test_uniform_is_unbiased():
     assert counts.min() > 700
 
 
-def test_onemax(spark, tmp_path):
-    seed = 2**64 - 1
+@pytest.mark.parametrize("seed", sorted(ONEMAX))
+def test_onemax(spark, tmp_path, seed):
     config = plan.Config(32, 16, 12, seed, elite_count=2, adaptive=True, adaptive_min=0.1, adaptive_max=0.8, adaptive_step=0.1, adaptive_threshold=0.35, adaptive_reset=True)
     state = plan.run(spark, plan.Problem(fitness=plan.popcount("genome", 16)), config, str(tmp_path))
     genome, total, diversity = ONEMAX[seed]
