@@ -420,3 +420,288 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {d for d, _ in clean}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-dedup", "decontamination", "pii", "packing"]
+
+
+# --- beyond the former caps, clashes, repeats, nulls
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+def test_near_duplicates_of_adversarial_words(spark):
+    """Words that polynomial hashes modulo 2**64 confuse are different words."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x"), (4, f"{other} x")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_near_duplicates_null_ids_and_repeats(spark):
+    text = sentence(random.Random(1), 30)
+    rows = [(None, text), (None, text), (3, text), (3, text), (4, text), (5, "short one"), (5, "other words"), (5, "other words"), (6, None)]
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
+    assert {r["component_id"] for r in got if r["doc_id"] in (3, 4)} == {3}
+    left = sorted(((r["doc_id"] or 0, r["text"] or "") for r in near_dup.keep_one(frame(spark, rows)).collect()))
+    assert left == sorted([(0, text), (0, text), (3, text), (5, "short one"), (5, "other words"), (6, "")])
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    a, b = sentence(random.Random(2), 40), sentence(random.Random(3), 40)
+    got = near_dup.near_duplicates(frame(spark, [(1, a), (2, a), (2, b), (7, b), (8, b + " more")])).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    assert {r["component"] for r in near_dup.connected_components(chain).collect()} == {0}
+
+
+def test_near_duplicate_recall_and_sets(spark):
+    """Against brute force on edited copies around the threshold: no link is missed here, and none is invented."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):
+        base = sentence(rng, 80).split()
+        rows.append((3 * k, " ".join(base)))
+        for j in (1, 2):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(80)] = f"y{rng.randrange(999)}"
+            rows.append((3 * k + j, " ".join(w)))
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute_components(rows)
+
+
+def test_items_that_share_an_id(spark):
+    rng = random.Random(22)
+    one, two = sentence(rng, 12), sentence(rng, 20)
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (None, two)], "item_id long, text string").withColumn("n_item", F.lit("x")).withColumn("class_min", F.lit("x")).withColumn("size", F.lit(0))
+    docs = [(5, f"a {one} b"), (6, f"{two} c"), (None, one), (7, one.split()[0])]
+    got = sorted(((r["doc_id"] or 0, r["item_id"] or 0, r["n_shared"], r["n_item"]) for r in decontaminate.contained(frame(spark, docs), bench).collect()))
+    assert got == sorted([(0, 1, 8, 8), (5, 1, 8, 8), (6, 1, 16, 16), (6, 0, 16, 16)])
+
+
+def test_the_sketch_finds_candidates(spark, monkeypatch):
+    """Candidates come from the sketch alone, in several passes too; a document without a sketch hash is none."""
+    rng = random.Random(23)
+    text = sentence(rng, 40)
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    items = decontaminate.items_of(bench).cache()
+    sketch = {r["shingle"] for r in items.where("in_sketch").collect()}
+    assert len(sketch) == 36 - 27 + 1
+    runs = [" ".join(text.split()[i : i + 5]) for i in range(36)]
+    outside = [s for s in runs if s not in sketch]
+    docs = [(1, " . ".join(outside)), (2, runs[runs.index(sorted(sketch)[0])] + " and thirty more words " * 9), (3, text)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    for most in (500_000, 3):
+        monkeypatch.setattr(decontaminate, "SKETCH_ROWS", most)
+        assert {r["doc_id"] for r in decontaminate.candidates(rows, items, [5]).collect()} == {2, 3}
+        assert [tuple(r) for r in decontaminate.contained(rows, bench).collect()] == [(3, 1, 36, 36)]
+
+
+def test_repeats_across_steps_and_null_ids(spark, monkeypatch):
+    from lodestone.llm import _bytes
+
+    monkeypatch.setattr(_bytes, "STEP_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_RUNS", 3)
+    rng = random.Random(24)
+    shared, long = sentence(rng, 40), sentence(rng, 3000)
+    docs = [(None, shared), (None, sentence(rng, 5) + shared), (1, long), (2, sentence(rng, 9) + long[5000:5400])] + [(10 + k, f"{k} {sentence(rng, 3)} {shared} {sentence(rng, 4)}") for k in range(8)]
+    raw = [(d or 0, t.encode()) for d, t in docs]
+    seen: dict[bytes, int] = {}
+    for _, b in raw:
+        for i in range(len(b) - 199):
+            seen[b[i : i + 200]] = seen.get(b[i : i + 200], 0) + 1
+    want = []
+    for d, b in raw:
+        gone = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        want.append((d, len(b), int(gone.sum())))
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeats(frame(spark, docs).repartition(3)).collect())
+    assert got == sorted(want)
+
+
+def test_terms_far_away_and_everywhere(spark, monkeypatch):
+    """Long words do not narrow the window; a disclosing term is marked in texts without any personal data too."""
+    rng = random.Random(25)
+    wide = " ".join("w" * 60 + chr(97 + k) for k in range(7))
+    docs = [(k, sentence(rng, 20)) for k in range(200)]
+    docs += [(300 + k, f"{sentence(rng, 6)} quillon {wide} ada@example.com {sentence(rng, 5)}") for k in range(30)]
+    docs += [(400, "nobody but Quillon here, quillonx not"), (401, "quillon" * 3), (402, None), (402, "quillon quillon")]
+    base = {r["doc_id"]: r for r in pii.find_personal(frame(spark, docs)).collect() if r["doc_id"] != 402}
+    assert base[400]["spans"] == "term:11:18" and base[401]["spans"] == "" and base[5]["spans"] == ""
+    assert "term:" in base[300]["spans"]
+    whole = sorted(map(str, pii.find_personal(frame(spark, docs)).collect()))
+    monkeypatch.setattr(pii, "TERM_BLOCK", 2)  # several passes give the same
+    assert sorted(map(str, pii.find_personal(frame(spark, docs)).collect())) == whole
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, docs).where("doc_id <> 402")).collect()}
+    assert clean[400] == "nobody but [TERM] here, quillonx not"
+
+
+def test_shares_of_information_by_brute_force(spark):
+    rng = random.Random(26)
+    docs = [(k, sentence(rng, 12) + (f" rare{k % 3} someone{k % 2}@x.org {sentence(rng, 2)}" if k % 4 == 0 else "")) for k in range(160)]
+    n, near, df_t, df_e = len(docs), {}, {}, {}
+    for _, t in docs:
+        spans = brute_spans(t)
+        for w in {w.lower() for w in re.findall(r"[^\W\d_]{2,}", t)}:
+            df_t[w] = df_t.get(w, 0) + 1
+        for s, _, e in spans:
+            entity = t[s:e].lower()
+            df_e[entity] = df_e.get(entity, 0) + 1
+            before, after = re.findall(r"[^\W\d_]{2,}", t[:s])[-8:], re.findall(r"[^\W\d_]{2,}", t[e:])[:8]
+            for w in {w.lower() for w in before + after}:
+                near.setdefault((w, entity), set()).add((tuple(before + after)))
+                near[(w, entity)] |= {("n", len(near[(w, entity)]))}
+    both = {}
+    for _, t in docs:
+        for s, _, e in brute_spans(t):
+            words = re.findall(r"[^\W\d_]{2,}", t[:s])[-8:] + re.findall(r"[^\W\d_]{2,}", t[e:])[:8]
+            for w in {w.lower() for w in words}:
+                both.setdefault((w, t[s:e].lower()), []).append(tuple(x.lower() for x in words))
+    want = {w for (w, e), seen in both.items() if len(set(seen)) > 1 and np.log(len(seen) * n / (df_t[w] * df_e[e])) / -np.log(df_e[e] / n) >= pii.DISCLOSURE}
+    got = set(np.array([r["term"] for r in pii.disclosing(frame(spark, docs)).collect()], dtype=np.int64).tolist())
+    assert got == set(pii.word_keys(sorted(want)).tolist() if want else [])
+
+
+def test_every_mention_counts():
+    """More than 200 mentions of one term all become counterfactuals."""
+    word, bad = toxicity.word_features("muslim").tolist(), toxicity.word_features("numbskull").tolist()
+    rows = [sorted(set(word + (bad if k % 2 else []))) for k in range(700)]
+    flat, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    a = toxicity.fit(np.arange(700) % 2, flat, offsets, 0.5)
+    b = toxicity.fit(np.arange(700) % 2, flat, offsets, 0.5, names=np.arange(700) + 5)
+    assert (a.ids == b.ids).all() and not np.allclose(a.weights, b.weights) or len(a.ids)
+
+
+def test_toxicity_repeats_and_ties(spark):
+    rows = [(1, "you utter numbskull"), (1, "you utter numbskull"), (1, "kind words"), (2, "kind words here"), (None, "numbskull")] * 3
+    label = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, 0), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(frame(spark, rows), label).collect()
+    assert len(got) == 15 and all((r["predicted"] == 1) == (r["score"] >= 0.3) for r in got) and len({r["score"] for r in got if r["doc_id"] == 2}) == 1
+
+
+def test_more_languages_than_before(spark):
+    """Seventy languages are all learnt: none is left out of the network's outputs."""
+    rng = random.Random(27)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(4)]
+        rows += [(k * 100 + j, "".join(rng.choice(letters) for _ in range(150)), f"l{k:02d}") for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(df)
+    assert len(net.languages) == 70 and net.out.shape[1] == 70
+    got = language.languages(df.union(df.limit(3))).collect()
+    assert len(got) == 423 and {r["lang_pred"] for r in got} <= set(net.languages)
+
+
+def test_quality_labels_with_nulls_and_repeats(spark):
+    rng = random.Random(28)
+    rows = [(k, sentence(rng, 30) if k % 2 else "%%% " * 30) for k in range(60)] + [(1, sentence(rng, 8)), (1, sentence(rng, 8)), (None, "x"), (99, "word " * 50_000)]
+    label = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(1, 0, 0), (2, None, 0), (3, 1, None), (None, 1, 0), (4, 7, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).withColumn("grade", F.lit("x"))
+    got = quality.quality(frame(spark, rows), label).collect()
+    assert len(got) == len(rows) and all(0 <= r["tail_probability"] <= 1 and r["kept"] == (r["tail_probability"] >= 0.5) for r in got)
+
+
+def test_topk_repeated_ids_and_widths(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0, 1.0]), (2, [1.0] * 3000), (2, [0.5]), (3, [0.0]), (4, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk.search(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()]
+    one = 256 * 256
+    scored = sorted([(-one, 1), (-one, 2), (-one // 2, 2), (0, 3), (0, 4), (-2 * one, 1), (-2 * one, 2), (0, 2), (0, 3), (0, 4)])[:3]
+    assert got == [(0, i + 1, k, -s) for i, (s, k) in enumerate(scored)]
+
+
+def test_loss_limit_binds(spark):
+    """Answers bear loss and prompts do not: sequences hold at most so many loss-bearing tokens, and mix both."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    rng = random.Random(29)
+    rows = [(k, sentence(rng, rng.randrange(5, 40))) for k in range(400)]
+    df = frame(spark, rows).coalesce(1)
+    share = F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.0)
+    got = packing.pack(df, path, share, (512, 64, 200)).collect()
+    loss, total = {}, {}
+    for r in got:
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + r["length"] * (r["doc_id"] % 2 == 0)
+        total[r["sequence_id"]] = total.get(r["sequence_id"], 0) + r["length"]
+    assert max(loss.values()) <= 200 and max(total.values()) <= 512
+    free = {}
+    for r in packing.pack(df, path, share, (512, 64, 512)).collect():
+        free[r["sequence_id"]] = free.get(r["sequence_id"], 0) + r["length"] * (r["doc_id"] % 2 == 0)
+    assert max(free.values()) > 200  # without the limit more would come together
+    assert sum(total.values()) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+
+
+def test_packing_by_brute_force():
+    """The next piece is the one that fits and has the largest dot product: the same choices one by one."""
+    rng = random.Random(30)
+    items = [(k, rng.randrange(1, 30), rng.choice([0.0, 0.5, 1.0])) for k in range(60)]
+    out = []
+    packer = packing.Packer(lambda *x: out.append(x), tokens=64, segments=5, loss=40)
+    for k, n, share in items:
+        packer._wait(k, 0, n, share)
+    packer._pack_one()
+    limit = np.array([64.0, 5.0, 40.0])
+    room, left, chosen = limit.copy(), {k: np.array([n, 1.0, s * n]) for k, n, s in items}, []
+    while True:
+        fits = {k: float(d @ (room / limit**2)) for k, d in left.items() if (d <= room + 1e-9).all()}
+        if not fits:
+            break
+        best = max(fits.values())
+        mine = out and [k for k, *_ in out if k not in chosen][0] if len(chosen) < len(out) else None
+        assert mine is None or mine not in fits or abs(fits[mine] - best) < 1e-12
+        if mine is None or mine not in fits:
+            break
+        room = room - left.pop(mine)
+        chosen.append(mine)
+    assert len(chosen) >= 2
+
+
+def test_other_vocabularies_go_whole():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    own = packing.WordTokenizer(path)
+    assert not own.by_word
+    text = "It's 12 o'clock, naïve café"
+    assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_token_cache_starts_anew(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE", 50)
+    own, rng = packing.WordTokenizer(path), random.Random(31)
+    for _ in range(12):
+        t = sentence(rng, 60)
+        assert own.encode_batch([t, ""]) == [own._whole(t), b""]
+
+
+def test_urls_repeats_and_long(spark):
+    urls = ["http://a.net/x", "http://example.net/en/1", "http://b.org/q"] * 2 + ["http://c.com/" + "x" * 100_000, ""]
+    got = url_filter.judge(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")).collect()
+    by = {r["page_id"]: r["verdict"] for r in got}
+    assert len(got) == len(urls) and by[2] == by[5] and by[0] == "block" and by[1] == "allow"
+
+
+def test_stages_survive_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, and extra columns pass through every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(32)
+    rows = [(k, sentence(rng, 40), "en", "s", 1) for k in range(40)] + [(None, None, None, None, None), (None, "x y", "en", "s", 3), (50, "", "en", "s", 0), (51, "long " * 60_000, "en", "s", 9), (52, "a b c", None, "s", 5), (52, "a b c", None, "s", 5), (52, "other", None, "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_pii_terms", F.lit("mine")).withColumn("key", F.lit(1))
+    spark.createDataFrame([(k, 1, int(k < 4)) for k in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, sentence(rng, 20)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        if name != "packing":
+            assert out.columns == df.columns and out.count() <= len(rows), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
