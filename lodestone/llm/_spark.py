@@ -42,7 +42,12 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+def paths(spark: SparkSession) -> set[str]:
+    """What settle() and new_path() have named for this session and release() has not deleted."""
+    return {path for s, path in _written if s is spark}
+
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
     """Delete what settle() wrote for this session, but for the paths to keep."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

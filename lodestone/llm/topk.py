@@ -64,34 +64,46 @@ def integers(ids: np.ndarray, lists: pa.ListArray) -> Sparse:
     return Sparse(ids[order][kept], at, term[take], weight[take])
 
 
-def accumulate(queries: Sparse, rows: Sparse) -> np.ndarray:
+class Postings:
+    """The rows of a block by term: for each term the places of its rows and their weights."""
+
+    def __init__(self, rows: Sparse):
+        self.ids, self.most = rows.ids, np.abs(rows.weights).max(initial=0)
+        by_term = np.argsort(rows.terms, kind="stable")
+        self.terms, first = np.unique(rows.terms[by_term], return_index=True)
+        self.bounds = np.append(first, len(by_term)).tolist()
+        self.places = np.repeat(np.arange(len(rows)), np.diff(rows.at))[by_term]
+        self.weights = rows.weights[by_term]
+        self.as_float = self.weights.astype(np.float32)
+
+
+def accumulate(queries: Sparse, rows: Postings) -> np.ndarray:
     """(queries, rows) integer inner products, term by term."""
     most = np.add.reduceat(np.abs(queries.weights), queries.at[:-1][np.diff(queries.at) > 0]).max(initial=0) if len(queries.weights) else 0.0
-    bound = most * np.abs(rows.weights).max(initial=0)
+    bound = most * rows.most
     # Doubles are exact to 2**53, floats to 2**24; beyond, Python's integers.
     kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
-    as_kind = lambda x: np.array([int(v) for v in x], dtype=object) if kind is object else x.astype(kind)
-    scores = np.zeros((len(queries), len(rows)), dtype=kind)
-    by_term = np.argsort(rows.terms, kind="stable")
-    terms, first = np.unique(rows.terms[by_term], return_index=True)
-    last = np.append(first[1:], len(by_term))
-    owner = np.repeat(np.arange(len(rows)), np.diff(rows.at))[by_term]
-    weights = as_kind(rows.weights[by_term])
-    q_order = np.argsort(queries.terms, kind="stable")
-    q_owner = np.repeat(np.arange(len(queries)), np.diff(queries.at))[q_order]
-    q_terms, q_weights = queries.terms[q_order], as_kind(queries.weights[q_order])
-    lo, hi = np.searchsorted(q_terms, terms, side="left"), np.searchsorted(q_terms, terms, side="right")
-    for a, b, c, d in zip(first.tolist(), last.tolist(), lo.tolist(), hi.tolist()):
+    as_kind = lambda x: np.array([int(v) for v in x], dtype=object) if kind is object else x.astype(kind, copy=False)
+    scores = np.zeros((len(queries), len(rows.ids)), dtype=kind)
+    weights = rows.as_float if kind is np.float32 else as_kind(rows.weights)
+    added = np.empty_like(scores)
+    order = np.argsort(queries.terms, kind="stable")
+    owner = np.repeat(np.arange(len(queries)), np.diff(queries.at))[order]
+    terms, q_weights = queries.terms[order], as_kind(queries.weights[order])
+    lo, hi = (np.searchsorted(terms, rows.terms, side=side).tolist() for side in ("left", "right"))
+    for k, (c, d) in enumerate(zip(lo, hi)):
         if c == d:
             continue
-        posting, weight, using = owner[a:b], weights[a:b], q_owner[c:d]
-        added = q_weights[c:d, None] * weight[None]
-        if b - a == len(rows) and d - c == len(queries):
-            scores += added
-        elif b - a == len(rows):
-            scores[using] += added
+        a, b = rows.bounds[k], rows.bounds[k + 1]
+        using, mine, weight = owner[c:d], q_weights[c:d, None], weights[a:b]
+        if b - a == len(rows.ids):  # a posting for every row: its places are all places, in order
+            part = np.multiply(mine, weight[None], out=added[: d - c])
+            if d - c == len(queries):
+                scores += part
+            else:
+                scores[using] += part
         else:
-            scores[using[:, None], posting[None]] += added
+            scores[using[:, None], rows.places[None, a:b]] += mine * weight[None]
     return scores
 
 
@@ -134,6 +146,7 @@ def _search(shared, k: int):
                 rows = integers(block.column(0).to_numpy(zero_copy_only=False), block.column(1))
                 if not len(rows):
                     continue
+                rows = Postings(rows)
                 for i in range(0, len(queries), TOGETHER):
                     some = queries.part(i, min(len(queries), i + TOGETHER))
                     for n, (own, s) in enumerate(zip(some.ids, accumulate(some, rows)), start=i):

@@ -358,7 +358,7 @@ def test_topk(spark, monkeypatch):
 def test_large_components_stay_exact():
     sparse = lambda rows: topk.integers(np.arange(len(rows)), pa.array(rows, pa.list_(pa.float64())))
     q, r = sparse([[2.0**32, 1 / 256]]), sparse([[2.0**32, 3 / 256], [1 / 256, 1 / 256]])
-    assert [int(x) for x in topk.accumulate(q, r)[0]] == [2**80 + 3, 2**40 + 1]
+    assert [int(x) for x in topk.accumulate(q, topk.Postings(r))[0]] == [2**80 + 3, 2**40 + 1]
 
 
 def test_packer_limits():
