@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, near_dup, packing, pii, toxicity
-from lodestone.llm._spark import shared_folder
+from lodestone.llm._spark import new_path, paths, release
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -46,10 +44,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's output is written and read again; what earlier stages wrote goes as soon as the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = paths(spark)
     for _, stage in STAGES:
-        path = f"{shared_folder(spark)}/lodestone/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        rows = stage(spark, docs, sf_dir)
+        path = new_path(spark)
+        rows.write.parquet(path)
+        release(spark, keep={*others, path})
         docs = spark.read.parquet(path)
     return docs
 
