@@ -10,7 +10,7 @@ equal strings together without one suffix array over everything:
 2. Runs meet by key.  A key that occurs once holds nothing repeated.  Runs
    equal as a whole (by 128 bits of hashes of all their bytes, besides the key)
    are repeated as a whole.  What is left, different runs with one core, is
-   decided on suffix arrays of the runs' bytes.
+   decided on suffix arrays of the runs' bytes, in which equal cores are one symbol.
 3. The suffix array is linear grouping construction: suffixes are grouped by
    their Lyndon prefix, groups are taken in descending order, and each sends its
    members' previous-smaller positions into finer groups; then the order within
@@ -131,25 +131,41 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return np.array(out[2:], dtype=np.int64) - 1
 
 
-def repeated_strings(runs: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each run, which of its `length`-byte strings occur at another place of the runs too."""
-    joined = np.concatenate([np.append(np.frombuffer(r, dtype=np.uint8).astype(np.int64) + 2, 1) for r in runs])
-    sizes = np.array([len(r) for r in runs])
+def repeated_strings(runs: list[bytes], cores: list[tuple[int, int]], length: int = LENGTH) -> list[np.ndarray]:
+    """For each run, which of its `length`-byte strings occur at another place of the runs too.
+
+    cores: start and size of the bytes that all strings of a run share.  A core
+    is one symbol in the suffix array, the same for equal bytes alone, so the
+    arrays hold little more than what runs differ in.
+    """
+    names: dict[bytes, int] = {}
+    parts = []
+    for run, (start, size) in zip(runs, cores):
+        symbols = np.frombuffer(run, dtype=np.uint8).astype(np.int64) + 2
+        core = names.setdefault(run[start : start + size], 258 + len(names))
+        parts += [symbols[:start], [core], symbols[start + size :], [1]]
+    joined = np.concatenate(parts)
+    held = np.array([size for _, size in cores])
+    sizes = np.array([len(r) for r in runs]) - held + 1
+    width = length - held + 1  # symbols of a string
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
     sa = suffix_array(joined)
     run = np.searchsorted(at, sa, side="right") - 1
-    starts = sa[sa + length <= at[run] + sizes[run]]
+    whole = sa + width[run] <= at[run] + sizes[run]
+    starts, width_of = sa[whole], width[run[whole]]
     mark = np.zeros(len(joined), dtype=bool)
     if len(starts) > 1:
-        data = np.where(joined > 1, joined - 2, 0).astype(np.uint8)
-        words = B.eights(data)  # neighbours that differ in their first or last eight bytes need no closer look
-        head, tail = words[starts], words[starts + length - 8]
-        same = np.flatnonzero((head[1:] == head[:-1]) & (tail[1:] == tail[:-1]))
+        # Neighbours that differ in width or in their first or last symbol need no closer look.
+        head, tail = joined[starts], joined[starts + width_of - 1]
+        same = np.flatnonzero((head[1:] == head[:-1]) & (tail[1:] == tail[:-1]) & (width_of[1:] == width_of[:-1]))
+        column = np.arange(width.max())
         for i in range(0, len(same), 4096):
             k = same[i : i + 4096]
-            equal = (data[starts[k][:, None] + np.arange(length)] == data[starts[k + 1][:, None] + np.arange(length)]).all(axis=1)
+            inside = column < width_of[k][:, None]
+            left, right = (joined[np.minimum(starts[j][:, None] + column, len(joined) - 1)] for j in (k, k + 1))
+            equal = ((left == right) | ~inside).all(axis=1)
             mark[starts[k[equal]]] = mark[starts[k[equal] + 1]] = True
-    return [mark[at[i] : at[i] + max(0, sizes[i] - length + 1)] for i in range(len(runs))]
+    return [mark[at[i] : at[i] + max(0, sizes[i] - width[i] + 1)] for i in range(len(runs))]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -163,10 +179,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray):
-    """(text, first string's start in the text, strings, key, two hashes of the run's bytes) of all runs."""
+    """(text, first string's start in the text, strings, core, key, two hashes of the run's bytes) of all runs.
+
+    core: the start of the shared bytes in the run, times 256, plus their number.
+    """
     empty = np.zeros(0, dtype=np.int64)
     if len(data) < LENGTH:
-        return (empty,) * 6
+        return (empty,) * 7
     words = B.eights(data)
     n = len(data) - GRAM + 1
     grams = words[:n] * _PLACE[0]  # anchors only bring strings together: a plain hash will do
@@ -179,7 +198,7 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     p = np.arange(len(text)) + np.repeat(offsets[:-1] - (np.cumsum(strings) - strings), strings)
     anchor = anchor[p]
     if not len(p):
-        return (empty,) * 6
+        return (empty,) * 7
     block = (p - anchor + _PLACES - 1) // _BLOCK
     new = np.ones(len(p), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]) | (text[1:] != text[:-1])
@@ -191,7 +210,7 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     key = B.mix64(_span(words, last, low + LENGTH, 0)[0] + block.astype(np.uint64))
     place = (start - anchor).astype(np.uint64)
     whole = [B.mix64(h + place).view(np.int64) for h in _span(words, start, start + count + LENGTH - 1, 1, 2)]
-    return text, start - offsets[text], count, key.view(np.int64), *whole
+    return text, start - offsets[text], count, (last - start) * 256 + low + LENGTH - last, key.view(np.int64), *whole
 
 
 #: Weights of the eight-byte words of a gram.
@@ -217,8 +236,8 @@ def _span(words: np.ndarray, start: np.ndarray, end: np.ndarray, *seeds: int) ->
     return states
 
 
-_RUN = pa.schema([("texts", pa.list_(pa.struct([("doc", pa.int64()), ("rid", pa.int64()), ("starts", pa.list_(pa.int32()))]))), ("places", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64())])
-_RUN_DDL = "texts array<struct<doc: long, rid: long, starts: array<int>>>, places int, n int, key long, run long, twin long"
+_RUN = pa.schema([("texts", pa.list_(pa.struct([("doc", pa.int64()), ("rid", pa.int64()), ("starts", pa.list_(pa.int32()))]))), ("places", pa.int32()), ("n", pa.int32()), ("core", pa.int32()), ("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64())])
+_RUN_DDL = "texts array<struct<doc: long, rid: long, starts: array<int>>>, places int, n int, core int, key long, run long, twin long"
 
 
 @lean
@@ -228,9 +247,10 @@ def _runs_task(batches):
         doc, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         data, off = B.column_bytes(batch.column(2))
         for i, j in B.steps(off):
-            text, start, count, key, run, twin = runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            found = runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            text, *_, key, run, twin = found
             order = np.lexsort((text, twin, run, key))
-            text, start, count, key, run, twin = (x[order] for x in (text, start, count, key, run, twin))
+            text, start, count, core, key, run, twin = (x[order] for x in found)
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1]) | (twin[1:] != twin[:-1])
             first = np.flatnonzero(new)
@@ -242,21 +262,21 @@ def _runs_task(batches):
             bounds = np.append(np.searchsorted(inner, first), len(inner)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), cells)
             places = np.diff(np.append(first, len(key))).astype(np.int32)
-            columns = [lists, pa.array(places), pa.array(count[first].astype(np.int32)), *(pa.array(x[first]) for x in (key, run, twin))]
+            columns = [lists, pa.array(places), *(pa.array(x[first].astype(np.int32)) for x in (count, core)), *(pa.array(x[first]) for x in (key, run, twin))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _RUN)], schema=_RUN)
 
 
-_CUT = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64()), ("bytes", pa.binary())])
-_CUT_DDL = "key long, run long, twin long, bytes binary"
+_CUT = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("twin", pa.int64()), ("core", pa.int32()), ("bytes", pa.binary())])
+_CUT_DDL = "key long, run long, twin long, core int, bytes binary"
 
 
 def _cut(batches):
-    """(text, parts) -> (key, run, twin, bytes)."""
+    """(text, parts) -> (key, run, twin, core, bytes)."""
     for batch in batches:
         data, off = B.column_bytes(batch.column(0))
         for k, parts in enumerate(batch.column(1).to_pylist()):
             own = data[off[k] : off[k + 1]]
-            cells = [(p["key"], p["run"], p["twin"], own[p["start"] : p["start"] + p["n"] + LENGTH - 1].tobytes()) for p in parts]
+            cells = [(p["key"], p["run"], p["twin"], p["core"], own[p["start"] : p["start"] + p["n"] + LENGTH - 1].tobytes()) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells), _CUT)], schema=_CUT)
 
 
@@ -273,20 +293,22 @@ def _decide(batches):
     """Rows in the order of their keys -> the repeated strings of each run; all runs of a key share a suffix array."""
     names: list[tuple] = []
     held: list[bytes] = []
+    cores: list[tuple[int, int]] = []
     size = 0
 
     def out():
-        spans = [_spans(m) for m in repeated_strings(held)]
+        spans = [_spans(m) for m in repeated_strings(held, cores)]
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*names)), pa.array(spans, pa.list_(pa.int32()))], schema=_DECIDED)
 
     for batch in batches:
-        for *name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for *name, core, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if names and name[0] != names[-1][0] and size > BATCH_BYTES:
                 yield out()
-                names, held, size = [], [], 0
+                names, held, cores, size = [], [], [], 0
             names.append(name)
             held.append(raw)
-            size += len(raw)
+            cores.append(divmod(core, 256))
+            size += len(raw) - core % 256
     if names:
         yield out()
 
@@ -295,7 +317,7 @@ def _singles(batches):
     """(key, run, twin, bytes) -> a row for each string: the run it is in, its place there and two hashes of its bytes."""
     schema = pa.schema([*_CUT][:3] + [pa.field("place", pa.int32()), pa.field("hash", pa.int64()), pa.field("other", pa.int64())])
     for batch in batches:
-        for *name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for *name, _, raw in zip(*(c.to_pylist() for c in batch.columns)):
             data = np.frombuffer(raw, dtype=np.uint8)
             i = np.arange(len(data) - LENGTH + 1)
             hashes = [h.view(np.int64) for h in _span(B.eights(data), i, i + LENGTH, 3, 4)]
@@ -346,7 +368,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
     keys = found.groupBy("key").agg(F.sum("places").alias("total")).where("total > 1").select("key")
     met = settle(found.join(keys.hint("merge"), "key"))
     lead = F.min(F.struct(F.get("texts", F.lit(0))["doc"].alias("doc"), F.get("texts", F.lit(0))["rid"].alias("rid"), F.get(F.get("texts", F.lit(0))["starts"], F.lit(0)).alias("start")))
-    by_run = settle(met.groupBy(*_NAME).agg(F.sum("places").alias("same"), F.first("n").alias("n"), lead.alias("lead")))
+    by_run = settle(met.groupBy(*_NAME).agg(F.sum("places").alias("same"), F.first("n").alias("n"), F.first("core").alias("core"), lead.alias("lead")))
     # A key all of whose runs are repeated as they are has nothing left to decide.
     by_key = by_run.groupBy("key").agg(F.count(F.lit(1)).alias("n_runs"), F.min("same").alias("least")).where("n_runs > 1 and least = 1")
     status = settle(by_run.join(by_key.select("key", "n_runs").hint("merge"), "key"))
@@ -354,7 +376,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
     whole = met.join(by_run.where("same > 1").select(*_NAME).hint("merge"), _NAME).select(F.explode("texts").alias("x"), "n")
     whole = whole.select("x.doc", "x.rid", F.explode("x.starts").alias("a"), "n").select("doc", "rid", "a", (F.col("a") + F.col("n")).alias("b"))
 
-    part = F.struct(*_NAME, F.col("lead.start").alias("start"), "n", "n_runs")
+    part = F.struct(*_NAME, F.col("lead.start").alias("start"), "n", "core", "n_runs")
     parts = status.groupBy(F.col("lead.doc").alias("doc"), F.col("lead.rid").alias("rid")).agg(F.collect_list(part).alias("parts"))  # a text's own runs
     held = parts.join(docs.select("doc", "rid", "text").dropDuplicates(["doc", "rid"]), ["doc", "rid"])
     few = lambda hot: F.filter("parts", lambda p: (p["n_runs"] > SPLIT_RUNS) if hot else (p["n_runs"] <= SPLIT_RUNS))
