@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -32,7 +33,21 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more, and let Spark drop the shuffles behind it.
+
+    Spark removes shuffle files once the driver's garbage collector finds their
+    plans unused, which a driver with little to do would put off.
+    """
+    mine, spark = df._settled, df.sparkSession
+    release(spark, keep=paths(spark) - {mine})
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def new_path(spark: SparkSession) -> str:

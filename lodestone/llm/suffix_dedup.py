@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import lean, settle, texts
+from ._spark import discard, lean, settle, texts
 
 LENGTH, GRAM = 200, 32
 _PLACES = LENGTH - GRAM + 1
@@ -367,6 +367,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
     found = settle(docs.where(F.octet_length("text") >= LENGTH).select("doc", "rid", "text").mapInArrow(_runs_task, _RUN_DDL))
     keys = found.groupBy("key").agg(F.sum("places").alias("total")).where("total > 1").select("key")
     met = settle(found.join(keys.hint("merge"), "key"))
+    discard(found)
     lead = F.min(F.struct(F.get("texts", F.lit(0))["doc"].alias("doc"), F.get("texts", F.lit(0))["rid"].alias("rid"), F.get(F.get("texts", F.lit(0))["starts"], F.lit(0)).alias("start")))
     by_run = settle(met.groupBy(*_NAME).agg(F.sum("places").alias("same"), F.first("n").alias("n"), F.first("core").alias("core"), lead.alias("lead")))
     # A key all of whose runs are repeated as they are has nothing left to decide.
