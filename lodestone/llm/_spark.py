@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import sys
+import types
 import uuid
 
 import pyarrow as pa
@@ -99,6 +101,15 @@ def lean(run):
     return wrapped
 
 
+def worker_held(key, make):
+    """make() once for each key in a worker process, whose later tasks get the same object (their code is made anew)."""
+    home = sys.modules.setdefault("_lodestone_held", types.ModuleType("_lodestone_held"))
+    held = home.__dict__.setdefault("objects", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text alone (and the named extra columns), so that clashing columns never get in the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
