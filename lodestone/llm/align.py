@@ -16,6 +16,7 @@ both vocabularies have bytes, whatever the corpus, and the table of pair counts
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from itertools import chain, repeat
 
@@ -83,6 +84,7 @@ class PairTokenizer:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core already
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -112,34 +114,35 @@ class PairTokenizer:
             held.add(old.take(kept), old.sizes[kept])
             setattr(self, name, held)
 
-    def _encode(self, units: list[str]):
-        """Flat ids of each side, how many each unit has, and each unit's bytes."""
+    def _encode(self, units: list[str], joined: bool):
+        """Flat ids of each side, how many each unit has, and each unit's bytes; joined: the units may follow each other."""
         a, b = [], []
         for k in range(0, len(units), 5000):
             part = units[k : k + 5000]
-            a += [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
+            a += [e.ids for e in self.a.encode_batch_fast(["".join(part)] if joined else part, add_special_tokens=False)]
             # B puts a space before its input (but for an empty one); a unit that does not start so follows a line end, which is cut off again.
             spaced = [u[0] == " " and len(u) > 1 for u in part]
             two = self.b.encode([u[1:] if s else "\n" + u for u, s in zip(part, spaced)], num_threads=1)
             b += [x if s else x[self.line :] for x, s in zip(two, spaced)]
         n_a, n_b = (np.fromiter(map(len, side), dtype=np.int64, count=len(side)) for side in (a, b))
         a, b = (list(chain.from_iterable(side)) for side in (a, b))
-        size = np.fromiter((len(u.encode()) for u in units), dtype=np.int64, count=len(units))
-        return a, b, n_a, n_b, size
+        return a, b, n_a, n_b, np.fromiter((len(u.encode()) for u in units), dtype=np.int64, count=len(units))
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str], joined: bool) -> None:
         """Align units that are new: one label for each of their bytes, spans up to each byte where both sides end."""
-        a, b, n_a, n_b, size = self._encode(units)
+        a, b, n_a, n_b, size = self._encode(units, joined)
         ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
         ends = np.cumsum(size)
+        if joined:
+            n_a = np.diff(np.searchsorted(ends_a, ends, side="right"), prepend=0)
         same = all((np.concatenate([[0], e])[np.cumsum(n)] == ends).all() for e, n in ((ends_a, n_a), (ends_b, n_b)))
         if not (same and b"".join(map(self.bytes_a.__getitem__, a)) == "".join(units).encode() == b"".join(map(self.bytes_b.__getitem__, b))):
             if len(units) == 1:
                 self.known[units[0]] = -1
             else:  # some unit is not given back: find it by halves
-                self._learn(units[: len(units) // 2])
-                self._learn(units[len(units) // 2 :])
+                self._learn(units[: len(units) // 2], joined)
+                self._learn(units[len(units) // 2 :], joined)
             return
         self.known.update(zip(units, range(len(self.ids_a.sizes), len(self.ids_a.sizes) + len(units))))
         labels = np.full(ends[-1], ord("0"), dtype=np.uint8)
@@ -169,7 +172,11 @@ class PairTokenizer:
         rows = np.fromiter(map(self.known.get, every, repeat(-2)), dtype=np.int64, count=len(every))
         new = np.flatnonzero(rows == -2).tolist()
         if new:
-            self._learn(list({every[i] for i in new}))
+            fresh, alone = {every[i] for i in new}, set(whole)
+            alone |= {u for u in fresh if u[-1] in " \t\n"}  # white space without a word would run into the next unit's
+            for some, joined in ((fresh - alone, True), (fresh & alone, False)):
+                if some:
+                    self._learn(list(some), joined)
             rows[new] = [self.known[every[i]] for i in new]
         uses = np.bincount(rows[rows >= 0], minlength=len(self.ids_a.sizes))
         uses[: len(self.uses)] += self.uses
