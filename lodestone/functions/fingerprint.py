@@ -53,6 +53,75 @@ def fnv1a_many(rows: list[bytes]) -> list[int]:
     return out
 
 
+Summary = tuple[int, np.ndarray]  # of n bytes: a state h becomes h * PRIME**n + table[h mod 256], modulo 2**64
+_LOW = np.arange(256, dtype=np.uint64)
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(PRIME, n, 1 << 64))
+
+
+def compose(one: Summary, two: Summary) -> Summary:
+    """The bytes of one, then those of two."""
+    after = _LOW * _power(one[0]) + one[1]
+    return one[0] + two[0], one[1] * _power(two[0]) + two[1][(after & np.uint64(255)).astype(np.intp)]
+
+
+def applied(value: int, run: Summary) -> int:
+    """The state after a run of bytes."""
+    return (value * pow(PRIME, run[0], 1 << 64) + int(run[1][value & 255])) & _M64
+
+
+def summary(data: bytes) -> Summary:
+    """What a run of bytes does to any state: only a state's low byte meets a byte, so 256 starts are all there are.
+
+    The run is cut into equal pieces that advance together, then composed.
+    """
+    pieces = min(256, max(1, len(data) // 64))
+    width = len(data) // pieces
+    block = np.frombuffer(data, dtype=np.uint8, count=pieces * width).reshape(pieces, width).T.astype(np.uint64)
+    state = np.repeat(_LOW[None], pieces, axis=0)
+    for column in block:
+        state = (state ^ column[:, None]) * np.uint64(PRIME)
+    tables = state - _LOW * _power(width)
+    out = width, tables[0]
+    for table in tables[1:]:
+        out = compose(out, (width, table))
+    rest = data[pieces * width :]
+    return compose(out, summary(rest)) if rest else out
+
+
+def _crc_zeros() -> list[list[int]]:
+    """Matrices over two elements (columns as words) of 2**k zero bytes in CRC-32, k from 0."""
+    one = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+    out = [one]
+    while len(out) < 64 + 3:
+        m = out[-1]
+        out.append([_crc_times(m, column) for column in m])
+    return out[3:]
+
+
+def _crc_times(matrix: list[int], vector: int) -> int:
+    out = 0
+    for k, column in enumerate(matrix):
+        if vector >> k & 1:
+            out ^= column
+    return out
+
+
+def crc32_combined(one: int, two: int, size: int) -> int:
+    """CRC-32 of two payloads in a row from those of each; size: bytes of the second."""
+    if not _ZEROS:
+        _ZEROS.extend(_crc_zeros())
+    for k, matrix in enumerate(_ZEROS):
+        if size >> k & 1:
+            one = _crc_times(matrix, one)
+    return one ^ two
+
+
+_ZEROS: list[list[int]] = []
+
+
 @F.pandas_udf(StringType())
 def fnv1a_text(values: pd.Series) -> pd.Series:
     """Fingerprint text of each string's (or binary's) bytes alone; null stays null."""

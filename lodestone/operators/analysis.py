@@ -9,9 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import total_rank
+
 # Kinds of the tables' records.
 LOCATION_KINDS = ("spelling", "macro-expansion", "generated")
 DECLARATION_KINDS, LINKAGES = ("function", "variable", "type"), ("none", "internal", "external")
@@ -33,9 +35,9 @@ def opportunities(missed: DataFrame, runtime: DataFrame, location: str, samples:
         runtime.select(location, none.alias("m"), F.col(samples).cast("long").alias("s"), F.lit(True).alias("e"))
     )
     out = both.groupBy(location).agg(F.sum("m").alias("missed_optimization_count"), F.bool_or("e").alias("runtime_evidence_present"), F.sum("s").alias("runtime_sample_count"))
-    # The rank is a total order over the (aggregated) locations.
-    order = Window.orderBy(F.desc("runtime_evidence_present"), F.desc("runtime_sample_count"), F.desc("missed_optimization_count"), F.asc(location))
-    return out.withColumn("rank", F.row_number().over(order).cast("long"))
+    # The rank is a total order over all locations: falling evidence, samples and remarks as rising columns.
+    order = [~F.col("runtime_evidence_present"), -F.col("runtime_sample_count"), -F.col("missed_optimization_count"), F.col(location)]
+    return total_rank(out, order, "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def range_valid(line: Column, column: Column, end_line: Column, end_column: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.random import CROSSOVER, MUTATION, SELECTION, Streams
 
+from .ranking import meet_in_buckets
+
 CROSSOVERS = ("clone", "one-point", "two-point", "uniform")
 
 
@@ -76,16 +78,15 @@ def parent_tickets(pairs: DataFrame, seed: int, generation: int, offspring: int,
 
 
 def place_tickets(tickets: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Adds the index whose interval holds each ticket, by one ordered pass over interval starts and tickets.
+    """Adds the index whose interval holds each ticket.
 
-    intervals(population_index, ticket_from).  One population is one ordered
-    sequence; its size is bounded by the run's configuration.
+    intervals(population_index, ticket_from, ticket_to) are half-open and
+    disjoint.  Tickets and intervals meet in buckets (ranking.meet_in_buckets),
+    so any task may hold any part of a population.
     """
-    starts = intervals.select(F.col("ticket_from").alias("at"), F.lit(0).alias("kind"), "population_index", *[F.lit(None).cast(t).alias(c) for c, t in tickets.dtypes])
-    asked = tickets.select(F.col("ticket").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("population_index"), *tickets.columns)
-    w = Window.partitionBy(F.lit(0)).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    placed = starts.union(asked).withColumn("chosen", F.last("population_index", ignorenulls=True).over(w))
-    return placed.where("kind = 1").select(*tickets.columns, F.col("chosen").alias("population_index"))
+    one = F.lit(0).alias("_g")
+    met = meet_in_buckets(intervals.select(one, "population_index", "ticket_from", "ticket_to"), tickets.select("*", one), "_g", "ticket")
+    return met.select(*tickets.columns, "population_index")
 
 
 def children(parents: DataFrame, seed: int, generation: int, offspring: int, crossover_rate: float, kind: str, mutation_rate: float) -> DataFrame:

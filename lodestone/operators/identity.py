@@ -59,9 +59,8 @@ def analysis(heads: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFr
     """heads(key, baseline_fingerprint, provider, compiler, backend, target, flags, runtime_state long, runtime_profile) and
     the tables of ANALYSIS, each with the key; a table that is not given counts no rows."""
     head = F.concat(_tag("analysis"), record("baseline_fingerprint", "provider", "compiler", "backend", "target", "flags", "runtime_state:number", "runtime_profile")).alias("head")
-    none = heads.select(key, F.lit(None).cast("binary").alias("body"))
-    bodies = [c.rows(tables[t], key, [order], record(*fields)) if t in tables else none for t, (fields, order) in ANALYSIS.items()]
-    return c.fingerprints(heads.select(key, head), key, bodies)
+    sections = [c.rows(tables[t], key, [order], record(*fields)) if t in tables else None for t, (fields, order) in ANALYSIS.items()]
+    return c.fingerprints(heads.select(key, head), key, sections)
 
 
 def build_description(units: DataFrame, key: str) -> DataFrame:

@@ -107,17 +107,29 @@ def byte_diversity(df: DataFrame, group: str, genome: str) -> DataFrame:
     return out.select(group, "valid_count", pairs.alias("pair_count"), "mismatches", F.when(pairs > 0, F.col("mismatches") / (pairs * F.col("size"))).otherwise(0.0).alias("diversity"))
 
 
-def pair_diversity(df: DataFrame, group: str, index: str, distance, budget: int, unit_work: int = 1) -> DataFrame:
+def pair_diversity(df: DataFrame, group: str, index: str, distance, budget: int, unit_work: int = 1, tile: int = 512) -> DataFrame:
     """Mean of distance(a, b) over all unordered pairs of a group: for distances that have no other form.
 
-    distance takes the columns' aliases "a" and "b".  The work is quadratic in a
-    group's size by definition: a group whose pairs, times unit_work, pass the
-    budget is refused before any pair is made.
+    distance takes the columns' aliases "a" and "b"; a has the smaller index.
+    The work is quadratic in a group's size by definition: a group whose pairs,
+    times unit_work, pass the budget is refused before any pair is made.
+
+    The pairs of a group are a triangle of tiles.  Its rows fall into blocks of
+    about `tile` rows by hash, blocks lo <= hi make a tile, and a tile is the
+    key of the join: at most tile squared pairs are made in one place, and rows
+    are repeated once for each block of their group.
     """
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
     check_pair_budget(largest, unit_work, budget)
-    a, b = df.alias("a"), df.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{index}") < F.col(f"b.{index}")))
+    blocks = F.ceil(F.col("_n") / tile)
+    rows = df.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_block", F.pmod(F.xxhash64(index), blocks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_other")
+    tiles = rows.select("*", other).withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other")).drop("_other", "_n", "_group")
+    a, b = tiles.alias("a"), tiles.alias("b")
+    same = F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")) & (F.col("a._lo") == F.col("b._lo")) & (F.col("a._hi") == F.col("b._hi"))
+    one_of_each = F.col("a._block") + F.col("b._block") == F.col("a._lo") + F.col("a._hi")
+    pairs = a.join(b, same & one_of_each & (F.col(f"a.{index}") < F.col(f"b.{index}")))
     return pairs.groupBy(F.col(f"a.{group}").alias(group)).agg(F.count(F.lit(1)).alias("pair_count"), F.avg(distance).alias("diversity"))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import total_rank
+
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -34,15 +36,41 @@ def weight_total(n: Column, base: int = 1, step: int = 1) -> Column:
 
 
 def pick_by_ticket(intervals: DataFrame, draws: DataFrame, group: str, ticket: str) -> DataFrame:
-    """The row whose interval holds each draw's ticket, by an equi-join on the group and a range test."""
-    i, d = intervals.alias("i"), draws.alias("d")
-    hit = (F.col(f"i.{group}") == F.col(f"d.{group}")) & (F.col(f"d.{ticket}") >= F.col("i.ticket_from")) & (F.col(f"d.{ticket}") < F.col("i.ticket_to"))
-    return d.join(i, hit).select("d.*", *[F.col(f"i.{c}") for c in intervals.columns if c not in draws.columns])
+    """The row whose interval holds each draw's ticket: draws' columns, then those of the intervals."""
+    return meet_in_buckets(intervals, draws, group, ticket).select(*draws.columns, *[c for c in intervals.columns if c not in draws.columns])
+
+
+#: Intervals of a bucket, about.
+BUCKET = 32
+
+
+def meet_in_buckets(intervals: DataFrame, draws: DataFrame, group: str, ticket: str) -> DataFrame:
+    """draws joined with the interval of their group that holds their ticket, as an equi-join.
+
+    intervals(group, ticket_from, ticket_to, ...) are half-open and disjoint in
+    a group.  Each group's tickets are cut at a width that leaves about BUCKET
+    intervals in a bucket; an interval is repeated for the buckets that it
+    touches, which adds a row for each bucket, and a draw looks in one bucket
+    alone.  A group may be of any size.
+    """
+    clash = [c for c in intervals.columns if c in draws.columns]
+    i = intervals.select(*[F.col(c).alias(f"_i_{c}" if c in clash else c) for c in intervals.columns])
+    key, low, high = (f"_i_{c}" if c in clash else c for c in (group, "ticket_from", "ticket_to"))
+    widths = intervals.groupBy(F.col(group).alias("_wide")).agg(F.ceil((F.max("ticket_to") - F.min("ticket_from")) * BUCKET / F.count(F.lit(1))).alias("_width"))
+    width = F.greatest(F.col("_width"), F.lit(1))
+    i = i.join(widths, F.col(key).eqNullSafe(F.col("_wide"))).where(F.col(low) < F.col(high))
+    first, last = F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width)
+    i = i.select("*", F.explode(F.sequence(first, last)).alias("_cell")).drop("_wide", "_width")
+    d = draws.join(widths, F.col(group).eqNullSafe(F.col("_wide"))).withColumn("_bucket", F.floor(F.col(ticket) / width)).drop("_wide", "_width")
+    same = F.col(group).eqNullSafe(F.col(key)) & (F.col("_bucket") == F.col("_cell"))
+    return d.join(i, same & (F.col(ticket) >= F.col(low)) & (F.col(ticket) < F.col(high))).drop("_bucket", "_cell", *[f"_i_{c}" for c in clash])
 
 
 def valid_ordinals(df: DataFrame, group: str | None, index: str, valid: Column) -> DataFrame:
     """0-based ordinal of each valid row in index order; only valid rows stay."""
-    order = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(index)
+    if group is None:
+        return total_rank(df.where(valid), [F.col(index)], "ordinal")
+    order = Window.partitionBy(group).orderBy(index)
     return df.where(valid).withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.fingerprint import fnv1a, fnv1a_text, text_form
 
+from .ordered import total_rank
+
 PHI64 = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 MUTATIONS = ("add", "remove", "parameterize", "replace", "reorder")
@@ -322,11 +324,10 @@ def catalogue_problems(entries: DataFrame, kinds_mask: int) -> DataFrame:
     masks within kinds_mask, entries sorted and unique, references name other
     entries of the catalogue, and none is both needed and refused.
     """
-    from pyspark.sql import Window
-
     name = F.struct("transformation", "version")
-    before = F.lag(name).over(Window.orderBy("position"))  # a catalogue is one short list
-    rows = entries.withColumn("_before", before).withColumn("_all", F.concat("dependencies", "conflicts"))
+    placed = total_rank(entries, [F.col("position")], "_at")
+    before = placed.select((F.col("_at") + 1).alias("_at"), name.alias("_before"))
+    rows = placed.join(before, "_at", "left").withColumn("_all", F.concat("dependencies", "conflicts"))
     known = entries.select(F.col("transformation").alias("_t"), F.col("version").alias("_v")).distinct()
     wanted = rows.select("position", F.explode("_all").alias("r"))
     lost = wanted.join(known, (F.col("r.transformation") == F.col("_t")) & (F.col("r.version") == F.col("_v")), "left_anti").select("position").distinct().withColumn("_lost", F.lit(True))

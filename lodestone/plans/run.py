@@ -226,9 +226,9 @@ def _next(df: DataFrame, config: Config, state: State, valid: int, problem: Prob
         intervals = ranking.rank_intervals(candidates.select("_g", "population_index", "total"), "_g", "population_index", "total", config.rank_base, config.rank_step)
         bound = valid * config.rank_base + config.rank_step * (valid * (valid - 1) // 2)
         tickets = genetics.parent_tickets(pairs, config.seed, generation, offspring, bound)
-        chosen = genetics.place_tickets(tickets, intervals.select("population_index", "ticket_from"))
+        chosen = genetics.place_tickets(tickets, intervals)
     else:
-        ordinals = ranking.valid_ordinals(candidates, "_g", "population_index", F.lit(True)).select("ordinal", "population_index", "total")
+        ordinals = ranking.valid_ordinals(candidates, None, "population_index", F.lit(True)).select("ordinal", "population_index", "total")
         tickets = genetics.parent_tickets(pairs, config.seed, generation, offspring, valid, config.tournament_size)
         met = tickets.join(ordinals, tickets.ticket == ordinals.ordinal)
         chosen = met.groupBy("pair", "parent").agg(F.max_by("population_index", F.struct(F.col("total"), -F.col("population_index"))).alias("population_index"))

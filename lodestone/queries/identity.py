@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.catalog import query
+from lodestone.functions import canonical
 from lodestone.functions.fingerprint import text_form
 from lodestone.operators import analysis as rules
 from lodestone.operators import identity
@@ -50,6 +51,32 @@ def file_set_fingerprints(spark, sf_dir):
     return identity.file_set(heads, files, "n_nationkey")
 
 
+@query(f"""
+WITH r AS ({_rows("orders", "o_orderstatus", "o_orderkey", concat(number("o_orderkey"), number("o_custkey"), text("o_orderpriority")))})
+SELECT k AS o_orderstatus, {fnv(concat(text("'orders.v1'"), _COUNTED))} AS fingerprint FROM r
+""")
+def table_fingerprints(spark, sf_dir):
+    """Documents of half the orders each: their bytes are summarised by all tasks, wherever they lie."""
+    orders = table(spark, sf_dir, "orders")
+    heads = orders.select("o_orderstatus").distinct().withColumn("head", canonical.text(F.lit("orders.v1")))
+    return canonical.fingerprints(heads, "o_orderstatus", [canonical.rows(orders, "o_orderstatus", ["o_orderkey"], identity.record("o_orderkey:number", "o_custkey:number", "o_orderpriority"))])
+
+
+@query("""
+WITH chunks AS (
+  SELECT c_nationkey, c_custkey, list_transform(range(1, strlen(c_name) + 1), lambda i: CAST(ascii(c_name[i]) AS BIGINT)) AS bytes FROM customer
+), whole AS (
+  SELECT c_nationkey, flatten(list(bytes ORDER BY c_custkey)) AS bytes FROM chunks GROUP BY c_nationkey
+), steps AS (
+  SELECT c_nationkey, len(bytes) AS size, list_prepend(4294967295, flatten(list_transform(bytes, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM whole
+)
+SELECT c_nationkey, size, xor(4294967295, list_reduce(steps, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS crc32 FROM steps
+""")
+def payload_checksums(spark, sf_dir):
+    """CRC-32 of payloads whose chunks lie in many tasks."""
+    return canonical.checksums(table(spark, sf_dir, "customer"), "c_nationkey", ["c_custkey"], F.encode("c_name", "utf-8"))
+
+
 _NONE = number("0")
 
 

@@ -92,7 +92,7 @@ def selection_pairs(spark, sf_dir):
     n = rows.count()
     intervals = rank_intervals(rows, "g", "population_index", "total")
     tickets = genetics.parent_tickets(spark.range((n + 1) // 2), 42, 7, n, n + n * (n - 1) // 2)
-    return genetics.place_tickets(tickets, intervals.select("population_index", "ticket_from")).select("pair", "parent", "ticket", "population_index")
+    return genetics.place_tickets(tickets, intervals).select("pair", "parent", "ticket", "population_index")
 
 
 @query(f"""
