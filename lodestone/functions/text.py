@@ -102,35 +102,35 @@ def double_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: format(v, ".17g"), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def strict_json_problem(values: pd.Series) -> pd.Series:
-    """Null for a strict JSON document; else what is wrong: syntax, duplicate-key or depth (over 64)."""
-    import json
-
-    class Duplicate(ValueError):
-        pass
-
-    def pairs(items):
-        if len({k for k, _ in items}) != len(items):
-            raise Duplicate
-        return dict(items)
-
-    def deep(x, d=0):
-        if d > 64:
-            return True
-        return any(deep(v, d + 1) for v in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()))
-
-    def refuse(name):
-        raise ValueError(name)
-
-    def one(v):
-        if v is None:
-            return "syntax"
-        try:
-            return "depth" if deep(json.loads(v, object_pairs_hook=pairs, parse_constant=refuse)) else None
-        except Duplicate:
-            return "duplicate-key"
-        except (ValueError, RecursionError):
-            return "syntax"
-
-    return values.map(one)
+#: Levels of a strict document: the outermost value is level 0.
+MAX_DEPTH = 64
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_LENIENT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+
+
+def json_depth_over(document: Column, limit: int = MAX_DEPTH) -> Column:
+    """Whether a well-formed document has a value below level `limit`: brackets and what lies between them are all that is read."""
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(document, _STRING, "s"), r"\s+", ""), r"[^\[\]{}]+", "s")
+    start = F.struct(F.lit(0).alias("level"), F.lit(False).alias("over"))
+
+    def step(at, mark):
+        move = F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct((at["level"] + move).alias("level"), (at["over"] | ((move >= 0) & (at["level"] > limit))).alias("over"))
+
+    # No value lies deeper than there are opening brackets: most documents need no second look.
+    opened = F.length(F.regexp_replace(marks, r"[^\[{]", ""))
+    return F.when(opened > limit, F.aggregate(F.split(marks, ""), start, step)["over"]).otherwise(False)
+
+
+def strict_json_problem(document: Column) -> Column:
+    """Null for a strict JSON document; else what is wrong: syntax (a null document and over 1000 levels too),
+    duplicate-key, or depth (a value below level 64).
+
+    Parsers stop after the first value, so the document is read as the one
+    element of an array and as the one member of an object: nothing can follow
+    a value in both.
+    """
+    array, member = F.concat(F.lit("["), document, F.lit("]")), F.concat(F.lit('{"v":'), document, F.lit("}"))
+    formed = (F.size(F.from_json(array, "array<string>", _LENIENT)) == 1) & F.from_json(member, "v string, _corrupt_record string", _LENIENT)["_corrupt_record"].isNull()
+    unique = F.try_parse_json(document).isNotNull()
+    return F.when(~F.coalesce(formed, F.lit(False)), "syntax").when(~unique, "duplicate-key").when(json_depth_over(document), "depth")

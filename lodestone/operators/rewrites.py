@@ -10,14 +10,11 @@ opcode, type, referencedDecl, inner).
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import decimal_literal_value, interstitial_token, is_identifier, shift_of_power
+from lodestone.sources.trees import nodes
 
 # The transformations, the operators of an assignment and the contexts of a condition.
 ASSIGNMENT, CONDITION, SHIFT = "assignment-to-compound", "double-negation-condition", "unsigned-multiply-to-shift"
@@ -189,177 +186,177 @@ def rewrites(requests: DataFrame, limit: int = 4096) -> DataFrame:
     return rows.withColumn("replacement", F.when(F.col("status") == "edit", F.col("replacement"))).drop("_bad")
 
 
-# --- facts of recorded trees
+# --- facts of recorded trees, as joins over node tables
 
 _SIGN_NAMES = {sign: word for word, sign in OPERATORS.items()}
+#: Statements, the place of their condition among their children, and its context.
 _CONDITION_PLACE = {"IfStmt": (0, "if"), "WhileStmt": (0, "while"), "DoStmt": (1, "do-while"), "ForStmt": (2, "for")}
-
-
-class _Refused(ValueError):
-    """The request's status."""
-
-
-def _nodes(tree):
-    stack = [tree]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, dict) and "kind" in x:
-            yield x
-        if isinstance(x, dict):
-            stack.extend(reversed(x.get("inner") or []))
-
-
-def span(node: dict) -> tuple[int, int, bool] | None:
-    """(start, end, whether it comes from a macro) of a node's bytes."""
-    macro, places = False, []
-    for side in ("begin", "end"):
-        at = (node.get("range") or {}).get(side) or {}
-        if "expansionLoc" in at or "spellingLoc" in at:
-            macro, at = True, at.get("expansionLoc") or {}
-        if "offset" not in at or "tokLen" not in at:
-            return None
-        places.append((at["offset"], at["tokLen"]))
-    start, end = places[0][0], sum(places[1])
-    return (start, end, macro) if start < end else None
-
-
-def exact_node(tree: dict, target: tuple[int, int], kind: str, opcode: str | None = None) -> dict:
-    """The one node of a kind (and opcode) that covers exactly the target."""
-    hits = [n for n in _nodes(tree) if n["kind"] == kind and (opcode is None or n.get("opcode") == opcode) and (span(n) or ())[:2] == target]
-    if len(hits) != 1:
-        raise _Refused("ambiguous-target" if hits else "not-applicable")
-    return hits[0]
-
-
-def _reference(root: dict, target: tuple[int, int]) -> dict:
-    """The declaration that the one reference at the target, below root, names."""
-    hits = [n for n in _nodes(root) if n["kind"] == "DeclRefExpr" and span(n) == (*target, False) and isinstance(n.get("referencedDecl"), dict)]
-    if len(hits) != 1:
-        raise _Refused("facts-malformed")
-    found = hits[0]["referencedDecl"]
-    if not all(found.get(k) for k in ("id", "name")) or not _type(found):
-        raise _Refused("facts-malformed")
-    return found
-
-
-def _type(node: dict, member: str = "type") -> str | None:
-    return (node.get(member) or {}).get("qualType")
-
-
-def _obstacles(node: dict) -> dict:
-    said = json.dumps(node)
-    macro = any((span(n) or (0, 0, False))[2] for n in _nodes(node)) or '"expansionLoc"' in said or '"spellingLoc"' in said
-    return {"contains_macro": macro, "volatile": "volatile" in said, "language_extension": "__int128" in said or any(n["kind"] == "StmtExpr" for n in _nodes(node))}
-
-
-_ASSIGN = re.compile(rb"([A-Za-z_]\w*)\s*(?:=\s*([A-Za-z_]\w*)\s*([-+&|^*])|([-+&|^*])=)\s*(.*?)\s*\Z", re.S | re.A)
-_SCALED = re.compile(rb"(\()?([A-Za-z_]\w*)\s*(<<|\*)\s*([0-9]+[uUlL]*)\s*\)?\Z", re.S | re.A)
-
-
-def _assignment_facts(source: bytes, target: tuple[int, int], tree: dict) -> dict:
-    m = _ASSIGN.match(source[target[0] : target[1]])
-    if not m or (m[2] is not None and m[2] != m[1]) or not m[5]:
-        raise _Refused("not-applicable")
-    at = lambda k: (target[0] + m.start(k), target[0] + m.end(k)) if m[k] is not None else None
-    primary, duplicate, operand = at(1), at(2), at(5)
-    sign = (m[3] or m[4]).decode()
-    root = exact_node(tree, target, "BinaryOperator" if duplicate else "CompoundAssignOperator", "=" if duplicate else sign + "=")
-    first = _reference(root, primary)
-    kind = _type(root)
-    if kind is None:
-        raise _Refused("facts-malformed")
-    if duplicate:
-        second = _reference(root, duplicate)
-        right = exact_node(root, (duplicate[0], operand[1]), "BinaryOperator", sign)
-        if first["id"] != second["id"]:
-            raise _Refused("not-applicable")
-        types = [kind, _type(right), _type(second)]
-    else:
-        types = [kind, _type(root, "computeLHSType"), _type(root, "computeResultType")]
-    name = f"decl:{first['id']}"
-    return _obstacles(root) | {
-        "form": "assignment-binary" if duplicate else "assignment-compound", "operator": _SIGN_NAMES[sign], "primary": primary, "duplicate": duplicate, "operand": operand,
-        "primary_declaration": name, "duplicate_declaration": name if duplicate else None, "plain_identifier": True, "type_matches": all(t == _type(first) for t in types),
-    }
-
-
-def _condition_facts(source: bytes, target: tuple[int, int], tree: dict) -> dict:
-    hits = []
-    for n in _nodes(tree):
-        place, context = _CONDITION_PLACE.get(n["kind"], (None, None))
-        inner = n.get("inner") or []
-        if place is not None and place < len(inner) and isinstance(inner[place], dict) and (span(inner[place]) or ())[:2] == target:
-            hits.append((inner[place], context))
-    text = source[target[0] : target[1]]
-    start = target[0] + len(text) - len(text.lstrip())
-    end = start + len(text.strip())
-    double = source[start : start + 2] == b"!!" and start + 2 <= end
-    first = start + 2 + len(source[start + 2 : end]) - len(source[start + 2 : end].lstrip()) if double else start
-    if first >= end:
-        raise _Refused("not-applicable")
-    if len(hits) != 1:
-        raise _Refused("ambiguous-target" if hits else "not-applicable")
-    node, context = hits[0]
-    is_not = lambda n: isinstance(n, dict) and n.get("kind") == "UnaryOperator" and n.get("opcode") == "!"
-    if double and not (is_not(node) and is_not((node.get("inner") or [None])[0])):
-        raise _Refused("not-applicable")
-    return _obstacles(node) | {"form": "double-negated-condition" if double else "scalar-condition", "context": context, "operand": (first, end), "scalar": True}
-
-
-def _shift_facts(source: bytes, target: tuple[int, int], tree: dict) -> dict:
-    m = _SCALED.match(source[target[0] : target[1]])
-    if not m or bool(m[1]) != (m[3] == b"<<") or bool(m[1]) != source[target[0] : target[1]].endswith(b")"):
-        raise _Refused("not-applicable")
-    inner = (target[0] + 1, target[1] - 1) if m[1] else target
-    primary, literal = ((target[0] + m.start(k), target[0] + m.end(k)) for k in (2, 4))
-    root = exact_node(tree, inner, "BinaryOperator", m[3].decode())
-    first = _reference(root, primary)
-    exact_node(root, literal, "IntegerLiteral")
-    kind = _type(root)
-    if kind is None:
-        raise _Refused("facts-malformed")
-    width = UNSIGNED_WIDTHS.get(kind, 0)
-    if not width:
-        raise _Refused("not-applicable")
-    return _obstacles(root) | {
-        "form": "unsigned-shift" if m[1] else "unsigned-multiply", "operator": "shift-left" if m[1] else "multiply", "primary": primary, "literal": literal,
-        "literal_value": int(re.match(rb"[0-9]+", m[4])[0]), "width": width, "unsigned": True, "type_matches": kind == _type(first), "primary_declaration": f"decl:{first['id']}",
-    }
-
-
-_READERS = {ASSIGNMENT: _assignment_facts, CONDITION: _condition_facts, SHIFT: _shift_facts}
-
-
-def facts_of(transformation: str, source: bytes, target: tuple[int, int], tree: str) -> tuple[str, dict]:
-    """('found', facts) of one request, or its status and no facts."""
-    reader = _READERS.get(transformation)
-    if reader is None:
-        return "catalogue-invalid", {}
-    if not 0 <= target[0] < target[1] <= len(source):
-        return "facts-malformed", {}
-    try:
-        found = reader(source, target, json.loads(tree))
-    except _Refused as e:
-        return str(e), {}
-    except (ValueError, RecursionError):
-        return "facts-malformed", {}
-    row = {f: False for f in _FLAGS} | {k: v for k, v in found.items() if k not in _RANGES}
-    for r in _RANGES:
-        row[f"{r}_start"], row[f"{r}_end"] = found.get(r) or (0, 0)
-    return "found", row
+# A group for every piece of a target, white space too, so that the lengths of groups give all offsets.
+_TWICE = r"(?s)\A([A-Za-z_]\w*)(\s*=\s*)([A-Za-z_]\w*)(\s*)([-+&|^*])(\s*)(.*?)\s*\z"
+_COMPOUND = r"(?s)\A([A-Za-z_]\w*)(\s*)([-+&|^*])(=\s*)(.*?)\s*\z"
+_SCALED = r"(?s)\A(\(?)([A-Za-z_]\w*)(\s*)(<<|\*)(\s*)([0-9]+[uUlL]*)\s*(\)?)\z"
+_CONDITION = r"(?s)\A(\s*)(!!)?(\s*)(.*?)\s*\z"
+
+
+def _group(pattern: str, k: int) -> Column:
+    return F.regexp_extract("_said", pattern, k)
+
+
+def _place(pattern: str, k: int) -> Column:
+    """[start, end) of a group in the source, as an array."""
+    start = _c("target_start")
+    for i in range(1, k):
+        start = start + F.length(_group(pattern, i))
+    return F.array(start.cast("long"), (start + F.length(_group(pattern, k))).cast("long"))
+
+
+def _questions(requests: DataFrame) -> DataFrame:
+    """Adds what a request's own bytes say: shape (whether they ask for anything), form, sign, and its parts' places."""
+    fits = _yes((_c("target_start") >= 0) & (_c("target_start") < _c("target_end")) & (_c("target_end") <= F.octet_length("source")))
+    piece = F.substr(F.encode("source", "utf-8"), (_c("target_start") + 1).cast("int"), (_c("target_end") - _c("target_start")).cast("int"))
+    rows = requests.withColumn("_fits", fits).withColumn("_said", F.when(fits, F.decode(piece, "iso-8859-1")).otherwise(""))  # a character for each byte
+    t = _c("transformation")
+    twice, compound, scaled = (_c("_said").rlike(p) for p in (_TWICE, _COMPOUND, _SCALED))
+    opened = _group(_SCALED, 1) == "("
+    by = lambda a, b, c: F.when(t == ASSIGNMENT, a).when(t == CONDITION, b).when(t == SHIFT, c)
+    none = F.lit(None)
+    shape = by(
+        F.when(twice, (_group(_TWICE, 1) == _group(_TWICE, 3)) & (_group(_TWICE, 7) != "")).otherwise(compound & (_group(_COMPOUND, 5) != "")),
+        _group(_CONDITION, 4) != "",
+        scaled & (opened == (_group(_SCALED, 4) == "<<")) & (opened == (_group(_SCALED, 7) == ")")),
+    )
+    sign = by(F.when(twice, _group(_TWICE, 5)).otherwise(_group(_COMPOUND, 3)), none.cast("string"), _group(_SCALED, 4))
+    second = by(F.when(twice, 0).otherwise(1), F.when(_group(_CONDITION, 2) != "", 0).otherwise(1), F.when(opened, 1).otherwise(0))
+    form = F.lit(None).cast("string")
+    for name, pair in FORMS.items():
+        form = F.when(t == name, F.get(F.array(*map(F.lit, pair)), second)).otherwise(form)
+    nowhere = none.cast("array<long>")
+    rows = rows.withColumns({"_shape": _yes(shape), "form": form, "_sign": sign, "_inner": F.when(opened, 1).otherwise(0)})
+    return rows.withColumns({
+        "_primary": by(F.when(twice, _place(_TWICE, 1)).otherwise(_place(_COMPOUND, 1)), nowhere, _place(_SCALED, 2)),
+        "_duplicate": by(F.when(twice, _place(_TWICE, 3)), nowhere, nowhere),
+        "_operand": by(F.when(twice, _place(_TWICE, 7)).otherwise(_place(_COMPOUND, 5)), _place(_CONDITION, 4), nowhere),
+        "_literal": by(nowhere, nowhere, _place(_SCALED, 6)),
+        "literal_value": F.when(t == SHIFT, F.regexp_extract(_group(_SCALED, 6), r"\A[0-9]+", 0)).try_cast("decimal(20,0)"),
+    })
+
+
+def _wanted(rows: DataFrame) -> DataFrame:
+    """A row for each node that a request asks for: _q, slot, place, and the kind and opcode it must have (null: any)."""
+    t, sign = _c("transformation"), _c("_sign")
+    whole = F.array(_c("target_start"), _c("target_end"))
+    inner = F.array(_c("target_start") + _c("_inner"), _c("target_end") - _c("_inner"))
+    text = F.lit(None).cast("string")
+    slot = lambda name, place, kind, opcode: F.struct(F.lit(name).alias("slot"), place.alias("at"), kind.alias("kind"), opcode.alias("opcode"))
+    binary = F.lit("BinaryOperator")
+    twice = _c("form") == FORMS[ASSIGNMENT][0]
+    root = F.when(t == ASSIGNMENT, slot("root", whole, F.when(twice, binary).otherwise("CompoundAssignOperator"), F.when(twice, "=").otherwise(F.concat(sign, F.lit("="))))).when(
+        t == SHIFT, slot("root", inner, binary, sign)
+    )
+    root = F.when(t == CONDITION, slot("root", whole, text, text)).otherwise(root)
+    reference = F.lit("DeclRefExpr")
+    slots = [
+        root, slot("primary", _c("_primary"), reference, text), slot("duplicate", _c("_duplicate"), reference, text),
+        slot("right", F.array(F.get("_duplicate", F.lit(0)), F.get("_operand", F.lit(1))), binary, sign), slot("literal", _c("_literal"), F.lit("IntegerLiteral"), text),
+    ]
+    asked = rows.where(_c("_fits") & _c("_shape")).select("_q", "_unit", "transformation", F.explode(F.array(*slots)).alias("s"))
+    return asked.select("_q", "_unit", "transformation", "s.slot", F.get("s.at", F.lit(0)).alias("_a"), F.get("s.at", F.lit(1)).alias("_b"), F.col("s.kind").alias("_k"), F.col("s.opcode").alias("_o")).where("_a is not null and _b is not null")
+
+
+def _found(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """(_q, and for each slot n_<slot> nodes, the first one in <slot>): nodes at the asked places, parts within the one root."""
+    n = trees.select(F.col("_unit").alias("_u"), F.struct(*[c for c in trees.columns if c != "_unit"]).alias("node"), "start", "end", "kind", "opcode", "place", "parent_kind", "macro", "refers")
+    wanted = _wanted(rows)
+    condition = F.lit(False)
+    for kind, (place, _) in _CONDITION_PLACE.items():
+        condition = condition | ((F.col("parent_kind") == kind) & (F.col("place") == place))
+    reference = F.col("_k") != "DeclRefExpr"
+    fits = (F.col("_k").isNull() | (F.col("kind") == F.col("_k"))) & (F.col("_o").isNull() | (F.col("opcode") == F.col("_o")))
+    fits = fits & ((F.col("transformation") != CONDITION) | _yes(condition)) & (F.coalesce(reference, F.lit(True)) | (~F.col("macro") & F.col("refers")))
+    hits = wanted.join(n, (F.col("_unit") == F.col("_u")) & (F.col("_a") == F.col("start")) & (F.col("_b") == F.col("end"))).where(fits).select("_q", "slot", "node")
+    root = hits.where("slot = 'root'").groupBy(F.col("_q").alias("_r")).agg(F.count(F.lit(1)).alias("n_root"), F.min_by("node", "node.pre").alias("root"))
+    parts = hits.where("slot <> 'root'").join(root, F.col("_q") == F.col("_r")).where((F.col("node.pre") >= F.col("root.pre")) & (F.col("node.pre") <= F.col("root.last")))
+    every = [x for s in ("primary", "duplicate", "right", "literal") for x in (F.count_if(F.col("slot") == s).alias(f"n_{s}"), F.min_by("node", F.when(F.col("slot") == s, F.col("node.pre"))).alias(s))]
+    return root.join(parts.groupBy("_q").agg(*every), F.col("_r") == F.col("_q"), "left").drop("_q")
 
 
 def tree_facts(requests: DataFrame) -> DataFrame:
     """Adds facts_status ('found' or why not) and the columns of FACTS to requests(source, transformation, target_start,
-    target_end, tree, ...); the tree, whose size its file bounds, goes."""
-    kept = [c for c in requests.columns if c != "tree"]
-    types = dict(requests.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in kept) + f", facts_status string, {FACTS}"
+    target_end, tree, ...); the tree goes.
 
-    def run(parts):
-        for part in parts:
-            out = [facts_of(t, s.encode(), (int(a), int(b)), tree) for t, s, a, b, tree in zip(part["transformation"], part["source"], part["target_start"], part["target_end"], part["tree"])]
-            facts = pd.DataFrame([{k: row.get(k) for k in _FACT_NAMES} for _, row in out], columns=_FACT_NAMES, index=part.index, dtype=object)
-            yield pd.concat([part[kept], pd.Series([s for s, _ in out], index=part.index, name="facts_status"), facts], axis=1)
-
-    return requests.mapInPandas(run, schema)
+    Equal trees are read once, into a node table (sources.trees); nodes at the
+    places that a request's bytes name are found by an equi-join on unit and
+    place, and those below the request's root by their intervals.
+    """
+    kept = [c for c in requests.columns if c != "tree"]
+    keyed = requests.withColumn("_unit", F.sha2(F.coalesce("tree", F.lit("")), 256))
+    keyed = keyed.withColumn("_q", F.sha2(F.concat_ws("|", "_unit", F.sha2("source", 256), "transformation", "target_start", "target_end"), 256))
+    trees = nodes(keyed.select("_unit", F.coalesce("tree", F.lit("")).alias("tree")).dropDuplicates(["_unit"]), "_unit", "tree")
+    rows = _questions(keyed.drop("tree"))
+    asked = rows.dropDuplicates(["_q"])
+    broken = trees.where("pre = -1").select(F.col("_unit").alias("_broken"))
+    rows = rows.join(_found(asked, trees), F.col("_q") == F.col("_r"), "left").join(broken, F.col("_unit") == F.col("_broken"), "left")
+    t, double = _c("transformation"), _c("form") == FORMS[CONDITION][0]
+    twice = _c("form") == FORMS[ASSIGNMENT][0]
+    one = lambda slot: F.coalesce(F.col(f"n_{slot}"), F.lit(0)) == 1
+    many = lambda slot: F.coalesce(F.col(f"n_{slot}"), F.lit(0)) > 1
+    named = lambda slot: one(slot) & _yes((F.length(f"{slot}.ref_id") > 0) & (F.length(f"{slot}.ref_name") > 0) & (F.length(f"{slot}.ref_type") > 0))
+    typed = F.col("root.type").isNotNull()
+    negated = _yes((F.col("root.kind") == "UnaryOperator") & (F.col("root.opcode") == "!") & (F.col("root.first_kind") == "UnaryOperator") & (F.col("root.first_opcode") == "!"))
+    width = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in UNSIGNED_WIDTHS.items() for x in pair]), F.col("root.type")), F.lit(0))
+    own = (
+        F.when((t == ASSIGNMENT) & ~named("primary"), "facts-malformed")
+        .when((t == ASSIGNMENT) & ~typed, "facts-malformed")
+        .when((t == ASSIGNMENT) & twice & ~named("duplicate"), "facts-malformed")
+        .when((t == ASSIGNMENT) & twice & many("right"), "ambiguous-target")
+        .when((t == ASSIGNMENT) & twice & ~one("right"), "not-applicable")
+        .when((t == ASSIGNMENT) & twice & (F.col("primary.ref_id") != F.col("duplicate.ref_id")), "not-applicable")
+        .when((t == CONDITION) & double & ~negated, "not-applicable")
+        .when((t == SHIFT) & ~named("primary"), "facts-malformed")
+        .when((t == SHIFT) & many("literal"), "ambiguous-target")
+        .when((t == SHIFT) & ~one("literal"), "not-applicable")
+        .when((t == SHIFT) & ~typed, "facts-malformed")
+        .when((t == SHIFT) & (width == 0), "not-applicable")
+        .otherwise("found")
+    )
+    status = (
+        F.when(~_yes(t.isin(*FORMS)), "catalogue-invalid")
+        .when(~_c("_fits") | F.col("_broken").isNotNull(), "facts-malformed")
+        .when(~_c("_shape"), "not-applicable")
+        .when(many("root"), "ambiguous-target")
+        .when(~one("root"), "not-applicable")
+        .otherwise(own)
+    )
+    context = F.lit(None).cast("string")
+    for kind, (_, word) in _CONDITION_PLACE.items():
+        context = F.when(F.col("root.parent_kind") == kind, word).otherwise(context)
+    words = F.create_map(*[F.lit(x) for pair in _SIGN_NAMES.items() for x in pair])
+    same_types = lambda *columns: F.forall(F.array(*columns), lambda c: _yes(c == F.col("primary.ref_type")))
+    declared = lambda slot: F.concat(F.lit("decl:"), F.col(f"{slot}.ref_id"))
+    facts = {
+        "form": _c("form"),
+        "operator": F.when(t == ASSIGNMENT, F.try_element_at(words, _c("_sign"))).when(t == SHIFT, F.when(_c("_sign") == "<<", "shift-left").otherwise("multiply")),
+        "context": F.when(t == CONDITION, context),
+        "literal_value": _c("literal_value"),
+        "width": F.when(t == SHIFT, width.cast("long")),
+        "primary_declaration": F.when(t != CONDITION, declared("primary")),
+        "duplicate_declaration": F.when(twice, declared("primary")),
+        "contains_macro": F.col("root.has_macro"),
+        "volatile": F.col("root.has_volatile"),
+        "language_extension": F.col("root.has_extension"),
+        "plain_identifier": t == ASSIGNMENT,
+        "type_matches": F.when((t == ASSIGNMENT) & twice, same_types(F.col("root.type"), F.col("right.type"), F.col("duplicate.ref_type")))
+        .when(t == ASSIGNMENT, same_types(F.col("root.type"), F.col("root.left_type"), F.col("root.result_type")))
+        .when(t == SHIFT, same_types(F.col("root.type"))),
+        "unsigned": t == SHIFT,
+        "scalar": t == CONDITION,
+    }
+    for part in _RANGES:
+        for k, side in enumerate(("start", "end")):
+            facts[f"{part}_{side}"] = F.coalesce(F.get(f"_{part}", F.lit(k)), F.lit(0).cast("long"))
+    kinds = {c.split()[0]: c.split()[1] for c in FACTS.split(", ")}
+    blank = lambda name: F.lit(False) if kinds[name] == "boolean" else F.lit(None)
+    value = lambda name: F.coalesce(facts.get(name, blank(name)), blank(name)) if kinds[name] == "boolean" else facts[name]
+    out = rows.withColumn("facts_status", status)
+    found = F.col("facts_status") == "found"
+    return out.select(*kept, "facts_status", *[F.when(found, value(name)).cast(kinds[name]).alias(name) for name in _FACT_NAMES])

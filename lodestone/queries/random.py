@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from lodestone.operators import genetics
 from lodestone.plans import run as plan
 
 from . import _sql
-from ._tables import table
+from ._tables import scratch, table
 
 _P = "18446744073709551616::UHUGEINT"
 _MIX = f"""
@@ -205,12 +203,6 @@ _ONEMAX = ", ".join(f"({g}, {b}.0, {b}.0, {d})" for g, (b, d) in enumerate(zip(_
 def onemax_run(spark, sf_dir):
     """Bit-count search over 12 generations of 32 genomes: one row per generation."""
     config = plan.Config(32, 16, 12, 0, elite_count=2, adaptive=True, adaptive_min=0.1, adaptive_max=0.8, adaptive_step=0.1, adaptive_threshold=0.35, adaptive_reset=True)
-    state = plan.run(spark, plan.Problem(fitness=plan.popcount("genome", 16)), config, run_folder(spark))
+    state = plan.run(spark, plan.Problem(fitness=plan.popcount("genome", 16)), config, scratch(spark))
     rows = [(h["generation"], float(h["generation_best"]), float(h["global_best"]), round(h["diversity"] * 1e6)) for h in state.history]
     return spark.createDataFrame(rows, "generation long, generation_best double, global_best double, diversity_millionths long")
-
-
-def run_folder(spark) -> str:
-    """A new folder for a run: below spark.checkpoint.dir, or (unset) in the session's warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    return f"{base.rstrip('/')}/lodestone-run-{uuid.uuid4().hex}"

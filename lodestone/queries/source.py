@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.catalog import query
 from lodestone.functions import text
 from lodestone.operators import edits, recipes
+from lodestone.sources import project, trees
 
-from ._tables import table
+from ._sql import ascii_bytes, fnv
+from ._tables import scratch, table
 
 
 @query("""
@@ -50,7 +52,7 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, len(lis
 """)
 def strict_json(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "props", F.get_json_object("props", "$.k").alias("k"))
-    return rows.select("event_id", text.strict_long(F.col("k")).alias("k"), text.only_keys(F.col("props"), ["k"]).alias("closed"), text.strict_json_problem("props").isNull().alias("strict"))
+    return rows.select("event_id", text.strict_long(F.col("k")).alias("k"), text.only_keys(F.col("props"), ["k"]).alias("closed"), text.strict_json_problem(F.col("props")).isNull().alias("strict"))
 
 
 @query("""
@@ -123,3 +125,66 @@ def applied_edits(spark, sf_dir):
     cut = lambda start: F.struct(F.lit(start).alias("start"), F.lit(start + 4).alias("end"), F.substring("content", start + 1, 4).alias("before"), F.encode(F.lit("<edit>"), "utf-8").alias("after"), F.lit(f"e{start}").alias("identity"))
     todo = d.where(F.octet_length("content") >= 12).select("path", F.explode(F.array(cut(8), cut(0))).alias("e")).select("path", "e.*")
     return edits.apply_edits(d, todo).select("path", "status", "edit_count", "before_size", "after_size", F.md5(F.hex("content")).alias("content_md5"))
+
+
+# --- trees
+
+
+def _node(kind: str, start: str, end: str, more: str = "") -> str:
+    return f'{{"kind":"{kind}","range":{{"begin":{{"offset":{start},"tokLen":1}},"end":{{"offset":{end},"tokLen":1}}}}{more}}}'
+
+
+def _unit_trees(spark, sf_dir):
+    """A unit for each nation: suppliers are functions, static where their number is even, defined where it is no multiple
+    of 3, each with a sum of its number's place; suppliers of a multiple of 10 come twice."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_suppkey")
+    at = '"loc":{"file":"@NATION@.c","line":@LINE@,"col":1}'
+    function = '{"kind":"FunctionDecl","name":"f@LINE@",' + at + '@STATIC@,"inner":[' + _node("ParmVarDecl", "0", "0") + '@BODY@]}'
+    body = ',{"kind":"CompoundStmt","inner":[' + _node("BinaryOperator", "@LINE@0", "@LINE@5", ',"opcode":"+"') + "]}"
+    text_ = F.lit(function)
+    for mark, value in (("@STATIC@", F.when(n % 2 == 0, ',"storageClass":"static"').otherwise("")), ("@BODY@", F.when(n % 3 != 0, body).otherwise("")), ("@NATION@", F.col("s_nationkey").cast("string")), ("@LINE@", k)):
+        text_ = F.replace(text_, F.lit(mark), value)
+    functions = table(spark, sf_dir, "supplier").select("s_nationkey", n, F.when(n % 10 == 0, F.concat(text_, F.lit(","), text_)).otherwise(text_).alias("f"))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "f"))), lambda x: x["f"]), ",")
+    return functions.groupBy("s_nationkey").agg(F.concat(F.lit('{"kind":"TranslationUnitDecl","inner":['), inner, F.lit("]}")).alias("tree"))
+
+
+@query("""
+SELECT CAST(s_nationkey AS BIGINT) AS unit, 'f' || s_suppkey AS name, CAST(s_suppkey AS BIGINT) AS line, CASE WHEN s_suppkey % 2 = 0 THEN 'internal' ELSE 'external' END AS linkage, s_suppkey % 3 <> 0 AS definition FROM supplier
+""")
+def function_rows(spark, sf_dir):
+    """Declarations and definitions from node tables: a body is a node within a function's interval."""
+    found = project.function_declarations(_unit_trees(spark, sf_dir), "s_nationkey", "tree")
+    return found.select(F.col("unit").cast("long").alias("unit"), "name", "line", "linkage", "definition")
+
+
+@query("""
+SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 THEN 'not-applicable' WHEN s_suppkey % 10 = 0 THEN 'ambiguous-target' ELSE 'found' END AS status FROM supplier
+""")
+def exact_nodes(spark, sf_dir):
+    """Sums at exact places of the units; every seventh asks for a product."""
+    n = F.col("s_suppkey").cast("long")
+    asked = table(spark, sf_dir, "supplier").select("s_nationkey", n.alias("s_suppkey"), (n * 10).alias("target_start"), (n * 10 + 6).alias("target_end"), F.lit("BinaryOperator").alias("kind"), F.when(n % 7 == 0, "*").otherwise("+").alias("opcode"))
+    return trees.exact_nodes(asked, trees.nodes(_unit_trees(spark, sf_dir), "s_nationkey", "tree"), "s_nationkey").select("s_suppkey", "status")
+
+
+@query("""
+WITH s AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN 4 ELSE 2 END * CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END AS n FROM supplier)
+SELECT CAST(s_nationkey AS BIGINT) AS unit, CAST(1 + sum(n) AS BIGINT) AS n_nodes, CAST(sum(n) AS BIGINT) AS last, CAST(max(CASE WHEN s_suppkey % 3 <> 0 THEN 3 ELSE 2 END) AS BIGINT) AS depth FROM s GROUP BY s_nationkey
+""")
+def tree_intervals(spark, sf_dir):
+    rows = trees.nodes(_unit_trees(spark, sf_dir), "s_nationkey", "tree")
+    return rows.groupBy(F.col("s_nationkey").cast("long").alias("unit")).agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.when(F.col("pre") == 0, F.col("last"))).alias("last"), F.max("depth").alias("depth"))
+
+
+@query(f"""
+WITH r AS (SELECT c_nationkey, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY c_nationkey)
+SELECT 'nation=' || c_nationkey AS folder, size, {fnv(ascii_bytes("body"))} AS content_fingerprint FROM r
+""")
+def source_tree_files(spark, sf_dir):
+    """Customers written as a tree of text files, a folder for each nation, and read back as a source tree."""
+    at = scratch(spark)
+    names = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name").repartition("nation").sortWithinPartitions("nation", "c_custkey")
+    names.select("nation", "c_name").write.partitionBy("nation").text(at)
+    rows = project.source_tree(spark, at, 1 << 30).where(F.col("path").endswith(".txt"))
+    return rows.select(F.regexp_extract("path", r"\A[^/]*", 0).alias("folder"), "size", "content_fingerprint")

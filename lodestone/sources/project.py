@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.fingerprint import fnv1a_text
-from lodestone.functions.text import join_path, normalize_path, only_keys, relative_path_valid
+from lodestone.functions.text import join_path, normalize_path, only_keys, relative_path_valid, strict_json_problem
+
+from . import tree, trees
 
 # The closed keys of a compilation record.
 COMMAND_KEYS = ["directory", "file", "output", "arguments", "command"]
@@ -42,8 +41,6 @@ def parse_manifests(df: DataFrame, text: str, schema: str) -> DataFrame:
     Rules: strict JSON, the stated schema, closed keys at every level, sorted
     arrays without repeats, valid relative roots, budgets above 0.
     """
-    from lodestone.functions.text import strict_json_problem
-
     raw = F.col(text)
     m = F.from_json(raw, _MANIFEST)
     rows = df.withColumn("_syntax", strict_json_problem(raw)).withColumn("manifest", m)
@@ -92,45 +89,18 @@ def compilation_units(df: DataFrame, text: str, files: DataFrame | None = None,
     return out.orderBy("file", "directory", F.col("output").asc_nulls_first(), "form", "command", F.size("arguments"), "arguments")
 
 
-def source_tree(spark: SparkSession, root: str, max_file_bytes: int) -> DataFrame:
-    """path (relative to root), size, content_fingerprint and content of every file below root, in path order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/") + "/"
-    path = F.regexp_replace("path", r"\Afile:/+", "/")
-    rows = files.select(F.substr(path, F.lit(len(base) + 1)).alias("path"), F.col("length").alias("size"), "content")
-    fine = F.assert_true(F.col("size") <= max_file_bytes, F.concat(F.lit("over the file budget: "), F.col("path")))
-    return rows.where(fine.isNull()).withColumn("content_fingerprint", fnv1a_text("content")).orderBy("path")
-
+def source_tree(spark: SparkSession, root: str, max_file_bytes: int, roots: list[str] | None = None, **budgets: int) -> DataFrame:
+    """path (relative to root), size, content_fingerprint and content of every file below the permitted roots, in path order.
 
-def function_declarations(df: DataFrame, unit: str, tree: str) -> DataFrame:
-    """Walks recorded syntax trees (JSON) at any depth: a row for every function declaration.
-
-    unit, name, file, line, column, linkage ('internal' for static), definition (a body descends from it).
+    Budgets (see sources.tree) are met before any file is opened.
     """
+    rows = tree.read_tree(spark, root, roots, max_file_bytes=max_file_bytes, **budgets)
+    return rows.select("path", "size", "content", fnv1a_text("content").alias("content_fingerprint")).orderBy("path")
 
-    def body(x):
-        return any(isinstance(c, dict) and (c.get("kind") == "CompoundStmt" or body(c)) for c in x.get("inner", ()))
-
-    def walk(x, out):
-        stack = [x]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, dict):
-                if x.get("kind") == "FunctionDecl":
-                    at = x.get("loc", {})
-                    out.append((x.get("name"), at.get("file"), at.get("line"), at.get("col"), "internal" if x.get("storageClass") == "static" else "external", body(x)))
-                stack.extend(reversed(x.get("inner", ())))
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for u, t in zip(part[unit], part[tree]):
-                found: list[tuple] = []
-                walk(json.loads(t), found)
-                rows += [(u, *f) for f in found]
-            yield pd.DataFrame(rows, columns=["unit", "name", "file", "line", "column", "linkage", "definition"]).astype({"line": "Int64", "column": "Int64"})
-
-    return df.select(unit, tree).mapInPandas(run, "unit string, name string, file string, line long, column long, linkage string, definition boolean").dropDuplicates(["unit", "name", "file", "line", "column"])
+
+def function_declarations(df: DataFrame, unit: str, tree: str) -> DataFrame:
+    """A row for every function declaration of recorded syntax trees (JSON), at any depth: see trees.function_declarations."""
+    return trees.function_declarations(trees.nodes(df, unit, tree), unit)
 
 
 # Flags that a unit's analysis keeps, those it can do without, and prefixes that it refuses.
