@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -22,9 +22,9 @@ WINDOW, EMBED = 192, 6
 WIDTHS = {2: 8, 3: 8, 5: 12}
 WIDEST = max(WIDTHS)
 FILTERS = sum(WIDTHS.values())
-#: Learnt from at most so many documents of each language, by hash order, so many windows of each document (spread
-#: evenly over it), and about so many windows in all (with many languages each gets fewer documents, but at least 20).
-SAMPLE, SAMPLE_WINDOWS, SAMPLE_TOTAL = 400, 6, 100_000
+#: Learnt from at most so many documents of each language, by hash order, and of all their windows from so many of each
+#: language, each text's in turn, and so many in all; with more languages than LANGUAGES, from the most frequent ones.
+SAMPLE, SAMPLE_WINDOWS, SAMPLE_TOTAL, LANGUAGES = 400, 2400, 100_000, 2000
 EPOCHS, BATCH, RATE = 8, 128, 0.004
 UNKNOWN = "und"
 
@@ -129,33 +129,41 @@ class Network:
 
 
 @lean
-def _sample_windows(batches):
-    schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
+def _all_windows(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("window", pa.binary())])
     for batch in batches:
-        data, off = B.column_bytes(batch.column(1))
-        langs = batch.column(0).to_pylist()
+        data, off = B.column_bytes(batch.column(2))
+        ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i in range(batch.num_rows):
             w, _ = windows(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
-            if len(w):
-                pick = np.unique(np.linspace(0, len(w) - 1, SAMPLE_WINDOWS).astype(int))
-                yield pa.RecordBatch.from_arrays([pa.array([langs[i]] * len(pick)), pa.array([w[k].tobytes() for k in pick], pa.binary())], schema=schema)
+            for k in range(0, len(w), 4096):
+                part = w[k : k + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(part), pa.int64()), pa.array([langs[i]] * len(part), pa.string()), pa.array([x.tobytes() for x in part], pa.binary())], schema=schema)
 
 
 def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> Network:
-    """Train on at most `sample` documents of each value of lang; all values are told apart."""
+    """Train on a sample (see above) of at most `sample` documents of each value of lang; all values learnt are told apart."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("chosen"), F.col("lang").cast("string").alias("tongue")).where("tongue is not null and chosen is not null")
     if learn is not None:
         rows = rows.where(learn)
-    languages = sorted(r["tongue"] for r in rows.select("tongue").distinct().collect())  # the network's outputs
+    most = rows.groupBy("tongue").count().orderBy(F.desc("count"), "tongue").limit(LANGUAGES).select("tongue")
+    languages = sorted(r["tongue"] for r in most.collect())  # the network's outputs
     net = Network(languages)
     if len(languages) < 2:
         return net
-    each = max(20, min(sample, SAMPLE_TOTAL // (SAMPLE_WINDOWS * len(languages))))
-    few = sample_of_each(rows.distinct(), "tongue", "chosen", each)
+    rows = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in languages], "tongue string")), "tongue")
+    few = sample_of_each(rows.select("chosen", "tongue").distinct(), "tongue", "chosen", max(1, min(sample, SAMPLE_TOTAL // len(languages))))
     picked = texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(few), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("tongue")))
     # One text for each id and language, however often the id repeats.
     picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    got = picked.select("lang", "text").mapInArrow(_sample_windows, "lang string, window binary").toArrow()
+    seen = picked.select("doc_id", "lang", "text").mapInArrow(_all_windows, "doc_id long, lang string, window binary").distinct()
+    # Every text gives one window before any gives a second one: long texts do not crowd out short ones.
+    n = max(1, min(SAMPLE_WINDOWS, SAMPLE_TOTAL // len(languages)))
+    turn = Window.partitionBy("doc_id", "lang").orderBy(F.xxhash64("window"), "window")
+    seen = seen.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", F.xxhash64("window"), "window"))
+    got = seen.withColumn("place", place).where(F.col("place") <= n).select("lang", "window").toArrow()
     pairs = sorted(set(zip(got["lang"].to_pylist(), got["window"].to_pylist())))
     if pairs:
         number = {lang: k for k, lang in enumerate(languages)}
