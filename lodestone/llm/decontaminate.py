@@ -127,6 +127,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows without text or words contain nothing and stay; so do rows that repeat,
     each for itself, unless they contain an item.  Without items all rows stay.
+    Rows without doc_id are judged like the others.  Extra columns may have any
+    names.
     """
-    gone = settle(_contained(docs, benchmark).select(F.col("key").alias("_gone")).distinct())
-    return docs.join(gone, _key() == F.col("_gone"), "left_anti")
+    gone = settle(_contained(docs, benchmark).select("doc_id", "key").distinct().toDF("_gone_id", "_gone"))
+    same = F.col("doc_id").cast("long").eqNullSafe(gone["_gone_id"]) & (_key() == gone["_gone"])
+    return docs.join(gone, same, "left_anti")

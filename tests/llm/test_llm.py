@@ -705,3 +705,29 @@ def test_stages_survive_odd_rows(spark, tmp_path):
         if name != "packing":
             assert out.columns == df.columns and out.count() <= len(rows), name
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_clean_with_clashing_columns_and_null_ids(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"before {item} after"), (1, "nothing of it"), (None, item), (None, "free"), (2, None), (3, "")]
+    df = frame(spark, rows)
+    for c in ("_gone", "_gone_id", "key", "item_id", "item_key", "shingle", "grams", "words", "_met", "_d", "_k", "_i", "_t", "n_item", "size", "n_shared"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = decontaminate.clean(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert got.columns == df.columns and {r["_gone"] for r in got.collect()} == {"mine"}
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "nothing of it"), (None, "free"), (2, None), (3, "")], key=str)
+
+
+def test_language_learns_from_whole_texts(spark):
+    """The one Danish passage lies far behind the first windows of a long text; ties of languages go to the first by name."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("the of and with which house water".split()) for _ in range(600)), "en") for k in range(30)]
+    danish = " ".join(rng.choice("og det ikke være på også blev når".split()) for _ in range(9000))
+    rows += [(100 + k, "0 " * 2000 + danish, "da") for k in range(2)] + [(200, danish[:300], None), (201, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(df)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, net).collect()}
+    assert got[200] == "da" and got[201] == "en"
+    both = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a")], "doc_id long, text string, lang string")
+    tied = {r["lang_pred"] for r in language.identify(both, language.Network(["a", "b"])).collect()}
+    assert len(tied) == 1
