@@ -125,9 +125,10 @@ def partials(sections: list[DataFrame | None], key: str) -> DataFrame:
     return out.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("section", "part", "records", "size", "raw", "table"))).alias("_parts"))
 
 
-def fingerprints(heads: DataFrame, key: str, sections: list[DataFrame | None], tail: str | None = None) -> DataFrame:
+def fingerprints(heads: DataFrame, key: str, sections: list[DataFrame | None], tail: str | None = None, uncounted: tuple[int, ...] = ()) -> DataFrame:
     """(key, fingerprint) of documents: heads(key, head[, tail]), and between head and tail the sections of rows(), each
-    one's records in order after their count.  A section that is None or has no records of a document counts none.
+    one's records in order after their count (but for the sections numbered in `uncounted`).  A section that is None or
+    has no records of a document counts none.
 
     Documents are of any size: see `partials`.
     """
@@ -146,7 +147,8 @@ def fingerprints(heads: DataFrame, key: str, sections: list[DataFrame | None], t
             found = [] if found is None else found
             for section in range(n):
                 mine = [p for p in found if p["section"] == section]
-                state = fnv1a_number(sum(p["records"] for p in mine), state)
+                if section not in uncounted:
+                    state = fnv1a_number(sum(p["records"] for p in mine), state)
                 for p in mine:
                     if p["raw"] is not None:
                         state = fnv1a(bytes(p["raw"]), state)

@@ -173,10 +173,36 @@ def build(tables: dict[str, DataFrame], files: DataFrame, units: DataFrame, work
     ordered = {name: df.orderBy("identity") for name, df in tables.items()}
     missed = t["optimizations"].where("disposition = 'missed'").select("location")
     ordered["opportunities"] = opportunities(missed, t["runtime_records"], "location", "value").orderBy("rank")
-    ordered["translation_units"] = units.select("file").distinct().orderBy("file")
+    ordered["translation_units"] = translation_units(units)
     return Model(ordered, problems)
 
 
+def translation_units(units: DataFrame, max_units: int | None = None, max_path_bytes: int | None = None) -> DataFrame:
+    """The distinct units(file) in order; raises where there are none, or one of the budgets, if given, is passed."""
+    out = units.select("file").distinct()
+    if max_units is not None or max_path_bytes is not None:
+        found = out.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("file")).alias("longest")).first()
+        if found["n"] == 0:
+            raise ValueError("there are no translation units")
+        if max_units is not None and found["n"] > max_units:
+            raise ValueError(f"{found['n']} translation units are over the limit")
+        if max_path_bytes is not None and found["longest"] > max_path_bytes:
+            raise ValueError("the path of a translation unit is over the limit")
+    return out.orderBy("file")
+
+
+def published(heads: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """The public view of analyses: their heads, how many rows each table has for them, and that the view is whole.
+
+    One pass over all tables: rows are counted by (key, table) and turned into columns n_<table>.
+    """
+    names = sorted(tables)
+    rows = reduce(DataFrame.unionByName, [tables[t].select(key, F.lit(t).alias("_table")) for t in names])
+    counted = rows.groupBy(F.col(key).alias("_key")).agg(*[F.count_if(F.col("_table") == t).alias(f"n_{t}") for t in names])
+    out = heads.join(counted, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return out.withColumns({f"n_{t}": F.coalesce(f"n_{t}", F.lit(0)).cast("long") for t in names}).withColumn("projection_complete", F.lit(True)).withColumn("probabilistic_authority", F.lit(False))
+
+
 def is_current(stated: DataFrame, computed: DataFrame, key: str) -> DataFrame:
     """(key, current): whether the stated fingerprint of each document is the one computed now; a missing one is not."""
     both = stated.select(key, F.col("fingerprint").alias("_stated")).join(computed.select(key, F.col("fingerprint").alias("_now")), key, "full_outer")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import canonical as c
 from lodestone.functions.fingerprint import fnv1a_text
 
+# What TAGS, the field lists and their order below must be for fingerprints to be the published ones.
 TAGS = {
     "baseline": "project-baseline.v1", "analysis": "project-analysis.v1", "build": "project-build-description.v1", "selector": "project-search-selector-v1",
-    "condition": "project-measurement-condition-v1", "policy": "project-measurement-policy-v1", "measurement": "project-measurement-result-v1", "assurance": "project-assurance-result-v1",
+    "candidate": "project-candidate.v1", "condition": "project-measurement-condition-v1", "policy": "project-measurement-policy-v1", "measurement": "project-measurement-result-v1", "assurance": "project-assurance-result-v1",
 }
 CONDITION = ("baseline_identity", "candidate_fingerprint", "hardware", "operating_system", "compiler", "linker", "flags", "environment", "dataset", "baseline_binary", "candidate_binary")
 WEIGHTS = ("correctness", "performance", "memory_use", "reliability", "maintainability", "constraint_penalty")
@@ -63,6 +64,15 @@ def analysis(heads: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFr
     return c.fingerprints(heads.select(key, head), key, sections)
 
 
+def candidate(heads: DataFrame, files: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """heads(key, baseline_fingerprint, recipe_fingerprint), files(key, path, size, mode, content_fingerprint long): every
+    file of the candidate, edited or not, in path order; patches(key, path, patch): the changed files', as bare bytes."""
+    body = c.rows(files, key, ["path"], record("path", "size:number", "mode:number", "content_fingerprint:number"))
+    patched = c.rows(patches, key, ["path"], F.encode("patch", "utf-8"))
+    head = F.concat(_tag("candidate"), record("baseline_fingerprint", "recipe_fingerprint")).alias("head")
+    return c.fingerprints(heads.select(key, head), key, [body, patched], uncounted=(1,))
+
+
 def build_description(units: DataFrame, key: str) -> DataFrame:
     """units(key, position, file, directory, output, form 'arguments' or 'command', arguments, command), in canonical position."""
     form = F.when(F.col("form") == "arguments", 1).otherwise(2)

@@ -61,6 +61,17 @@ def completed_problems(df: DataFrame, generation: str, stated: DataFrame) -> Dat
     return rows.select(generation, problem.alias("problem")).where("problem is not null")
 
 
+def statistics_differences(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """(key, fields): the fields in which two records of the same generation's statistics differ, nulls being equal and
+    numbers equal only to the last bit; a record without its counterpart differs in all.  Records that agree are left out."""
+    names = [c for c in one.columns if c != key]
+    right = two.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in names], F.lit(True).alias("_right"))
+    both = one.withColumn("_left", F.lit(True)).join(right, F.col(key).eqNullSafe(F.col("_key")), "full_outer")
+    alone = F.col("_left").isNull() | F.col("_right").isNull()
+    fields = F.filter(F.array(*[F.when(alone | ~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in names]), lambda x: x.isNotNull())
+    return both.select(F.coalesce(key, "_key").alias(key), fields.alias("fields")).where(F.size("fields") > 0)
+
+
 def ordered_sum(index: str, value: str, where: Column | None = None) -> Column:
     """Sum of doubles in index order: the same bits whatever the partitioning.
 

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.random import CROSSOVER, MUTATION, Streams, filled_rows
@@ -160,20 +160,26 @@ def _initialized(df: DataFrame, problem: Problem) -> DataFrame:
     return df.mapInPandas(run, "population_index long, genome binary, _events string")
 
 
-def _statistics(df: DataFrame, problem: Problem, config: Config) -> dict:
-    """One job each: counts, best row and whether any total is not finite; byte diversity of the valid rows."""
-    keyed = df.withColumn("_g", F.lit(0))
+def _metrics() -> list[Column]:
+    """Aggregates over a generation's rows: n, valid, b (the best row) and finite."""
     best = F.max_by(F.struct("total", "population_index", "genome"), F.when(F.col("valid"), F.struct(F.col("total"), -F.col("population_index"))))
-    row = keyed.agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid"), best.alias("b"), F.bool_and(~F.col("valid") | ranking.finite(F.col("total"))).alias("finite")).first()
-    if not row["finite"]:
+    finite = F.bool_and(~F.col("valid") | ranking.finite(F.col("total")))
+    return [F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid"), best.alias("b"), finite.alias("finite")]
+
+
+def _statistics(df: DataFrame, problem: Problem, config: Config, seen: dict | None = None) -> dict:
+    """Counts, best row, and diversity of the valid rows; `seen` has what was observed while the rows were written."""
+    if seen is None:
+        seen = df.agg(*_metrics()).first().asDict()
+    if not seen["finite"]:
         raise ArithmeticError("a valid row's fitness is not finite")
-    valid = keyed.where("valid")
+    valid = df.where("valid").withColumn("_g", F.lit(0))
     if problem.distance is None:
         diversity = population.byte_diversity(valid, "_g", "genome").select("diversity").collect()
     else:
         budget = config.diversity_budget if config.diversity_budget is not None else 1 << 24
         diversity = population.pair_diversity(valid, "_g", "population_index", problem.distance("a", "b"), budget).select("diversity").collect()
-    return {"population": row["n"], "valid": row["valid"], "best": row["b"], "diversity": diversity[0][0] if diversity else 0.0}
+    return {"population": seen["n"], "valid": seen["valid"], "best": seen["b"], "diversity": diversity[0][0] if diversity else 0.0}
 
 
 def _up(config: Config, rate: float) -> float:
@@ -296,7 +302,10 @@ def run(spark: SparkSession, problem: Problem, config: Config, folder: str) -> S
 
 
 def resume(spark: SparkSession, problem: Problem, config: Config, folder: str, generation: int) -> State:
-    """Go on after a written generation: the same rows and state as an uninterrupted run; it is not announced again."""
+    """Go on after a written generation: the same rows and state as an uninterrupted run; it is not announced again.
+
+    Statistics are taken anew from the rows and must be those that were written.
+    """
     config.validate()
     raw = spark.read.json(f"{folder}/state={generation}").first()["state"]
     saved = json.loads(raw)
@@ -306,6 +315,10 @@ def resume(spark: SparkSession, problem: Problem, config: Config, folder: str, g
     saved["best_genome"] = bytes.fromhex(saved["best_genome"])
     state = State(**saved)
     df = spark.read.parquet(f"{folder}/generation={generation}")
+    stats, told = _statistics(df, problem, config), state.history[-1]
+    now = {"generation": generation, "valid_count": stats["valid"], "generation_best": stats["best"]["total"] if stats["best"] else None, "diversity": stats["diversity"]}
+    if any(told[k] != v for k, v in now.items()):
+        raise ConfigError("the checkpoint's statistics are not those of its population")
     state.generation += 1
     return _loop(spark, problem, config, folder, state, _next(df, config, _before(state), df.where("valid").count(), problem))
 
@@ -323,11 +336,13 @@ def _loop(spark: SparkSession, problem: Problem, config: Config, folder: str, st
             born = spark.read.parquet(told)
             _events(born, state.generation).write.mode("errorifexists").parquet(f"{folder}/events={state.generation}")
             born = born.drop("_events")
-        evaluate(born, problem).write.mode("errorifexists").parquet(path)
+        seen = Observation(f"generation {state.generation}")
+        rows = evaluate(born, problem).observe(seen, *_metrics())
+        rows.write.mode("errorifexists").parquet(path)
         df = spark.read.parquet(path)
         if problem.schedule is not None:
             problem.schedule(ranking.wave_assignment(df.where("valid").select("population_index"), F.col("population_index"), config.workers))
-        stats = _statistics(df, problem, config)
+        stats = _statistics(df, problem, config, seen.get)
         _commit(config, state, stats)
         if state.reason == "none" and problem.stop is not None and problem.stop(state.history[-1]):
             state.reason = "application"

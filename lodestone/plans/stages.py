@@ -73,12 +73,19 @@ def analyze(tables: dict[str, DataFrame], head: DataFrame, files: DataFrame, uni
     return Stage(prints, documents.documents("analysis", heads, shown, "key"), model.tables["opportunities"])
 
 
-def materialize(records: DataFrame, requests: DataFrame, files: DataFrame) -> Stage:
+#: Mode of a file that none is stated for.
+REGULAR = 0o644
+
+
+def materialize(records: DataFrame, requests: DataFrame, files: DataFrame, heads: DataFrame | None = None) -> Stage:
     """Candidates from recipes: every record is applied once, edits are spliced into their files, changed files patched.
 
     records(recipe, identity); requests(recipe, identity, path, and the columns
-    of rewrites.rewrites()); files(path, content).  A recipe with a record that
-    is missing, repeated or refused has status 'refused' and changes nothing.
+    of rewrites.rewrites()); files(path, content[, mode]): the baseline.  A
+    recipe with a record that is missing, repeated or refused has status
+    'refused', changes nothing and has no fingerprint.  heads(recipe,
+    baseline_fingerprint, recipe_fingerprint) say what the candidates' own
+    fingerprints start from, which then hold every file and the patches.
     results: (recipe, path, status, patch, before and after sizes and
     fingerprints) of the touched files.
     """
@@ -103,11 +110,17 @@ def materialize(records: DataFrame, requests: DataFrame, files: DataFrame) -> St
     none = F.lit(None)
     gone = refused.select("recipe", none.cast("string").alias("path"), F.lit("refused").alias("status"), none.cast("string").alias("patch"), F.lit(0).cast("long").alias("edit_count"), *[none.cast(t).alias(c) for c, t in (("before_size", "long"), ("before_fingerprint", "string"), ("after_size", "long"), ("after_fingerprint", "string"))])
     out = out.unionByName(gone)
-    from lodestone.functions import canonical
-
-    body = canonical.rows(out.where("path is not null"), "recipe", ["path"], canonical.text(F.col("path")))
-    heads = out.select("recipe").distinct().withColumn("head", canonical.text(F.lit("project-candidate.v1")))
-    prints = canonical.fingerprints(heads, "recipe", [body, canonical.rows(out.where("path is not null"), "recipe", ["path"], canonical.text(F.col("after_fingerprint")))])
-    shown = prints.select("recipe", F.col("recipe").alias("recipe_fingerprint"), F.lit("").alias("baseline_fingerprint"), F.col("fingerprint").alias("candidate_fingerprint"))
+    named = records.select("recipe").distinct()
+    if heads is None:
+        heads = named.select("recipe", F.lit("").alias("baseline_fingerprint"), fnv1a_text("recipe").alias("recipe_fingerprint"))
+    mode = F.col("mode") if "mode" in files.columns else F.lit(REGULAR)
+    held = files.select("path", mode.cast("long").alias("mode"), F.octet_length("content").cast("long").alias("size"), fnv1a_text("content").alias("content_fingerprint"))
+    # A candidate holds every file of the baseline: sizes and fingerprints alone, those of its changed files instead of the old ones.
+    kept = named.join(refused, "recipe", "left_anti")
+    changed = out.where("status = 'changed'").select(F.col("recipe").alias("_r"), F.col("path").alias("_p"), "after_size", "after_fingerprint")
+    whole = kept.crossJoin(held).join(changed, (F.col("recipe") == F.col("_r")) & (F.col("path") == F.col("_p")), "left")
+    whole = whole.select("recipe", "path", F.coalesce("after_size", "size").alias("size"), "mode", _number(F.coalesce("after_fingerprint", "content_fingerprint")).alias("content_fingerprint"))
+    prints = identity.candidate(heads.join(kept, "recipe", "left_semi"), whole, out.where("status = 'changed'").select("recipe", "path", "patch"), "recipe")
+    shown = heads.join(prints.withColumnRenamed("fingerprint", "candidate_fingerprint"), "recipe")
     evidence = documents.documents("candidate", shown, {"changed_files": out.where("status = 'changed'")}, "recipe")
     return Stage(prints, evidence, out)

@@ -36,11 +36,21 @@ def concat(*parts: str) -> str:
     return f"flatten([{', '.join(parts)}])"
 
 
-def fnv(bytes_: str) -> str:
-    """Fingerprint text of a list of byte values."""
+def fnv_value(bytes_: str) -> str:
+    """Fingerprint of a list of byte values, an unsigned number."""
     step = f"(CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS UHUGEINT) * 1099511628211::UHUGEINT) % {P64}"
     folded = f"list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform({bytes_}, lambda x: CAST(x AS UHUGEINT))), lambda h, b: {step})"
-    return f"'fnv1a64-v1:' || printf('%016x', CAST({folded} AS UBIGINT))"
+    return f"CAST({folded} AS UBIGINT)"
+
+
+def fnv(bytes_: str) -> str:
+    """Fingerprint text of a list of byte values."""
+    return f"'fnv1a64-v1:' || printf('%016x', {fnv_value(bytes_)})"
+
+
+def unsigned(x: str) -> str:
+    """Eight bytes, little-endian, of an unsigned number."""
+    return f"list_transform(range(0, 8), lambda i: CAST((CAST({x} AS UBIGINT) >> (8 * CAST(i AS INTEGER))) & 255 AS BIGINT))"
 
 
 class Chain:

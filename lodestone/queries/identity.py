@@ -112,6 +112,20 @@ def analysis_fingerprints(spark, sf_dir):
     return identity.analysis(heads, tables, "r_regionkey")
 
 
+@query("""
+WITH n AS (SELECT n_regionkey AS k, count(*) AS c FROM nation GROUP BY 1), s AS (SELECT n_regionkey AS k, count(*) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+e AS (SELECT n_regionkey AS k, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 GROUP BY 1)
+SELECT r_regionkey, r_name AS baseline_fingerprint, coalesce(n.c, 0) AS n_source_locations, coalesce(n.c, 0) AS n_translation_units, coalesce(s.c, 0) AS n_declarations, coalesce(e.c, 0) AS n_calls, true AS projection_complete, false AS probabilistic_authority
+FROM region LEFT JOIN n ON n.k = r_regionkey LEFT JOIN s ON s.k = r_regionkey LEFT JOIN e ON e.k = r_regionkey
+""")
+def analysis_views(spark, sf_dir):
+    """What an analysis of each region shows: its head, and how many units, locations, declarations and calls it has."""
+    nation = table(spark, sf_dir, "nation").withColumn("r_regionkey", F.col("n_regionkey"))
+    of = lambda name, key: table(spark, sf_dir, name).join(nation, F.col(key) == F.col("n_nationkey"))
+    tables = {"source_locations": nation, "translation_units": nation, "declarations": of("supplier", "s_nationkey"), "calls": of("customer", "c_nationkey").where("c_acctbal < 0")}
+    return rules.published(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("baseline_fingerprint")), tables, "r_regionkey")
+
+
 @query(f"""
 WITH c AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position, p_name, p_type, p_size, p_partkey,
            CASE WHEN p_size % 3 = 0 THEN '' ELSE 'o' || p_partkey END AS output FROM part),

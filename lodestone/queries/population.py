@@ -134,6 +134,24 @@ def generation_stats(spark, sf_dir):
     return out.withColumn("total_sum", F.round("total_sum", 2)).withColumn("mean_total", F.round("mean_total", 4))
 
 
+_SEEN = """SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS generation, count(*) AS population, CAST(count_if(o_orderstatus <> 'P') AS BIGINT) AS valid_count,
+  max(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) AS best_total FROM orders WHERE @WHERE@ GROUP BY 1"""
+
+
+@query(f"""
+WITH a AS ({_SEEN.replace("@WHERE@", "true")}), b AS ({_SEEN.replace("@WHERE@", "o_orderkey % 97 <> 0 AND year(o_orderdate) <> 1995")}),
+c AS (SELECT coalesce(a.generation, b.generation) AS generation, a.generation IS NULL OR b.generation IS NULL AS alone, a.population IS DISTINCT FROM b.population AS p, a.valid_count IS DISTINCT FROM b.valid_count AS v, a.best_total IS DISTINCT FROM b.best_total AS t
+      FROM a FULL OUTER JOIN b ON a.generation = b.generation)
+SELECT generation, array_to_string(list_filter([CASE WHEN alone OR p THEN 'population' END, CASE WHEN alone OR v THEN 'valid_count' END, CASE WHEN alone OR t THEN 'best_total' END], lambda x: x IS NOT NULL), ',') AS fields FROM c WHERE alone OR p OR v OR t
+""")
+def statistics_changes(spark, sf_dir):
+    """Statistics of all orders against those without some of them: which generations differ, and in what."""
+    rows = table(spark, sf_dir, "orders").select((F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long").alias("generation"), "o_orderkey", "o_totalprice", (F.col("o_orderstatus") != "P").alias("valid"), F.year("o_orderdate").alias("y"))
+    seen = lambda df: population.generation_statistics(df, "generation", "o_orderkey", "o_totalprice", "valid").select("generation", "population", "valid_count", "best_total")
+    out = population.statistics_differences(seen(rows), seen(rows.where("o_orderkey % 97 <> 0 and y <> 1995")), "generation")
+    return out.select("generation", F.array_join("fields", ",").alias("fields"))
+
+
 @query("""
 SELECT o_custkey, o_orderkey, o_totalprice,
        max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS best_total,

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.catalog import query
-from lodestone.operators import assurance, rewrites
+from lodestone.operators import assurance, identity, rewrites
 from lodestone.plans import search, stages
 from lodestone.sources import container, documents, product, recorded
 
+from ._sql import ascii_bytes, concat, fnv, fnv_value, number, text, unsigned
 from ._tables import table
 
 _STAGE = "CASE event_id % 5 WHEN 0 THEN 'configure' WHEN 1 THEN 'compile' WHEN 2 THEN 'correctness' WHEN 3 THEN 'benchmark' ELSE 'other' END"
@@ -287,3 +288,38 @@ def candidate_patches(spark, sf_dir):
     files = base.select("path", F.encode("source", "utf-8").alias("content"))
     out = stages.materialize(base.select("recipe", "identity"), requests, files).results
     return out.select("recipe", "status", F.coalesce(F.md5("patch"), F.lit("none")).alias("patch_md5"))
+
+
+_CANDIDATE = f"""
+WITH s AS (SELECT s_nationkey AS n, s_suppkey AS k, 'f' || s_suppkey || '.c' AS path, 'v' || s_suppkey AS v FROM supplier),
+first AS (SELECT n, min(k) AS k FROM s GROUP BY n),
+c AS (SELECT f.n AS recipe, s.path, s.k = f.k AS edited, s.v || ' = ' || s.v || ' + one' AS old, s.v || ' += one' AS new FROM first AS f, s),
+w AS (SELECT *, CASE WHEN edited THEN new ELSE old END || ';' || chr(10) AS content FROM c),
+h AS (SELECT *, {fnv_value(ascii_bytes("content"))} AS print FROM w),
+r AS (SELECT recipe, count(*) AS n, flatten(list({concat(text("path"), number("strlen(content)"), number("420"), unsigned("print"))} ORDER BY path)) AS b FROM h GROUP BY recipe),
+e AS (SELECT recipe, path, old, new, '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,1 +1,1 @@' || chr(10) || '-' || old || ';' || chr(10) || '+' || new || ';' || chr(10) AS patch FROM w WHERE edited)
+SELECT CAST(recipe AS VARCHAR) AS recipe, {fnv(concat(text(f"'{identity.TAGS['candidate']}'"), text("'base'"), text("'r' || recipe"), number("n"), "b", ascii_bytes("patch")))} AS candidate_fingerprint, path AS changed_path FROM r JOIN e USING (recipe)
+"""
+
+
+@query(_CANDIDATE)
+def candidate_fingerprints(spark, sf_dir):
+    """A recipe for each nation rewrites its first supplier's file; its candidate's fingerprint holds all suppliers' files."""
+    from .model import _facts
+
+    k = F.col("s_suppkey")
+    v = F.concat(F.lit("v"), k)
+    code = F.concat(v, F.lit(" = "), v, F.lit(" + one"))
+    every = table(spark, sf_dir, "supplier").select("s_nationkey", k, F.concat(F.lit("f"), k, F.lit(".c")).alias("path"), F.concat(code, F.lit(";\n")).alias("source"), F.length(v).alias("n"), F.octet_length(code).alias("end"))
+    first = every.groupBy("s_nationkey").agg(F.min_by(F.struct("path", "source", "n", "end"), "s_suppkey").alias("f"))
+    rows = first.select(F.col("s_nationkey").cast("string").alias("recipe"), F.lit("r").alias("identity"), "f.*").withColumn("transformation", F.lit(rewrites.ASSIGNMENT)).withColumn("parameter", F.lit("add"))
+    rows = rows.withColumn("location_kind", F.lit("spelling")).withColumn("target_start", F.lit(0)).withColumn("target_end", F.col("end"))
+    n = F.col("n")
+    requests = _facts(
+        rows, form=F.lit("assignment-binary"), operator=F.lit("add"), primary_end=n, duplicate_start=n + 3, duplicate_end=2 * n + 3, operand_start=2 * n + 6, operand_end=F.col("end"),
+        primary_declaration=F.lit("d"), duplicate_declaration=F.lit("d"), plain_identifier=F.lit(True), type_matches=F.lit(True), volatile=F.lit(False),
+    )
+    heads = rows.select("recipe", F.lit("base").alias("baseline_fingerprint"), F.concat(F.lit("r"), "recipe").alias("recipe_fingerprint"))
+    stage = stages.materialize(rows.select("recipe", "identity"), requests, every.select("path", F.encode("source", "utf-8").alias("content")), heads)
+    told = F.from_json("json", "recipe_fingerprint string, candidate_fingerprint string, changed_files array<struct<path: string>>")
+    return stage.evidence.select("recipe", told.alias("t")).select("recipe", "t.candidate_fingerprint", F.col("t.changed_files")[0]["path"].alias("changed_path"))

@@ -219,3 +219,56 @@ def test_small_rules(spark):
     assert [r[0] for r in df.select(ranking.weight_total(F.col("n"))).collect()] == [n + n * (n - 1) // 2 for n in (4294967295, 300000007)]
     five = spark.createDataFrame([(0, i, float(i)) for i in range(5)], "g int, i long, t double")
     assert sorted((r["elite_rank"], r["slot"], r["i"]) for r in ranking.elites(five, "g", "i", "t", 2).collect()) == [(0, 3, 4), (1, 4, 3)]
+
+
+def test_candidates_hold_every_file(spark):
+    """The fingerprint of a candidate: baseline, recipe, all files in order, edited or not, then the patches."""
+    from lodestone.functions import fingerprint as prints
+
+    files = {"a.c": b"v = v + w;\n", "b.c": b"int b;\n", "c.c": b""}
+    df = spark.createDataFrame([(p, 0o755 if p == "b.c" else 0o644, c) for p, c in files.items()], "path string, mode long, content binary")
+    at = {"form": "assignment-binary", "operator": "add", "primary_start": 0, "primary_end": 1, "duplicate_start": 4, "duplicate_end": 5, "operand_start": 8, "operand_end": 9, "primary_declaration": "d", "duplicate_declaration": "d", "plain_identifier": True, "type_matches": True}
+    row = {"recipe": "r", "identity": "i", "path": "a.c", "source": "v = v + w;\n", "transformation": rewrites.ASSIGNMENT, "parameter": "add", "location_kind": "spelling", "target_start": 0, "target_end": 9}
+    schema = "recipe string, identity string, path string, source string, transformation string, parameter string, location_kind string, target_start long, target_end long, " + rewrites.FACTS
+    requests = spark.createDataFrame([tuple((row | at).get(c.split()[0], False if c.endswith("boolean") else 0 if c.split()[0].endswith(("_start", "_end")) else None) for c in schema.split(", "))], schema)
+    records = spark.createDataFrame([("r", "i"), ("gone", "x")], "recipe string, identity string")
+    heads = spark.createDataFrame([("r", "base", "rec"), ("gone", "base", "rec2")], "recipe string, baseline_fingerprint string, recipe_fingerprint string")
+    stage = stages.materialize(records, requests, df, heads)
+    said = {r["recipe"]: r for r in stage.results.collect()}
+    assert said["gone"]["status"] == "refused" and said["r"]["status"] == "changed"
+    new = files | {"a.c": b"v += w;\n"}
+    state = prints.fnv1a_string("rec", prints.fnv1a_string("base", prints.fnv1a_string("project-candidate.v1")))
+    state = prints.fnv1a_number(3, state)
+    for p in sorted(new):
+        state = prints.fnv1a_string(p, state)
+        for n in (len(new[p]), 0o755 if p == "b.c" else 0o644, prints.fnv1a(new[p])):
+            state = prints.fnv1a_number(n, state)
+    state = prints.fnv1a(said["r"]["patch"].encode(), state)
+    assert [tuple(r) for r in stage.fingerprints.collect()] == [("r", prints.text_form(state))]
+    assert json.loads(stage.evidence.first()["json"])["candidate_fingerprint"] == prints.text_form(state)
+
+
+def test_units_and_their_budgets(spark):
+    units = spark.createDataFrame([("b.c",), ("a.c",), ("b.c",)], "file string")
+    assert [r.file for r in analysis.translation_units(units, 2, 3).collect()] == ["a.c", "b.c"]
+    for budgets, why in (((1, None), "limit"), ((None, 2), "path")):
+        with pytest.raises(ValueError, match=why):
+            analysis.translation_units(units, *budgets)
+    with pytest.raises(ValueError, match="no translation units"):
+        analysis.translation_units(units.limit(0), 5)
+
+
+def test_resume_refuses_statistics_of_other_rows(spark, tmp_path):
+    config = core.Config(8, 4, 3, 5, elite_count=2)
+    problem = core.Problem(fitness=core.popcount("genome", 4))
+    done = core.run(spark, problem, config, f"{tmp_path}/a")
+    core.run(spark, problem, core.Config(8, 4, 1, 5, elite_count=2), f"{tmp_path}/b")
+    assert core.resume(spark, problem, config, f"{tmp_path}/b", 1).history == done.history
+    core.run(spark, problem, core.Config(8, 4, 1, 5, elite_count=2), f"{tmp_path}/c")
+    core.run(spark, problem, core.Config(8, 4, 1, 6, elite_count=2), f"{tmp_path}/d")
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/c/generation=1")
+    shutil.copytree(f"{tmp_path}/d/generation=1", f"{tmp_path}/c/generation=1")
+    with pytest.raises(core.ConfigError, match="statistics"):
+        core.resume(spark, problem, config, f"{tmp_path}/c", 1)
