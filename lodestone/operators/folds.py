@@ -104,20 +104,49 @@ def _carry(group: str, resume: Callable):
     return run
 
 
-def patience(df: DataFrame, group: str, order: str, value: str, tolerance: float, limit: int) -> DataFrame:
-    """Adds reference and counter after each row: only value > reference + tolerance moves the reference and
-    zeroes the counter; otherwise it grows up to `limit`.  stagnated: the counter is at the limit."""
+PATIENCE = "reference double, counter long, stagnated boolean"
+RATE = "rate double, stagnant long, reason string"
+
+
+def patience_step(tolerance: float, limit: int) -> Callable[..., tuple]:
+    """The state of patience after a value, from the one before it (None at first)."""
     if not tolerance >= 0:
         raise ValueError("the tolerance must not be negative")
 
     def step(state, x):
-        if state is None:
+        if state is None or x > state[0] + tolerance:
             return x, 0, limit <= 0
-        reference, counter, _ = state
-        if x > reference + tolerance:
-            return x, 0, limit <= 0
-        counter = min(counter + 1, limit)
-        return reference, counter, counter >= limit
+        counter = min(state[1] + 1, limit)
+        return state[0], counter, counter >= limit
+
+    return step
+
+
+def rate_step(initial: float, low: float, high: float, step: float, threshold: float, reset: bool) -> Callable[..., tuple]:
+    """The state of the adaptive rate after a generation's diversity and improvement, from the one before it."""
+    start = min(max(initial, low), high)
+
+    def up(rate):
+        return high if step > high - rate else rate + step
+
+    def then(state, d, better):
+        poor = d <= threshold
+        if state is None:
+            return (up(start), 0, "low-diversity") if poor else (start, 0, "initial")
+        rate, stagnant, _ = state
+        if not better:
+            return up(rate), stagnant + 1, "stagnation-low-diversity" if poor else "stagnation"
+        if reset:
+            return low, 0, "improvement-reset"
+        return (up(rate), 0, "low-diversity") if poor else (rate, 0, "improvement-hold")
+
+    return then
+
+
+def patience(df: DataFrame, group: str, order: str, value: str, tolerance: float, limit: int) -> DataFrame:
+    """Adds reference and counter after each row: only value > reference + tolerance moves the reference and
+    zeroes the counter; otherwise it grows up to `limit`.  stagnated: the counter is at the limit."""
+    step = patience_step(tolerance, limit)
 
     # A reference is never more than the tolerance below the best value so far, so only a strict record can move it:
     # of a range's rows, its own records are all that matter, and where each leads to is found from the last one back.
@@ -149,7 +178,7 @@ def patience(df: DataFrame, group: str, order: str, value: str, tolerance: float
         return reference, counter, counter >= limit
 
     rows = df.withColumn(value, F.col(value).cast("double"))
-    return _fold(rows, group, order, [value], "reference double, counter long, stagnated boolean", step, summary, resume)
+    return _fold(rows, group, order, [value], PATIENCE, step, summary, resume)
 
 
 def adaptive_rate(
@@ -164,18 +193,7 @@ def adaptive_rate(
     A step that would pass `high` gives exactly `high`.
     """
     up = lambda rate: high if step > high - rate else rate + step
-    start = min(max(initial, low), high)
-
-    def then(state, d, better):
-        poor = d <= threshold
-        if state is None:
-            return (up(start), 0, "low-diversity") if poor else (start, 0, "initial")
-        rate, stagnant, _ = state
-        if not better:
-            return up(rate), stagnant + 1, "stagnation-low-diversity" if poor else "stagnation"
-        if reset:
-            return low, 0, "improvement-reset"
-        return (up(rate), 0, "low-diversity") if poor else (rate, 0, "improvement-hold")
+    then = rate_step(initial, low, high, step, threshold, reset)
 
     # Steps, and what they start from: nothing before a reset matters, and a rate that a step no longer moves stays.
     def summary(ds, better):
@@ -203,7 +221,7 @@ def adaptive_rate(
         return rate, tail if was_better else stagnant + tail, reason
 
     rows = df.withColumn(improved, F.coalesce(F.col(improved).cast("boolean"), F.lit(False))).withColumn(diversity, F.col(diversity).cast("double"))
-    out = _fold(rows, group, order, [diversity, improved], "rate double, stagnant long, reason string", then, whole, resume)
+    out = _fold(rows, group, order, [diversity, improved], RATE, then, whole, resume)
     return out.select(group, order, "rate", "stagnant", "reason")
 
 
