@@ -20,7 +20,7 @@ from lodestone.sources.trees import nodes
 ASSIGNMENT, CONDITION, SHIFT = "assignment-to-compound", "double-negation-condition", "unsigned-multiply-to-shift"
 OPERATORS = {"add": "+", "bitwise-and": "&", "bitwise-or": "|", "bitwise-xor": "^", "multiply": "*", "subtract": "-"}
 CONTEXTS = ("do-while", "for", "if", "while")
-#: Forms that a transformation takes, the one that is already satisfied last.
+# Forms that a transformation takes (the one that is already satisfied last), and the flags and ranges of facts.
 FORMS = {
     ASSIGNMENT: ("assignment-binary", "assignment-compound"),
     CONDITION: ("double-negated-condition", "scalar-condition"),

@@ -8,6 +8,7 @@ from enum import Flag, auto
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The capabilities, commands, roles and what each needs.
 class Capability(Flag):
     SYNTAX_TREES = auto()
     COMPILATION_DATABASE = auto()
