@@ -9,6 +9,8 @@ share of that language after normalising.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -128,17 +130,25 @@ class Network:
         return best, np.where(np.diff(offsets) > 0, share[np.arange(n), best], 0.0)
 
 
-@lean
-def _all_windows(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("window", pa.binary())])
-    for batch in batches:
-        data, off = B.column_bytes(batch.column(2))
-        ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i in range(batch.num_rows):
-            w, _ = windows(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
-            for k in range(0, len(w), 4096):
-                part = w[k : k + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(part), pa.int64()), pa.array([langs[i]] * len(part), pa.string()), pa.array([x.tobytes() for x in part], pa.binary())], schema=schema)
+def _turns(limit: int):
+    """(lang, text) -> (lang, turn, mark, window): the different windows of each whole text in order of a hash, `limit` at most."""
+
+    @lean
+    def run(batches):
+        schema = pa.schema([("lang", pa.string()), ("turn", pa.int64()), ("mark", pa.int64()), ("window", pa.binary())])
+        for batch in batches:
+            data, off = B.column_bytes(batch.column(1))
+            langs = batch.column(0).to_pylist()
+            for i in range(batch.num_rows):
+                w, _ = windows(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+                kept: list[tuple[int, bytes]] = []
+                for k in range(0, len(w), 4096):
+                    kept = sorted({*kept, *((zlib.crc32(x), x) for x in (row.tobytes() for row in w[k : k + 4096]))})[:limit]
+                if kept:
+                    marks, found = zip(*kept)
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[i]] * len(kept), pa.string()), pa.array(range(len(kept)), pa.int64()), pa.array(marks, pa.int64()), pa.array(found, pa.binary())], schema=schema)
+
+    return run
 
 
 def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> Network:
@@ -157,12 +167,10 @@ def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> Network:
     picked = texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(few), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("tongue")))
     # One text for each id and language, however often the id repeats.
     picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    seen = picked.select("doc_id", "lang", "text").mapInArrow(_all_windows, "doc_id long, lang string, window binary").distinct()
     # Every text gives one window before any gives a second one: long texts do not crowd out short ones.
     n = max(1, min(SAMPLE_WINDOWS, SAMPLE_TOTAL // len(languages)))
-    turn = Window.partitionBy("doc_id", "lang").orderBy(F.xxhash64("window"), "window")
-    seen = seen.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", F.xxhash64("window"), "window"))
+    seen = picked.select("lang", "text").mapInArrow(_turns(n), "lang string, turn long, mark long, window binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "mark", "window"))
     got = seen.withColumn("place", place).where(F.col("place") <= n).select("lang", "window").toArrow()
     pairs = sorted(set(zip(got["lang"].to_pylist(), got["window"].to_pylist())))
     if pairs:
