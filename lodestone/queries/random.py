@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import query
 from lodestone.functions import fingerprint, u64
 from lodestone.functions.random import CROSSOVER, MUTATION, SELECTION, Streams
-from lodestone.operators import genetics
+from lodestone.operators import genetics, streams
 from lodestone.plans import run as plan
 
 from . import _sql
@@ -206,3 +206,59 @@ def onemax_run(spark, sf_dir):
     state = plan.run(spark, plan.Problem(fitness=plan.popcount("genome", 16)), config, scratch(spark))
     rows = [(h["generation"], float(h["generation_best"]), float(h["global_best"]), round(h["diversity"] * 1e6)) for h in state.history]
     return spark.createDataFrame(rows, "generation long, generation_best double, global_best double, diversity_millionths long")
+
+
+# --- quality of streams
+
+
+def _tuples(spark, sf_dir):
+    """Customers as tuples; every seventh has the seed of the one after it, and so its other parts too."""
+    k = F.col("c_custkey")
+    seed = k + F.when(k % 7 == 0, 1).otherwise(0)
+    return table(spark, sf_dir, "customer").select(seed.alias("seed"), (seed % 5).alias("generation"), (seed % 11).alias("population_index"), F.lit(SELECTION).alias("domain"))
+
+
+_TUPLES = f"(SELECT s AS seed, s % 5 AS generation, s % 11 AS population_index, {SELECTION} AS domain FROM (SELECT *, c_custkey + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS s FROM customer))"
+
+
+def _schedules(chain, seed: str, domain) -> tuple[str, str]:
+    stream = chain.stream(seed, "generation", "population_index", domain)
+    return stream.state, stream.increment
+
+
+def _collision_sql() -> str:
+    chain = _sql.Chain(_TUPLES)
+    state, increment = _schedules(chain, "seed", "domain")
+    return f"WITH e AS (SELECT population_index, {state} AS a, {increment} AS b, count(*) AS n FROM ({chain.sql()}) GROUP BY ALL) SELECT population_index, CAST(sum(n) AS BIGINT) AS tuples, CAST(sum(n - 1) AS BIGINT) AS collisions FROM e GROUP BY 1"
+
+
+@query(_collision_sql())
+def schedule_collisions(spark, sf_dir):
+    return streams.collisions(_tuples(spark, sf_dir), "population_index")
+
+
+def _avalanche_sql() -> str:
+    chain = _sql.Chain(f"(SELECT t.*, xor(CAST(seed AS UBIGINT), 1::UBIGINT << CAST(bit AS UBIGINT)) AS flipped FROM {_TUPLES} AS t, range(0, 64) AS b(bit))")
+    (a, b), (c, d) = _schedules(chain, "seed", "domain"), _schedules(chain, "flipped", "domain")
+    changed = f"bit_count(xor({a}, {c})::BIT) + bit_count(xor({b}, {d})::BIT)"
+    return f"SELECT CAST(least(d // 8, 16) AS BIGINT) AS bucket, count(*) AS pairs, CAST(sum(d) AS BIGINT) AS changed_bits FROM (SELECT {changed} AS d FROM ({chain.sql()})) GROUP BY 1"
+
+
+@query(_avalanche_sql())
+def seed_avalanche(spark, sf_dir):
+    """Changed bits of every tuple's schedule, for each flipped bit of its seed."""
+    return streams.avalanche(_tuples(spark, sf_dir))
+
+
+def _relation_sql() -> str:
+    chain = _sql.Chain(f"(SELECT t.*, l, r FROM {_TUPLES} AS t, (VALUES (2, 3), (3, 4)) AS p(l, r))")
+    one, two = chain.stream("seed", "generation", "population_index", "l"), chain.stream("seed", "generation", "population_index", "r")
+    a, b, c, d = one.state, one.increment, two.state, two.increment
+    x, y = one.word(), two.word()
+    return f"SELECT CAST(l AS BIGINT) AS left_domain, CAST(r AS BIGINT) AS right_domain, count(*) AS pairs, CAST(sum(bit_count(xor({a}, {c})::BIT) + bit_count(xor({b}, {d})::BIT)) AS BIGINT) AS changed_bits, round(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)), 6) AS correlation FROM ({chain.sql()}) GROUP BY l, r"
+
+
+@query(_relation_sql())
+def domain_relations(spark, sf_dir):
+    out = streams.domain_relation(_tuples(spark, sf_dir), [(SELECTION, CROSSOVER), (CROSSOVER, MUTATION)])
+    return out.withColumn("correlation", F.round("correlation", 6))

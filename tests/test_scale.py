@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import canonical
 from lodestone.functions import fingerprint as prints
-from lodestone.operators import analysis, folds, genetics, ordered, population, ranking
+from lodestone.functions.random import Streams
+from lodestone.operators import analysis, folds, genetics, ordered, population, ranking, streams
 
 
 @settings(max_examples=60, deadline=None)
@@ -214,3 +215,22 @@ def test_opportunities_are_ranked_without_one_task(spark):
     assert [r["rank"] for r in rows] == list(range(1, 38))
     key = [(not r.runtime_evidence_present, -r.runtime_sample_count, -r.missed_optimization_count, r["loc"]) for r in rows]
     assert key == sorted(key)
+
+
+# --- quality of streams
+
+
+def test_schedules_are_those_of_the_generator(spark):
+    rng = random.Random(5)
+    rows = [(rng.getrandbits(63), rng.randrange(9), rng.randrange(9), rng.randrange(1, 5)) for _ in range(200)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "seed long, generation long, population_index long, domain long").withColumn("g", F.lit(1))
+    got = streams.with_schedule(df, "seed", "domain", "a", "b").select("*", streams.first_word(F.col("a")).alias("w")).collect()
+    for r in got:
+        s = Streams.derived(r.seed, r.generation, np.array([r.population_index]), r.domain)
+        assert (int(s.state[0]), int(s.increment[0])) == (r.a % 2**64, r.b % 2**64) and int(s.word(np.array([0]))[0]) == r.w
+    assert tuple(streams.collisions(df, "g").first()) == (1, 203, 3)
+    whole = streams.avalanche(df.limit(20)).collect()
+    assert sum(r.pairs for r in whole) == 20 * 64 and 60 < sum(r.changed_bits for r in whole) / (20 * 64) < 68
+    rel = streams.domain_relation(df, [(2, 3), (2, 2)]).orderBy("right_domain").collect()
+    assert (rel[0].right_domain, rel[0].changed_bits, round(rel[0].correlation, 9)) == (2, 0, 1.0) and abs(rel[1].correlation) < 0.3
