@@ -343,6 +343,49 @@ def catalogue_problems(entries: DataFrame, kinds_mask: int) -> DataFrame:
     return rows.select("transformation", "version", problem.alias("problem")).where("problem is not null")
 
 
+def default_values(schemas: DataFrame) -> DataFrame:
+    """(transformation, version, name, kind, boolean_value, integer_value, choice_value): false, the minimum, or the first
+    choice, for each schema row of parameter_problems()."""
+    kind = F.col("kind")
+    return schemas.select(
+        "transformation", "version", "name", "kind", F.when(kind == "boolean", False).alias("boolean_value"), F.when(kind == "integer", F.col("minimum")).alias("integer_value"),
+        F.when(kind == "choice", F.get("choices", F.lit(0))).alias("choice_value"),
+    )
+
+
+def parameter_problems(records: DataFrame, values: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(recipe, identity, parameter, problem): the first parameter by name, of each record, that does not bind.
+
+    records(recipe, identity, transformation, version); values(recipe, identity,
+    name, kind, boolean_value, integer_value, choice_value) are what proposals
+    give; schemas(transformation, version, name, kind, required, minimum,
+    maximum, choices).  A value is 'unknown' without a schema, 'repeated' if its
+    record gives it twice, of the wrong 'kind', out of 'range' or none of the
+    schema's choices ('choice'); a required parameter without value is 'missing'.
+    Records meet their values by key and the small catalogue by transformation.
+    """
+    own = records.select("recipe", "identity", "transformation", "version").distinct()
+    s = schemas.select(F.col("transformation").alias("_t"), F.col("version").alias("_v"), F.col("name").alias("_n"), F.col("kind").alias("_k"), "required", "minimum", "maximum", "choices")
+    given = values.groupBy("recipe", "identity", "name").agg(F.count(F.lit(1)).alias("_times"), F.min_by(F.struct("kind", "boolean_value", "integer_value", "choice_value"), "kind").alias("_value"))
+    of = (F.col("transformation") == F.col("_t")) & (F.col("version") == F.col("_v"))
+    met = given.join(own, ["recipe", "identity"]).join(s, of & (F.col("name") == F.col("_n")), "left")
+    v = lambda c: F.col(f"_value.{c}")
+    fits = F.when(F.col("_k") == "boolean", v("boolean_value").isNotNull()).when(F.col("_k") == "integer", v("integer_value").isNotNull()).when(F.col("_k") == "choice", v("choice_value").isNotNull())
+    problem = (
+        F.when(F.col("_n").isNull(), "unknown")
+        .when(F.col("_times") > 1, "repeated")
+        .when(~F.coalesce((v("kind") == F.col("_k")) & fits, F.lit(False)), "kind")
+        .when((F.col("_k") == "integer") & ~F.coalesce(v("integer_value").between(F.col("minimum"), F.col("maximum")), F.lit(False)), "range")
+        .when((F.col("_k") == "choice") & ~F.coalesce(F.array_contains("choices", v("choice_value")), F.lit(False)), "choice")
+    )
+    bad = met.select("recipe", "identity", F.col("name").alias("parameter"), problem.alias("problem")).where("problem is not null")
+    wanted = own.join(s.where("required"), of).select("recipe", "identity", F.col("_n").alias("parameter"))
+    there = given.select("recipe", "identity", F.col("name").alias("parameter"))
+    missing = wanted.join(there, ["recipe", "identity", "parameter"], "left_anti").withColumn("problem", F.lit("missing"))
+    first = bad.unionByName(missing).groupBy("recipe", "identity").agg(F.min(F.struct("parameter", "problem")).alias("_p"))
+    return first.select("recipe", "identity", "_p.parameter", "_p.problem")
+
+
 def build_records(proposals: DataFrame, catalogue: DataFrame, locations: DataFrame, opportunities: DataFrame, missed: DataFrame, runtime: DataFrame, kind_bits: dict[str, int]) -> DataFrame:
     """One row per proposal with what its record holds and its status: 'ok' or the first reason that refuses it.
 

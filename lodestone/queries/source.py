@@ -188,3 +188,47 @@ def source_tree_files(spark, sf_dir):
     names.select("nation", "c_name").write.partitionBy("nation").text(at)
     rows = project.source_tree(spark, at, 1 << 30).where(F.col("path").endswith(".txt"))
     return rows.select(F.regexp_extract("path", r"\A[^/]*", 0).alias("folder"), "size", "content_fingerprint")
+
+
+# --- parameters
+
+
+def _schemas(spark, sf_dir):
+    """Nations are parameters of their region's transformation: boolean, whole numbers up to their key, or their own name."""
+    n = F.col("n_nationkey").cast("long")
+    kind = F.when(n % 3 == 0, "boolean").when(n % 3 == 1, "integer").otherwise("choice")
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("t"), "n_regionkey").alias("transformation"), F.lit(1).alias("version"), F.col("n_name").alias("name"), kind.alias("kind"), (n % 2 == 0).alias("required"),
+        F.lit(0).cast("long").alias("minimum"), n.alias("maximum"), F.array("n_name", F.lit("any")).alias("choices"), n.alias("n"),
+    )
+
+
+@query("""
+SELECT 't' || n_regionkey AS transformation, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'false' WHEN n_nationkey % 3 = 1 THEN '0' ELSE n_name END AS value FROM nation
+""")
+def default_parameters(spark, sf_dir):
+    out = recipes.default_values(_schemas(spark, sf_dir))
+    return out.select("transformation", "name", F.coalesce(F.col("boolean_value").cast("string"), F.col("integer_value").cast("string"), "choice_value").alias("value"))
+
+
+@query("""
+WITH r AS (SELECT s_suppkey AS k, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+v AS (SELECT k, n_nationkey AS n, n_name AS name, n_nationkey % 3 AS kind, (k + n_nationkey) % 17 = 0 AS odd, (k * 7 + n_nationkey) % 23 = 0 AS twice, k % 30 AS i, CASE WHEN k % 4 = 0 THEN 'other' ELSE n_name END AS c, (k + n_nationkey) % 11 <> 0 AS there
+      FROM r JOIN nation ON n_regionkey = r),
+p AS (SELECT k, name, CASE WHEN NOT there THEN CASE WHEN n % 2 = 0 THEN 'missing' END WHEN twice THEN 'repeated' WHEN odd THEN 'kind' WHEN kind = 1 AND i > n THEN 'range' WHEN kind = 2 AND c = 'other' THEN 'choice' END AS problem FROM v),
+q AS (SELECT * FROM p WHERE problem IS NOT NULL UNION ALL SELECT k, 'A unknown', 'unknown' FROM r WHERE k % 9 = 0)
+SELECT CAST(k AS VARCHAR) AS recipe, min_by(name, name) AS parameter, min_by(problem, name) AS problem FROM q GROUP BY k
+""")
+def parameter_problems(spark, sf_dir):
+    """A record for each supplier gives its region's parameters, some missing, repeated, of another kind, out of range or unknown."""
+    k = F.col("s_suppkey").cast("long")
+    nations = table(spark, sf_dir, "nation")
+    records = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(k.alias("k"), k.cast("string").alias("recipe"), F.lit("r").alias("identity"), F.concat(F.lit("t"), "n_regionkey").alias("transformation"), F.lit(1).alias("version"))
+    schemas = _schemas(spark, sf_dir)
+    k, n = F.col("k"), F.col("n")
+    both = records.join(schemas.select("transformation", "name", "kind", "n"), "transformation").where((k + n) % 11 != 0)
+    both = both.withColumn("_", F.explode(F.when((k * 7 + n) % 23 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    none = F.lit(None)
+    given = both.select("recipe", "identity", "name", F.when((k + n) % 17 == 0, "text").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "boolean", True).alias("boolean_value"), F.when(F.col("kind") == "integer", k % 30).alias("integer_value"), F.when(F.col("kind") == "choice", F.when(k % 4 == 0, "other").otherwise(F.col("name"))).alias("choice_value"))
+    odd = records.where(k % 9 == 0).select("recipe", "identity", F.lit("A unknown").alias("name"), F.lit("boolean").alias("kind"), F.lit(True).alias("boolean_value"), none.cast("long").alias("integer_value"), none.cast("string").alias("choice_value"))
+    return recipes.parameter_problems(records, given.unionByName(odd), schemas).select("recipe", "parameter", "problem")
