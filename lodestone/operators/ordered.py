@@ -41,6 +41,11 @@ def _key(columns: list[Column]) -> Column:
     return F.struct(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
 
 
+def _as_spark_sorts(key) -> tuple:
+    """Nulls come first, NaN after all numbers."""
+    return tuple((v is not None, v != v, 0 if v is None or v != v else v) for v in key)
+
+
 def ranges(df: DataFrame, columns: list[Column], count: int | None = None) -> Ranges:
     """Borders that cut df, ordered by the columns, into about `count` even ranges.
 
@@ -53,7 +58,7 @@ def ranges(df: DataFrame, columns: list[Column], count: int | None = None) -> Ra
         return Ranges([], F.array())
     rows = df.select(_key(columns).alias("_k"))
     sampled = rows.groupBy(F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(SAMPLE * count)).alias("_b")).agg(F.min_by("_k", F.xxhash64("_k", F.lit(2))).alias("_k"))
-    keys = [r["_k"] for r in sampled.select("_k").orderBy("_k").collect()]
+    keys = sorted((r["_k"] for r in sampled.select("_k").collect()), key=_as_spark_sorts)  # as many as the sample
     picked = [keys[len(keys) * i // count] for i in range(1, count)] if keys else []
     borders = [k for i, k in enumerate(picked) if i == 0 or k != picked[i - 1]]
     kind = rows.schema["_k"].dataType
