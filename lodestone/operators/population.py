@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .ranking import finite
 
@@ -144,6 +150,145 @@ def pair_diversity(df: DataFrame, group: str, index: str, distance, budget: int,
     return pairs.groupBy(F.col(f"a.{group}").alias(group)).agg(F.count(F.lit(1)).alias("pair_count"), F.avg(distance).alias("diversity"))
 
 
+@dataclass(frozen=True)
+class Distance:
+    """A symmetric distance of contents, on blocks of them: pack(contents) gives arrays of one row for each content, and
+    between(a, b) of two such blocks all distances, and which of them are defined (None: all are)."""
+
+    pack: Callable[[list], tuple]
+    between: Callable[[tuple, tuple], tuple]
+
+
+def byte_distance(size: int) -> Distance:
+    """The share of the first `size` bytes that differ; to null, none does."""
+
+    def pack(contents):
+        out = np.full((len(contents), size), -1, dtype=np.int16)
+        for row, c in zip(out, contents):
+            if c is not None:
+                row[: len(c)] = np.frombuffer(c, dtype=np.uint8)[:size]
+        return out, np.array([c is not None for c in contents])
+
+    def between(a, b):
+        far = np.zeros((len(a[0]), len(b[0])), dtype=np.uint32)
+        for one, two in zip(a[0].T, np.ascontiguousarray(b[0].T)):
+            far += one[:, None] != two[None, :]
+        far[~a[1]] = 0
+        far[:, ~b[1]] = 0
+        return far / size, None
+
+    return Distance(pack, between)
+
+
+def euclidean_distance(scale: float = 1.0) -> Distance:
+    """Euclidean distance times scale; vectors of different lengths, null or with a null have none."""
+
+    def pack(contents):
+        whole = [c is not None and None not in c for c in contents]
+        sizes = np.array([len(c) if ok else -1 for c, ok in zip(contents, whole)])
+        out = np.zeros((len(contents), max(sizes.max(initial=0), 1)))
+        for row, c, ok in zip(out, contents, whole):
+            if ok:
+                row[: len(c)] = c
+        return out, sizes
+
+    def between(a, b):
+        (x, m), (y, n) = a, b
+        width = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (x, y))
+        with np.errstate(all="ignore"):
+            p, q = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None, :]
+            square = x @ (-2.0 * y.T)
+            square += p
+            square += q
+            # A difference that is small beside the norms has lost digits: it is taken by components.
+            good = square > 1e-3 * p + 1e-3 * q
+            if not (np.isfinite(p).all() and np.isfinite(q).all()):
+                good &= np.isfinite(square)
+            i, j = np.nonzero(~good) if not good.all() else ((), ())
+            for at in range(0, len(i), 1 << 15):
+                k, h = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                square[k, h] = ((x[k] - y[h]) ** 2).sum(axis=1)
+            np.sqrt(square, out=square)
+            square *= scale
+        alike = m[0] >= 0 and (m == m[0]).all() and (n == m[0]).all()
+        return square, None if alike else (m[:, None] == n[None, :]) & (m >= 0)[:, None]
+
+    return Distance(pack, between)
+
+
+#: Rows of a tile that meet its other side at once.
+_STRIP = 64
+
+
+def _tile_sums(distance: Distance, contents: list, copies: np.ndarray, first: np.ndarray | None) -> tuple[int, float, float]:
+    """(pairs, pairs with a distance, sum of distances) of a tile: of all rows with each other and with themselves as often
+    as they have copies, or (first given) of the rows where it is true with the others."""
+    rows = distance.pack(contents)
+    part = lambda at: tuple(x[at] for x in rows)
+    c = copies.astype(np.float64)
+    defined = total = 0.0
+
+    def add(matrix, known, left, right):
+        nonlocal defined, total
+        total += float(left @ (matrix if known is None else np.where(known, matrix, 0.0)) @ right)
+        defined += float(left.sum() * right.sum() if known is None else left @ known @ right)
+
+    if first is not None:
+        one, two = np.nonzero(first)[0], np.nonzero(~first)[0]
+        for at in range(0, len(one), _STRIP):
+            k = one[at : at + _STRIP]
+            add(*distance.between(part(k), part(two)), c[k], c[two])
+        return int(copies[one].sum()) * int(copies[two].sum()), defined, total
+    for at in range(0, len(c), _STRIP):
+        here = slice(at, at + _STRIP)
+        matrix, known = distance.between(part(here), part(slice(at, None)))
+        own = len(matrix)
+        add(matrix[:, own:], None if known is None else known[:, own:], c[here], c[at + own :])
+        known = np.ones((own, own), dtype=bool) if known is None else known[:, :own]
+        add(matrix[:, :own], np.triu(known, 1), c[here], c[here])
+        add(np.diagonal(matrix)[None, :], np.diagonal(known)[None, :], np.ones(1), c[here] * (c[here] - 1) / 2)
+    n = int(copies.sum())
+    return n * (n - 1) // 2, defined, total
+
+
+def content_diversity(df: DataFrame, group: str, content: str, distance: Distance, budget: int, unit_work: int = 1, tile: int = 4096) -> DataFrame:
+    """Mean of a symmetric distance of contents over all unordered pairs of a group's rows, like pair_diversity().
+
+    Equal contents are counted once, with their copies as weight, so the work
+    is quadratic in a group's different contents alone; where those pairs, times
+    unit_work, pass the budget the group is refused before any is made.  Pairs
+    that have no distance are counted, but are not in the mean.
+
+    The contents of a group fall into blocks of about `tile` by hash, and two
+    blocks meet in one tile, a strip at a time: a tile's two blocks are all that
+    a task holds.
+    """
+    distinct = df.groupBy(group, content).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = distinct.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / tile))
+    seen = sizes.agg(F.max("_n").alias("largest"), F.sum(F.expr("_blocks * (_blocks + 1) div 2")).alias("tiles")).first()
+    check_pair_budget(seen["largest"] or 0, unit_work, budget)
+    # Groups of several blocks are fewer than contents by the size of a tile.
+    large = F.broadcast(sizes.where("_blocks > 1").drop("_n"))
+    blocks = F.coalesce("_blocks", F.lit(1).cast("long"))
+    rows = distinct.join(large, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_block", F.pmod(F.xxhash64(content, F.lit(1)), blocks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_other")
+    tiles = rows.select(group, F.col(content).alias("_content"), "_c", "_block", other).withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other")).drop("_other")
+    parts = min(max(seen["tiles"] or 1, 1), 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def sums(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
+        first = None if lo == hi else table.column("_block").to_numpy() == lo
+        got = _tile_sums(distance, table.column("_content").to_pylist(), table.column("_c").to_numpy(), first)
+        return pa.table({group: table.column(group).slice(0, 1), "pairs": pa.array([got[0]], pa.int64()), "defined": pa.array([got[1]], pa.float64()), "total": pa.array([got[2]], pa.float64())})
+
+    schema = StructType([df.schema[group], StructField("pairs", LongType()), StructField("defined", DoubleType()), StructField("total", DoubleType())])
+    # By number, so that tiles of few bytes and much work are not put together.
+    met = tiles.repartition(parts, group, "_lo", "_hi").groupBy(group, "_lo", "_hi").applyInArrow(sums, schema)
+    out = met.groupBy(group).agg(F.sum("pairs").alias("pair_count"), F.sum("defined").alias("_defined"), F.sum("total").alias("_total")).where("pair_count > 0")
+    return out.select(group, "pair_count", F.when(F.col("_defined") > 0, F.col("_total") / F.col("_defined")).alias("diversity"))
+
+
 def check_pair_budget(population: int, unit_work: int, budget: int) -> int:
     """Worst-case work of all pairs; raises where it is over the budget."""
     work = population * (population - 1) // 2 * unit_work

@@ -234,3 +234,55 @@ def test_schedules_are_those_of_the_generator(spark):
     assert sum(r.pairs for r in whole) == 20 * 64 and 60 < sum(r.changed_bits for r in whole) / (20 * 64) < 68
     rel = streams.domain_relation(df, [(2, 3), (2, 2)]).orderBy("right_domain").collect()
     assert (rel[0].right_domain, rel[0].changed_bits, round(rel[0].correlation, 9)) == (2, 0, 1.0) and abs(rel[1].correlation) < 0.3
+
+
+# --- pairs of contents
+
+
+def test_copies_are_weights_and_tiles_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(population, "_STRIP", 3)
+    rng = random.Random(8)
+    words = [rng.randbytes(4) for _ in range(30)] + [None, b"ab", b""]
+    rows = [(g, rng.choice(words)) for g, n in ((1, 90), (2, 2), (3, 1), (None, 9)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g long, c binary")
+
+    def far(a, b):
+        return 0.0 if a is None or b is None else sum(a[k : k + 1] != b[k : k + 1] for k in range(4)) / 4
+
+    for tile in (4, 7, 4096):
+        got = {r.g: (r.pair_count, r.diversity) for r in population.content_diversity(df, "g", "c", population.byte_distance(4), 1 << 20, 1, tile).collect()}
+        assert set(got) == {1, 2, None}
+        for g in got:
+            cs = [c for h, c in rows if h == g]
+            pairs = [far(a, b) for n, b in enumerate(cs) for a in cs[:n]]
+            assert got[g][0] == len(pairs) and abs(got[g][1] - sum(pairs) / len(pairs)) < 1e-12
+
+
+def test_copies_are_no_work_of_pairs(spark):
+    """4,000 copies of two genomes are one pair of contents: within a budget that their own pairs pass by far."""
+    df = spark.range(4000).select(F.lit(1).alias("g"), F.when(F.col("id") % 4 == 0, F.lit("ab")).otherwise(F.lit("ac")).cast("binary").alias("c"))
+    got = population.content_diversity(df, "g", "c", population.byte_distance(2), 1).first()
+    assert (got.pair_count, got.diversity) == (4000 * 3999 // 2, 1000 * 3000 / 2 / (4000 * 3999 // 2))
+    with pytest.raises(ValueError):
+        population.content_diversity(df, "g", "c", population.byte_distance(2), 0)
+
+
+def test_vectors_near_alike_and_undefined(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(20, 8))
+    vectors = [v.tolist() for v in base] + [(v * (1 + 1e-9)).tolist() for v in base[:5]] + [base[0].tolist(), base[1, :7].tolist(), None, [None] * 8]
+    df = spark.createDataFrame([(1, v) for v in vectors], "g long, v array<double>")
+
+    def far(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return None
+        return float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())) / 2
+
+    pairs = [far(a, b) for n, b in enumerate(vectors) for a in vectors[:n]]
+    known = [d for d in pairs if d is not None]
+    for tile in (5, 4096):
+        got = population.content_diversity(df, "g", "v", population.euclidean_distance(0.5), 1 << 20, 1, tile).first()
+        assert got.pair_count == len(pairs) and abs(got.diversity - sum(known) / len(known)) < 1e-12
+    x = population.euclidean_distance(0.5)
+    near = x.between(x.pack([base[0].tolist()]), x.pack([(base[0] * (1 + 1e-9)).tolist()]))[0][0, 0]
+    assert abs(near / far(base[0].tolist(), (base[0] * (1 + 1e-9)).tolist()) - 1) < 1e-12
