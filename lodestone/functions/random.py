@@ -27,6 +27,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def schedule(material: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State and increment of the stream derived from this material."""
+    material = mix64(material)
+    turned = (material << U(23)) | (material >> U(41))
+    return mix64(material ^ U(STATE_TAG)), (mix64(turned ^ U(STREAM_TAG)) << U(1)) | U(1)
+
+
 class Streams:
     def __init__(self, state: np.ndarray, increment: np.ndarray):
         self.state, self.increment = np.array(state, dtype=np.uint64), np.array(increment, dtype=np.uint64)
@@ -46,9 +53,7 @@ class Streams:
         """One stream for each (generation, index) of an operator's domain; no warm-up step."""
         index = np.asarray(index).astype(np.uint64)
         generation = np.broadcast_to(np.asarray(generation).astype(np.uint64), index.shape)
-        material = mix64(U(seed & _M64) ^ mix64(generation ^ U(GENERATION_TAG)) ^ mix64(index ^ U(POPULATION_TAG)) ^ mix64(np.full(index.shape, domain ^ DOMAIN_TAG, dtype=np.uint64)))
-        turned = (material << U(23)) | (material >> U(41))
-        return cls(mix64(material ^ U(STATE_TAG)), (mix64(turned ^ U(STREAM_TAG)) << U(1)) | U(1))
+        return cls(*schedule(U(seed & _M64) ^ mix64(generation ^ U(GENERATION_TAG)) ^ mix64(index ^ U(POPULATION_TAG)) ^ mix64(np.full(index.shape, domain ^ DOMAIN_TAG, dtype=np.uint64))))
 
     def word(self, rows: np.ndarray) -> np.ndarray:
         """The next 32-bit word of the chosen rows."""

@@ -1,4 +1,4 @@
-"""Quality of derived random streams: collisions, avalanche and relations between domains, by built-in functions alone.
+"""Quality of derived random streams: collisions, avalanche and relations between domains; schedules are made from Arrow batches.
 
 A tuple (seed, generation, population_index, domain) gives the starting state
 and the increment of a generator; 64-bit words are longs with the same bits.
@@ -6,10 +6,11 @@ and the increment of a generator; 64-bit words are longs with the same bits.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.functions import random as r
 from lodestone.functions import u64
@@ -18,13 +19,30 @@ from lodestone.functions import u64
 BUCKET, LAST = 8, 16
 
 
+def _unsigned(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of a whole-number column, and where it is null."""
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _material(batch: pa.RecordBatch, seed: str, domain: str) -> tuple[np.ndarray, np.ndarray]:
+    """What a tuple's schedule is made from, and where a part of the tuple is null."""
+    out, lost = _unsigned(batch.column(seed))
+    for name, tag in (("generation", r.GENERATION_TAG), ("population_index", r.POPULATION_TAG), (domain, r.DOMAIN_TAG)):
+        part, null = _unsigned(batch.column(name))
+        out, lost = out ^ r.mix64(part ^ np.uint64(tag)), lost | null
+    return out, lost
+
+
 def with_schedule(df: DataFrame, seed: str, domain: str, state: str, increment: str) -> DataFrame:
-    """Adds the state and increment of each tuple's stream; generation and population_index are columns of those names."""
-    parts = ((seed, None), ("generation", r.GENERATION_TAG), ("population_index", r.POPULATION_TAG), (domain, r.DOMAIN_TAG))
-    mixed = [F.col(c).cast("long") if tag is None else u64.mix64(F.col(c).cast("long").bitwiseXOR(u64.lit(tag))) for c, tag in parts]
-    rows = df.withColumn("_m", reduce(Column.bitwiseXOR, mixed)).withColumn("_m", u64.mix64(F.col("_m")))
-    second = u64.mix64(u64.rotate_left(F.col("_m"), 23).bitwiseXOR(u64.lit(r.STREAM_TAG)))
-    return rows.withColumns({state: u64.mix64(F.col("_m").bitwiseXOR(u64.lit(r.STATE_TAG))), increment: F.shiftleft(second, 1).bitwiseOR(F.lit(1).cast("long"))}).drop("_m")
+    """Adds the state and increment of each tuple's stream (null if a part is); generation and population_index are columns of those names."""
+
+    def run(batches):
+        for batch in batches:
+            material, lost = _material(batch, seed, domain)
+            words = [pa.array(x.view(np.int64), mask=lost) for x in r.schedule(material)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *words], names=[*batch.schema.names, state, increment])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(state, LongType()), StructField(increment, LongType())]))
 
 
 def first_word(state: Column) -> Column:
@@ -55,12 +73,23 @@ def _changed() -> Column:
 def avalanche(tuples: DataFrame) -> DataFrame:
     """(bucket, pairs, changed_bits): how many of the 128 bits of a schedule change when one bit of the seed is flipped,
     for every tuple and each of its 64 bits, in buckets of 8."""
-    ones = F.array(*[u64.lit(1 << b) for b in range(64)])
-    rows = with_schedule(tuples.select("seed", "generation", "population_index", "domain"), "seed", "domain", "_a", "_b")
-    flips = rows.withColumn("_one", F.explode(ones)).withColumn("_flipped", F.col("seed").cast("long").bitwiseXOR(F.col("_one")))
-    changed = with_schedule(flips, "_flipped", "domain", "_c", "_d").select(_changed().alias("changed"))
+
+    def run(batches):
+        seen, lost = np.zeros(129, dtype=np.int64), 0
+        for batch in batches:
+            material, null = _material(batch, "seed", "domain")
+            material, lost = material[~null], lost + 64 * int(null.sum())
+            one = r.schedule(material)
+            for bit in range(64):
+                two = r.schedule(material ^ np.uint64(1 << bit))
+                seen += np.bincount(sum(np.bitwise_count(a ^ b) for a, b in zip(one, two)), minlength=129)
+        rows = [(k, int(n)) for k, n in [*enumerate(seen), (None, lost)] if n]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["changed", "n"])
+
+    # A flipped bit of the seed is that bit of the material; a task returns a row for each number of changed bits.
+    changed = tuples.select("seed", "generation", "population_index", "domain").mapInArrow(run, "changed long, n long")
     bucket = F.least(F.floor(F.col("changed") / BUCKET), F.lit(LAST)).cast("long").alias("bucket")
-    return changed.groupBy(bucket).agg(F.count(F.lit(1)).alias("pairs"), F.sum("changed").alias("changed_bits"))
+    return changed.groupBy(bucket).agg(F.sum("n").alias("pairs"), F.sum(F.col("changed") * F.col("n")).alias("changed_bits"))
 
 
 def domain_relation(tuples: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:

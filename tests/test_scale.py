@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import canonical
 from lodestone.functions import fingerprint as prints
 from lodestone.functions.random import Streams
-from lodestone.operators import analysis, folds, genetics, ordered, population, ranking, streams
+from lodestone.operators import analysis, folds, genetics, measurement, ordered, population, ranking, streams
 
 
 @settings(max_examples=60, deadline=None)
@@ -286,3 +286,47 @@ def test_vectors_near_alike_and_undefined(spark):
     x = population.euclidean_distance(0.5)
     near = x.between(x.pack([base[0].tolist()]), x.pack([(base[0] * (1 + 1e-9)).tolist()]))[0][0, 0]
     assert abs(near / far(base[0].tolist(), (base[0] * (1 + 1e-9)).tolist()) - 1) < 1e-12
+
+
+def test_flipped_bits_are_counted_in_their_tasks(spark):
+    """64 flips of 50,000 seeds are counted before a row leaves a task, nulls as pairs without a number of changed bits."""
+    df = spark.range(50_000, numPartitions=2).select(F.when(F.col("id") > 0, F.col("id") * 7919).alias("seed"), (F.col("id") % 5).alias("generation"), (F.col("id") % 3).alias("population_index"), F.lit(2).alias("domain"))
+    got = streams.avalanche(df)
+    assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r.bucket: (r.pairs, r.changed_bits) for r in got.collect()}
+    assert sum(n for n, _ in rows.values()) == 50_000 * 64 and rows[16][0] >= 64
+    some = df.where("seed < 7919 * 40").collect()
+    want = {}
+    for t in some:
+        a = Streams.derived(t.seed, [t.generation], [t.population_index], 2)
+        for bit in range(64):
+            b = Streams.derived(t.seed ^ (1 << bit), [t.generation], [t.population_index], 2)
+            n = bin(int(a.state[0]) ^ int(b.state[0])).count("1") + bin(int(a.increment[0]) ^ int(b.increment[0])).count("1")
+            k = min(n // 8, 16)
+            want[k] = want.get(k, (0, 0))[0] + 1, want.get(k, (0, 0))[1] + n
+    assert {r.bucket: (r.pairs, r.changed_bits) for r in streams.avalanche(df.where("seed < 7919 * 40")).collect()} == want
+
+
+# --- measurement
+
+
+def test_medians_keep_samples_where_they_are(spark):
+    """Few workloads: no exchange of the samples by their keys, and only values around the middle are counted by value."""
+    n = 20_000
+    rows = spark.range(n, numPartitions=4).select((F.col("id") % 2).cast("string").alias("workload"), F.lit("baseline").alias("subject"), F.lit("recorded").alias("phase"), *[F.lit(v).alias(c) for c, v in (("condition_ok", True), ("completed", True), ("timed_out", False), ("failed", False))], F.col("id").alias("runtime_ns"))
+    marked = measurement.mark_outliers(rows, 100)
+    assert "Exchange hashpartitioning" not in marked._jdf.queryExecution().executedPlan().toString()
+    got = {r.workload: r.n for r in marked.where("exclusion is null").groupBy("workload").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {w: sum(abs(k - (n // 2 - 1 + int(w))) <= 100 for k in range(int(w), n, 2)) for w in ("0", "1")}
+    near = measurement._around_middle(rows, ["workload"], ["runtime_ns"])
+    assert near.count() < n / 20 and {r._n for r in near.select("_n").collect()} == {n // 2}
+
+
+def test_medians_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(measurement, "FEW", 5)
+    rng = random.Random(10)
+    rows = [(k, rng.randrange(-(2**62), 2**62)) for k in range(40) for _ in range(1 + k % 4)]
+    got = {r.k: r.v for r in measurement.integer_medians(spark.createDataFrame(rows, "k long, v long"), ["k"], ["v"]).collect()}
+    for k in range(40):
+        v = sorted(x for h, x in rows if h == k)
+        assert got[k] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) // 2
