@@ -15,13 +15,26 @@ PPM_CAP = 4_294_967_295
 COMPARISONS = ("incomplete", "unstable", "slower", "faster", "equal")
 
 
+#: Rows that a table of one row for each group may have to go to every task.
+FEW = 10_000
+
+
+def few(groups: DataFrame) -> DataFrame:
+    """The same rows, computed once and sent to every task if they are at most FEW; else as they are.
+
+    A join on a few keys would put a large table into as many partitions.
+    """
+    rows = groups.limit(FEW + 1).collect()
+    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema)) if len(rows) <= FEW else groups
+
+
 def _around_middle(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys, _m (a measure), _v (its distinct values around the middle), _lo and _hi (rows before and with it), _n.
 
-    All measures are unpivoted and counted by value in one aggregation.  A
-    mergeable sketch gives bounds on both sides of each group's middle, so only
-    the few values between them are ordered, after a count of the rows below:
-    a group may be as large as the input.
+    All measures are unpivoted.  A mergeable sketch gives bounds on both sides
+    of each group's middle; one more pass counts the rows below, and by value
+    only the few between the bounds, so that what a task holds does not grow
+    with the different values of a measure: a group may be as large as the input.
     """
     pairs = ", ".join(f"'{v}', cast({v} as bigint)" for v in values)
     long = df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) as (_m, _v)")).where("_v is not null")
@@ -31,10 +44,11 @@ def _around_middle(df: DataFrame, keys: list[str], values: list[str]) -> DataFra
     # The sketch works in doubles: its bounds are moved out by more than a double can be off.
     wider = lambda k, way: bound(k) + way * (F.floor(F.abs(bound(k)) / F.lit(1 << 48)) + 1)
     bounds = sketch.select(*by, wider(0, -1).alias("_from"), wider(1, 1).alias("_to"))
-    counts = long.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).join(bounds, by)
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.sum(F.when(F.col("_v") < F.col("_from"), F.col("_c")).otherwise(0)).alias("_below"))
-    near = counts.where("_v between _from and _to").join(totals, by)
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")) + F.col("_below")
+    within = F.when(F.expr("_v between _from and _to"), F.col("_v")).alias("_v")
+    counts = long.join(few(bounds), by).groupBy(*by, within).agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col("_v") < F.col("_from")).alias("_below"))
+    group = Window.partitionBy(*by)
+    near = counts.withColumn("_n", F.sum("_c").over(group)).withColumn("_below", F.sum("_below").over(group)).where("_v is not null")
+    upto = F.sum("_c").over(group.orderBy("_v")) + F.col("_below")
     return near.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
 
@@ -79,7 +93,7 @@ def mark_outliers(samples: DataFrame, deviation: int | None) -> DataFrame:
     keys = ["workload", "subject"]
     medians = integer_medians(samples.where(recorded & includable()), keys, ["runtime_ns"]).withColumnRenamed("runtime_ns", "_median")
     far = recorded & ~whole & (F.abs(F.col("runtime_ns") - F.col("_median")) > deviation)
-    return samples.join(medians, keys, "left").withColumn("exclusion", F.when(F.coalesce(far, F.lit(False)), "runtime-median-deviation").otherwise(reason)).drop("_median")
+    return samples.join(few(medians), keys, "left").withColumn("exclusion", F.when(F.coalesce(far, F.lit(False)), "runtime-median-deviation").otherwise(reason)).drop("_median")
 
 
 def aggregate_subjects(marked: DataFrame, measures: list[str]) -> DataFrame:
