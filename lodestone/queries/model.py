@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.catalog import query
-from lodestone.operators import analysis, recipes, rewrites
+from lodestone.operators import analysis, ordered, recipes, rewrites
 from lodestone.sources import project
 
 from ._sql import ascii_bytes, fnv
@@ -179,15 +179,15 @@ p AS (SELECT t AS transformation, v AS version, CASE WHEN v = 0 THEN 'identity'
 SELECT transformation, version, problem FROM p WHERE problem IS NOT NULL
 """)
 def catalogue_rules(spark, sf_dir):
-    from pyspark.sql import Window
-
-    k, order = F.col("p_partkey"), Window.orderBy("p_partkey")
-    rows = table(spark, sf_dir, "part").select(k, F.row_number().over(order).alias("position"), F.concat("p_name", k).alias("transformation"), F.when(k % 17 == 0, 0).otherwise(1).alias("version"), (F.col("p_size") % 5).cast("long").alias("mask"))
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k, F.concat("p_name", k).alias("transformation"), F.when(k % 17 == 0, 0).otherwise(1).alias("version"), (F.col("p_size") % 5).cast("long").alias("mask"))
+    rows = ordered.total_rank(rows, [k], "position").withColumn("position", F.col("position") + 1)
     ref = lambda t, v: F.struct(t.alias("transformation"), v.alias("version"))
     none = F.array().cast(_ENTRY)
-    here, next_ = ref(F.col("transformation"), F.col("version")), ref(F.lead("transformation").over(order), F.lead("version").over(order))
-    needs = F.when(k % 7 == 0, F.array(here)).when(k % 11 == 0, F.array(ref(F.lit("nowhere"), F.lit(1)))).when((k % 13 == 0) & F.lead("version").over(order).isNotNull(), F.array(next_)).otherwise(none)
-    rows = rows.withColumn("dependencies", needs).withColumn("conflicts", F.when((k % 13 == 0) & (k % 7 != 0) & (k % 11 != 0) & F.lead("version").over(order).isNotNull(), F.array(next_)).otherwise(none))
+    here, next_ = ref(F.col("transformation"), F.col("version")), F.col("next")
+    rows = rows.join(rows.select((F.col("position") - 1).alias("position"), here.alias("next")), "position", "left")
+    needs = F.when(k % 7 == 0, F.array(here)).when(k % 11 == 0, F.array(ref(F.lit("nowhere"), F.lit(1)))).when((k % 13 == 0) & next_.isNotNull(), F.array(next_)).otherwise(none)
+    rows = rows.withColumn("dependencies", needs).withColumn("conflicts", F.when((k % 13 == 0) & (k % 7 != 0) & (k % 11 != 0) & next_.isNotNull(), F.array(next_)).otherwise(none))
     return recipes.catalogue_problems(rows, 3)
 
 
