@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import wanted
 from .ordered import total_rank
 
 # Kinds of the tables' records.
@@ -69,7 +70,7 @@ def record_problems(rows: DataFrame, checks: list[tuple[str, Column]], reference
     out = rows.withColumn("_check", fine)
     missing = F.lit(None).cast("string")
     for k, (_, column, parent, key) in enumerate(references):
-        known = _present(parent, key, f"_ref{k}")
+        known = wanted(_present(parent, key, f"_ref{k}"), f"_ref{k}", rows, column)
         out = out.join(known, out[column] == known[f"_ref{k}"], "left")
     for k, (name, *_) in reversed(list(enumerate(references))):
         missing = F.when(F.col(f"_ref{k}").isNull(), name).otherwise(missing)

@@ -9,25 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import few
+
 PPM = 1_000_000
 PPM_CAP = 4_294_967_295
 #: Worst first.
 COMPARISONS = ("incomplete", "unstable", "slower", "faster", "equal")
 
 
-#: Rows that a table of one row for each group may have to go to every task.
-FEW = 10_000
-
-
-def few(groups: DataFrame) -> DataFrame:
-    """The same rows, computed once and sent to every task if they are at most FEW; else as they are.
-
-    A join on a few keys would put a large table into as many partitions.
-    """
-    rows = groups.limit(FEW + 1).collect()
-    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema)) if len(rows) <= FEW else groups
-
-
 def _around_middle(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys, _m (a measure), _v (its distinct values around the middle), _lo and _hi (rows before and with it), _n.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import canonical
 from lodestone.functions import fingerprint as prints
 from lodestone.functions.random import Streams
-from lodestone.operators import analysis, folds, genetics, measurement, ordered, population, ranking, streams
+from lodestone.operators import analysis, folds, genetics, joins, measurement, ordered, population, ranking, streams
 
 
 @settings(max_examples=60, deadline=None)
@@ -323,10 +323,32 @@ def test_medians_keep_samples_where_they_are(spark):
 
 
 def test_medians_of_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(measurement, "FEW", 5)
+    monkeypatch.setattr(joins, "FEW", 5)
     rng = random.Random(10)
     rows = [(k, rng.randrange(-(2**62), 2**62)) for k in range(40) for _ in range(1 + k % 4)]
     got = {r.k: r.v for r in measurement.integer_medians(spark.createDataFrame(rows, "k long, v long"), ["k"], ["v"]).collect()}
     for k in range(40):
         v = sorted(x for h, x in rows if h == k)
         assert got[k] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) // 2
+
+
+# --- rules of tables
+
+
+def test_references_of_few_values_do_not_gather_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "FEW", 40)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.range(3000, numPartitions=3).select(F.col("id").cast("string").alias("identity"), (F.col("id") % 3).alias("few"), (F.col("id") % 7).alias("used"), F.col("id").alias("many"))
+    parents = spark.range(1, 2000).select(F.col("id").alias("p")), spark.createDataFrame([(0,), (2,), (2,), (None,)], "p long")
+    got = analysis.record_problems(rows, [("fine", F.lit(True))], [("few", "few", parents[1], "p"), ("used", "used", parents[0], "p"), ("many", "many", parents[0], "p")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(few" not in plan and "hashpartitioning(used" not in plan and "hashpartitioning(many" in plan
+    want = {str(i): "few" if i % 3 == 1 else "used" if i % 7 == 0 else "many" for i in range(3000) if i % 3 == 1 or i % 7 == 0 or not 1 <= i < 2000}
+    assert {r.identity: r.problem for r in got.collect()} == want
+
+
+def test_a_catalogue_is_numbered_in_many_tasks(spark):
+    from lodestone import catalog
+
+    assert not one_partition(catalog.QUERIES["catalogue_rules"](spark, "/root/testdata/sf0.001"))
