@@ -150,13 +150,14 @@ SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'integrity' WHEN c_custkey %
 """)
 def product_checkpoints(spark, sf_dir):
     """Checkpoints of whole searches: some damaged, some cut, some of another search."""
-    rows = product.created(_identities(spark, sf_dir)).select("c_custkey", "product")
-    size, k = F.octet_length("product"), F.col("c_custkey")
+    # A small file is one task, however long its rows take.
+    rows = product.created(_identities(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")).select("c_custkey", "product")
+    rows, k = rows.withColumn("bytes", F.octet_length("product").cast("long")), F.col("c_custkey")
     flipped = F.concat(F.expr("substring(product, 1, length(product) - 1)"), F.unhex(F.lit("00")))
     sent = rows.withColumn("sent", F.when(k % 5 == 0, flipped).when(k % 7 == 0, F.expr("substring(product, 1, length(product) - 3)")).otherwise(F.col("product")))
     expected = _identities(spark, sf_dir).withColumn("seed", F.when(k % 3 == 0, F.col("seed") + 1).otherwise(F.col("seed")))
-    told = product.validated(sent, "sent", expected, "c_custkey")
-    return told.join(rows, "c_custkey").select("c_custkey", F.coalesce("problem", F.lit("valid")).alias("problem"), size.cast("long").alias("bytes"))
+    told = product.validated(sent, "sent", expected, "c_custkey", keep=("bytes",))
+    return told.select("c_custkey", F.coalesce("problem", F.lit("valid")).alias("problem"), "bytes")
 
 
 @query("""

@@ -352,3 +352,10 @@ def test_a_catalogue_is_numbered_in_many_tasks(spark):
     from lodestone import catalog
 
     assert not one_partition(catalog.QUERIES["catalogue_rules"](spark, "/root/testdata/sf0.001"))
+
+
+def test_product_checkpoints_are_made_once_in_many_tasks(spark):
+    from lodestone import catalog
+
+    plan = catalog.QUERIES["product_checkpoints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and "REPARTITION_BY_NUM" in plan
