@@ -89,7 +89,8 @@ def materialize(records: DataFrame, requests: DataFrame, files: DataFrame, heads
     results: (recipe, path, status, patch, before and after sizes and
     fingerprints) of the touched files.
     """
-    applied = rewrites.rewrites(requests)
+    # The rules are much work on few bytes: by number, so that a small file is not one task and partitions are not put together.
+    applied = rewrites.rewrites(requests.repartition(4 * requests.sparkSession.sparkContext.defaultParallelism, "recipe"))
     name = F.concat_ws("\0", "recipe", "identity")
     told = edits.application_status(records.withColumn("_name", name), applied.withColumn("_name", name), "_name").withColumn("recipe", F.split("_name", "\0").getItem(0))
     refused = applied.where("status not in ('edit', 'already-satisfied')").select("recipe").union(told.where("status <> 'matched'").select("recipe")).distinct()
