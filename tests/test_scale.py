@@ -322,6 +322,26 @@ def test_medians_keep_samples_where_they_are(spark):
     assert near.count() < n / 20 and {r._n for r in near.select("_n").collect()} == {n // 2}
 
 
+def measured(spark, n):
+    """n recorded samples of each of two workloads and both subjects; no two values of a group are equal."""
+    rows = spark.range(4 * n, numPartitions=4)
+    sides = F.when(F.col("id") % 4 < 2, "baseline").otherwise("candidate")
+    value = F.col("id").bitwiseAND(F.lit(~3)).cast("long")
+    fine = [F.lit(v).alias(c) for c, v in (("condition_ok", True), ("completed", True), ("timed_out", False), ("failed", False))]
+    return rows.select((F.col("id") % 2).cast("string").alias("workload"), sides.alias("subject"), F.lit("recorded").alias("phase"), *fine, (value + 1000).alias("runtime_ns"), (value * 3 + 1).alias("peak_memory"), (-value).alias("binary_size"))
+
+
+MEASURES = ["runtime_ns", "peak_memory", "binary_size"]
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_bounds_of_a_median_are_found_once(spark, monkeypatch, many):
+    """A sketch depends on the order in which its parts meet: two of one group may differ, and a median be off by the rows between."""
+    monkeypatch.setattr(joins, "FEW", 1 if many else 100)
+    near = measurement._around_middle(measured(spark, 100), ["workload", "subject"], MEASURES)
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("percentile_approx(") == int(many)
+
+
 def test_medians_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(joins, "FEW", 5)
     rng = random.Random(10)
