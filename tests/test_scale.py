@@ -342,6 +342,37 @@ def test_bounds_of_a_median_are_found_once(spark, monkeypatch, many):
     assert near._jdf.queryExecution().optimizedPlan().toString().count("percentile_approx(") == int(many)
 
 
+def written_records(spark, run):
+    """What run() returns, and the rows that its stages wrote to shuffles."""
+
+    def stages():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        some = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(some.apply, range(some.size()))}
+
+    held = stages()
+    got = run()
+    return got, sum(n for k, n in stages().items() if k not in held)
+
+
+def compared(samples, max_range):
+    marked = measurement.mark_outliers(samples, 10**9)
+    return measurement.compare_workloads(marked, measurement.aggregate_subjects(marked, MEASURES), 1000, 5000, max_range, 3)
+
+
+@pytest.mark.parametrize("max_range,failed,want", [
+    (10_000_000, -1, "equal"),
+])
+def test_comparisons_keep_samples_where_they_are(spark, max_range, failed, want):
+    """Few groups: what is dealt out by their keys is far less than the samples, though all values differ."""
+    n = 10_001
+    samples = measured(spark, n).withColumn("failed", F.col("runtime_ns") == failed)
+    got, moved = written_records(spark, lambda: compared(samples, max_range).collect())
+    assert {(r.workload, r.comparison, r.stable) for r in got} == {(w, want, want == "equal") for w in ("0", "1")}
+    assert moved < n
+
+
 def test_medians_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(joins, "FEW", 5)
     rng = random.Random(10)
