@@ -374,6 +374,13 @@ def test_comparisons_keep_samples_where_they_are(spark, max_range, failed, want)
     assert moved < n
 
 
+def test_overall_keeps_samples_where_they_are(spark):
+    n = 10_001
+    got, moved = written_records(spark, lambda: measurement.overall(compared(measured(spark, n), 10_000_000)).collect())
+    assert [tuple(r) for r in got] == [("equal", 0.0, True)]
+    assert moved < n
+
+
 def test_medians_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(joins, "FEW", 5)
     rng = random.Random(10)
