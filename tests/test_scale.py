@@ -381,6 +381,14 @@ def test_overall_keeps_samples_where_they_are(spark):
     assert moved < n
 
 
+def test_fitness_keeps_samples_where_they_are(spark):
+    n = 10_001
+    run = lambda: measurement.weighted_fitness(compared(measured(spark, n), 10_000_000).withColumn("weight", F.lit(2.0)), {"correctness": 0.4, "performance": 0.4}, order="workload").collect()
+    got, moved = written_records(spark, run)
+    assert [(r.performance, r.memory_use, r.total, r.fitness_available) for r in got] == [(0.0, 0.0, 0.4, True)]
+    assert moved < n
+
+
 def test_medians_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(joins, "FEW", 5)
     rng = random.Random(10)
