@@ -364,6 +364,7 @@ def compared(samples, max_range):
 @pytest.mark.parametrize("max_range,failed,want", [
     (10_000_000, -1, "equal"),
     (10, -1, "unstable"),
+    (10_000_000, 1000, "incomplete"),
 ])
 def test_comparisons_keep_samples_where_they_are(spark, max_range, failed, want):
     """Few groups: what is dealt out by their keys is far less than the samples, though all values differ."""
