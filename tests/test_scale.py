@@ -390,6 +390,13 @@ def test_fitness_keeps_samples_where_they_are(spark):
     assert moved < n
 
 
+def test_aggregates_keep_samples_where_they_are(spark):
+    n = 10_001
+    got, moved = written_records(spark, lambda: measurement.aggregate_subjects(measurement.mark_outliers(measured(spark, n), None), MEASURES).collect())
+    assert {(r.workload, r.subject): (r.included_count, r.runtime_ns, r.peak_memory, r.binary_size) for r in got} == {(w, s): (n, 2 * n + 998, 6 * n - 5, 2 - 2 * n) for w in ("0", "1") for s in ("baseline", "candidate")}
+    assert moved < n
+
+
 def test_medians_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(joins, "FEW", 5)
     rng = random.Random(10)
