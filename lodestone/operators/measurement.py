@@ -15,6 +15,9 @@ PPM = 1_000_000
 PPM_CAP = 4_294_967_295
 #: Worst first.
 COMPARISONS = ("incomplete", "unstable", "slower", "faster", "equal")
+#: A sketch's ranks are off by at most 1 / ACCURACY of a group's rows; its bounds lie ten times as far from the middle.
+ACCURACY = 10_000
+BOUNDS = [0.5 - 10 / ACCURACY, 0.5 + 10 / ACCURACY]
 
 
 def _around_middle(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -28,7 +31,7 @@ def _around_middle(df: DataFrame, keys: list[str], values: list[str]) -> DataFra
     pairs = ", ".join(f"'{v}', cast({v} as bigint)" for v in values)
     long = df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) as (_m, _v)")).where("_v is not null")
     by = [*keys, "_m"]
-    sketch = long.groupBy(*by).agg(F.percentile_approx("_v", [0.49, 0.51], 10000).alias("_b"))
+    sketch = long.groupBy(*by).agg(F.percentile_approx("_v", BOUNDS, ACCURACY).alias("_b"))
     bound = lambda k: F.get("_b", F.lit(k)).cast("decimal(38,0)")
     # The sketch works in doubles: its bounds are moved out by more than a double can be off.
     wider = lambda k, way: bound(k) + way * (F.floor(F.abs(bound(k)) / F.lit(1 << 48)) + 1)

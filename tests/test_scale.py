@@ -397,6 +397,22 @@ def test_aggregates_keep_samples_where_they_are(spark):
     assert moved < n
 
 
+def test_values_around_a_median_are_few(spark):
+    """One task orders a group's values between the bounds: they are a five-hundredth of it, and the middle is well among them."""
+    n = 50_000
+    near = measurement._around_middle(measured(spark, n).repartition(20, "runtime_ns"), ["workload", "subject"], MEASURES)
+    groups = near.groupBy("workload", "subject", "_m").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.count("_v").alias("c")).collect()
+    assert len(groups) == 12
+    for g in groups:
+        assert n * 0.4985 < g.lo < n * 0.4995 and n * 0.5005 < g.hi < n * 0.5015 and g.c == g.hi - g.lo
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 499, 500, 501, 1000, 1001])
+def test_bounds_hold_the_middle_of_any_count(spark, n):
+    rows = spark.range(n, numPartitions=3).select(F.lit(0).alias("g"), (F.col("id") * 10).alias("v"))
+    assert measurement.integer_medians(rows, ["g"], ["v"]).first().v == 5 * (n - 1)
+
+
 def test_medians_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(joins, "FEW", 5)
     rng = random.Random(10)
